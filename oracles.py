@@ -1,0 +1,175 @@
+"""DuckDB oracle SQL for every SQL-checkable query in ``__spark_entry__``.
+
+Each query re-derives the ``recipes`` view from ``lineitem`` and ``part`` with
+the same portable arithmetic as ``permea.sources.fixture`` (literals cast to
+DOUBLE so both engines do the same IEEE operations), then states the operator
+in plain SQL.  These strings are the independent check of the Spark code.
+"""
+
+from __future__ import annotations
+
+from permea.sources.fixture import AQ_LIST, MEMBRANES, ORG_LIST
+
+ORDER = "batch, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
+SMILES = [f"smiles_part{i}" for i in range(1, 6)]
+DENS = [f"density_part{i}" for i in range(1, 6)]
+TIMES = [f"time_{i}" for i in range(1, 6)]
+CHARS = ["wca", "zeta", "ra", "rq", "pore", "mwco", "thickness", "mod_temp", "mod_time"]
+TARGETS = {"PWP": "pwp", "Mg_rej": "mg_rej", "Flux_Mg": "flux_mg", "Li_rej": "li_rej",
+           "Flux_Li": "flux_li"}
+NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _case(expr: str, values: list[str]) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {expr} {whens} END"
+
+
+def D(x) -> str:
+    """A DOUBLE literal (DuckDB reads 0.1 as DECIMAL otherwise)."""
+    return f"CAST({x} AS DOUBLE)"
+
+
+RECIPES_CTE = f"""
+_li AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
+         l.l_shipdate, l.l_quantity, l.l_discount, l.l_tax, p.p_size
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+_b AS (
+  SELECT 1 AS batch, * FROM _li
+  UNION ALL SELECT 2 AS batch, * FROM _li WHERE l_orderkey % 50 = 0),
+recipes AS (
+  SELECT {ORDER},
+    {_case('l_suppkey % 7', MEMBRANES)} AS membrane,
+    {_case('l_partkey % 12', AQ_LIST)} AS smiles_part1,
+    {_case('l_suppkey % 5', ORG_LIST)} AS smiles_part2,
+    CASE WHEN l_linenumber = 3 THEN {_case('l_suppkey % 12', AQ_LIST)} END AS smiles_part3,
+    CAST(NULL AS VARCHAR) AS smiles_part4, CAST(NULL AS VARCHAR) AS smiles_part5,
+    CASE WHEN l_orderkey % 97 = 0 THEN 'n/a'
+         ELSE CAST(CAST(CEIL(l_quantity / {D(10.0)}) AS DOUBLE) / {D(5.0)} AS VARCHAR) END AS density_part1,
+    {D(0.1)} + {D(0.05)} * CAST(l_suppkey % 3 AS DOUBLE) AS density_part2,
+    CASE WHEN l_linenumber = 3 THEN {D(0.05)} END AS density_part3,
+    CAST(NULL AS DOUBLE) AS density_part4, CAST(NULL AS DOUBLE) AS density_part5,
+    {D(30.0)} * CAST(1 + l_partkey % 120 AS DOUBLE) AS time_1,
+    {D(15.0)} * CAST(1 + l_suppkey % 3 AS DOUBLE) AS time_2,
+    CAST(NULL AS DOUBLE) AS time_3, CAST(NULL AS DOUBLE) AS time_4, CAST(NULL AS DOUBLE) AS time_5,
+    CASE WHEN l_partkey % 5 <> 0 THEN {D(30.0)} + CAST(p_size AS DOUBLE) END AS wca,
+    CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey % 41 - 20 AS DOUBLE) END AS zeta,
+    CAST(NULL AS DOUBLE) AS ra, CAST(NULL AS DOUBLE) AS rq,
+    CASE WHEN l_suppkey % 4 <> 0 THEN {D(0.25)} + {D(0.01)} * CAST(l_suppkey % 40 AS DOUBLE) END AS pore,
+    CASE WHEN l_partkey % 7 <> 0 THEN {D(150.0)} + CAST(l_partkey % 500 AS DOUBLE) END AS mwco,
+    CASE WHEN l_suppkey % 3 <> 0 THEN {D(20.0)} + {D(3.0)} * CAST(p_size AS DOUBLE) END AS thickness,
+    CAST(NULL AS DOUBLE) AS mod_temp, CAST(NULL AS DOUBLE) AS mod_time,
+    CASE WHEN l_orderkey % 11 <> 0 THEN {D(2.0)} + CAST(l_linenumber AS DOUBLE) END AS pressure,
+    CASE WHEN l_orderkey % 13 <> 0 THEN {D(500.0)} * CAST(1 + l_orderkey % 4 AS DOUBLE) END AS feed,
+    CASE WHEN l_orderkey % 6 <> 0 THEN {D(3.0)} + {D(0.3)} * CAST(p_size AS DOUBLE) + {D(20.0)} * l_discount END AS pwp,
+    CASE WHEN l_orderkey % 10 <> 0 THEN {D(99.5)} - {D(0.03)} * CAST(l_partkey % 500 AS DOUBLE) - {D(100.0)} * l_discount END AS mg_rej,
+    CASE WHEN l_orderkey % 8 <> 0 THEN ({D(2.0)} + CAST(l_linenumber AS DOUBLE)) * ({D(1.0)} + {D(0.1)} * CAST(p_size AS DOUBLE)) + {D(10.0)} * l_tax END AS flux_mg,
+    CASE WHEN l_orderkey % 9 <> 0 THEN {D(12.0)} + CAST(l_suppkey % 60 AS DOUBLE) + {D(100.0)} * l_discount END AS li_rej,
+    CASE WHEN l_orderkey % 7 <> 0 THEN ({D(2.0)} + CAST(l_linenumber AS DOUBLE)) * ({D(0.8)} + {D(0.08)} * CAST(p_size AS DOUBLE)) + {D(10.0)} * l_discount END AS flux_li
+  FROM _b)"""
+
+_KEY_PARTS = ", ".join([f"COALESCE({c}, 'nan')" for c in SMILES]
+                       + ["COALESCE(density_part1, 'nan')"]
+                       + [f"COALESCE(CAST({c} AS VARCHAR), 'nan')" for c in DENS[1:] + TIMES])
+DEDUP_BY = "synth_key, pressure, feed, pwp, mg_rej, flux_mg, li_rej, flux_li"
+
+# recipes -> keyed (P2) -> dedup (P3) -> clean (P1 on the one text column)
+CLEAN_CTE = RECIPES_CTE + f""",
+keyed AS (SELECT *, concat_ws('|', {_KEY_PARTS}) AS synth_key FROM recipes),
+dedup AS (
+  SELECT * EXCLUDE (_rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY {DEDUP_BY} ORDER BY {ORDER}) AS _rn FROM keyed)
+  WHERE _rn = 1),
+clean AS (
+  SELECT * REPLACE (
+    CASE WHEN regexp_matches(trim(density_part1), '{NUM_RE}')
+         THEN TRY_CAST(trim(density_part1) AS DOUBLE) END AS density_part1)
+  FROM dedup)"""
+
+
+def with_ctes(body: str, ctes: str = CLEAN_CTE, extra: str = "") -> str:
+    return f"WITH {ctes}{(',' + extra) if extra else ''}\n{body}"
+
+
+def clip(x: str, lo=None, hi=None) -> str:
+    e = x
+    if lo is not None:
+        e = f"GREATEST({e}, {D(lo)})"
+    if hi is not None:
+        e = f"LEAST({e}, {D(hi)})"
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN {e} END)"
+
+
+def score_sql(mg="mg_rej", li="li_rej", flux="flux_mg", pwp="pwp") -> dict[str, str]:
+    mg_q = clip(f"(-log10({D(1.0)} - {clip(mg, 0.0, 99.95)} / {D(100.0)})) / {D(3.0)}", 0.0, 1.0)
+    li_q = f"({D(1.0)} - {clip(li, 0.0, 100.0)} / {D(100.0)})"
+    sep = f"({D(2.0)} * {mg_q} * {li_q} / ({mg_q} + {li_q} + {D(1e-9)}))"
+    w_flux, w_pwp = (0.12, 0.08)
+    flux_t = clip(f"{flux} / {D(20.0)}", 0.0, 1.0) if flux else D(0.0)
+    pwp_t = clip(f"{pwp} / {D(15.0)}", 0.0, 1.0) if pwp else D(0.0)
+    if not flux:
+        w_flux = 0.0
+    if not pwp:
+        w_pwp = 0.0
+    s = 0.80 + w_flux + w_pwp
+    score = (f"(({D(0.8)} * {sep} + {D(w_flux)} * {flux_t} + {D(w_pwp)} * {pwp_t}) / {D(repr(s))})")
+    return {"score": score, "mg_quality": mg_q, "li_quality": li_q, "separation": sep,
+            "flux_norm": flux_t, "pwp_norm": pwp_t}
+
+
+SQL: dict[str, str] = {}
+
+# ---------------------------------------------------------------- flagship
+_S = score_sql()
+SQL["flagship_best_pairs"] = with_ctes(f"""
+SELECT smiles_part1 AS aq, smiles_part2 AS org, membrane, pressure, feed,
+       round(mg_rej, 6) AS mg_rej, round(li_rej, 6) AS li_rej, round(flux_mg, 6) AS flux_mg,
+       round(pwp, 6) AS pwp, round(score, 4) AS score, round(separation, 4) AS separation,
+       round(mg_quality, 4) AS mg_quality, round(li_quality, 4) AS li_quality, n_measured
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY smiles_part1, smiles_part2
+                               ORDER BY score DESC, {ORDER}) AS _rn,
+         count(*) OVER (PARTITION BY smiles_part1, smiles_part2) AS n_measured
+  FROM scored) t
+WHERE _rn = 1
+ORDER BY round(score, 4) DESC, aq, org
+LIMIT 15""", extra=f"""
+scored AS (
+  SELECT *, {_S['score']} AS score, {_S['separation']} AS separation,
+         {_S['mg_quality']} AS mg_quality, {_S['li_quality']} AS li_quality
+  FROM clean
+  WHERE mg_rej IS NOT NULL AND li_rej IS NOT NULL AND flux_mg IS NOT NULL AND pwp IS NOT NULL)""")
+
+# ------------------------------------------------------- ingest and cleaning
+ROW_ID = "batch, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+SQL["p1_coerce_numeric"] = with_ctes(f"""
+SELECT {ROW_ID}, density_part1 AS density_part1_raw,
+       CASE WHEN regexp_matches(trim(density_part1), '{NUM_RE}')
+            THEN TRY_CAST(trim(density_part1) AS DOUBLE) END AS density_part1
+FROM recipes""", RECIPES_CTE)
+
+SQL["p2_synth_key"] = with_ctes(f"SELECT {ROW_ID}, synth_key FROM keyed")
+
+SQL["p3_dedup_first"] = with_ctes(f"SELECT {ROW_ID}, synth_key FROM dedup")
+
+SQL["p4_membrane_unk"] = with_ctes(
+    "SELECT COALESCE(membrane, 'Unk') AS membrane, count(*) AS n_rows FROM clean GROUP BY 1")
+
+_dl = []
+for _k, _c in TARGETS.items():
+    _hi = {"Flux_Mg": 40.0, "Flux_Li": 30.0}.get(_k)
+    _rule = f"'[None, {_hi}]'" if _hi else "CAST(NULL AS VARCHAR)"
+    _keep = f"{_c} IS NOT NULL" + (f" AND {_c} <= {D(_hi)}" if _hi else "")
+    _dl.append(f"""SELECT '{_k}' AS target, {_rule} AS rule,
+       CAST(count_if({_c} IS NOT NULL) AS BIGINT) AS n_present,
+       CAST(count_if({_c} IS NOT NULL) - count_if({_keep}) AS BIGINT) AS n_excluded,
+       CAST(count_if({_keep}) AS BIGINT) AS n_kept
+FROM clean""")
+SQL["p6_domain_filter_log"] = with_ctes("\nUNION ALL\n".join(_dl))
+
+SQL["a10_ingest_counts"] = with_ctes("""
+SELECT (SELECT count(*) FROM recipes) AS rows_before, count(*) AS rows_after,
+       count(DISTINCT synth_key) AS n_recipes
+FROM dedup""")
