@@ -78,3 +78,133 @@ def q_p6(spark, sf_dir):
 def q_a10(spark, sf_dir):
     r = C.with_synth_key(raw(spark, sf_dir))
     return C.ingest_counts(r, C.dedup_first(r))
+
+
+# ------------------------------------------------------------------ chemistry
+from ..functions import chem as CH  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import monomers as MO  # noqa: E402
+from ..sources.library import monomer_library  # noqa: E402
+
+
+def _r6(df: DataFrame, skip: tuple = ()) -> DataFrame:
+    """Round every double column to 6 places (cross-engine stable output)."""
+    return df.select(*[F.round(F.col(f.name), 6).alias(f.name)
+                       if f.dataType.typeName() == "double" and f.name not in skip
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def distinct_monomers(spark, sf_dir) -> DataFrame:
+    return FE.monomer_dim(clean(spark, sf_dir)).select("smiles")
+
+
+@query("p7_parse_monomer")
+def q_p7(spark, sf_dir):
+    m = distinct_monomers(spark, sf_dir)
+    base, tag = CH.parse_monomer("smiles")
+    return m.select("smiles", base.alias("base"), tag.alias("tag"))
+
+
+@query("p8_valid_monomer")
+def q_p8(spark, sf_dir):
+    lib = monomer_library(spark)
+    m = distinct_monomers(spark, sf_dir).unionByName(lib.select("smiles")).distinct()
+    return m.select("smiles", CH.is_valid_smiles("smiles").alias("is_valid"))
+
+
+@query("p9_route_monomer")
+def q_p9(spark, sf_dir):
+    lib = monomer_library(spark)
+    m = distinct_monomers(spark, sf_dir).unionByName(lib.select("smiles")).distinct()
+    return m.select("smiles", CH.is_acyl("smiles").alias("is_acyl"),
+                    CH.is_amine("smiles").alias("is_amine"))
+
+
+@query("p10_candidates")
+def q_p10(spark, sf_dir):
+    return MO.candidates(clean(spark, sf_dir))
+
+
+@query("j3_monomer_names")
+def q_j3(spark, sf_dir):
+    return MO.candidates(clean(spark, sf_dir)).select("smiles", "display_name")
+
+
+@query("j4_in_dataset")
+def q_j4(spark, sf_dir):
+    return MO.candidates(clean(spark, sf_dir)).select("smiles", "role", "in_dataset")
+
+
+@query("u2_monomer_union")
+def q_u2(spark, sf_dir):
+    return MO.monomer_union(clean(spark, sf_dir))
+
+
+@query("s3_options")
+def q_s3(spark, sf_dir):
+    return MO.options(clean(spark, sf_dir))
+
+
+@query("p11_descriptors")
+def q_p11(spark, sf_dir):
+    lib = monomer_library(spark)
+    m = distinct_monomers(spark, sf_dir).unionByName(lib.select("smiles")).distinct()
+    return _r6(m.select("smiles", *[v.alias(k) for k, v in CH.descriptors("smiles").items()]))
+
+
+def features(spark, sf_dir, recipe_only=False, keep=None) -> DataFrame:
+    c = clean(spark, sf_dir)
+    cats = FE.membrane_categories(c)
+    return FE.build_features(c, cats, keep=keep or ROW_ID, recipe_only=recipe_only)
+
+
+@query("p12_molecular")
+def q_p12(spark, sf_dir):
+    return _r6(features(spark, sf_dir).select(*ROW_ID, *FE.MOL_COLS))
+
+
+@query("p13_synthesis")
+def q_p13(spark, sf_dir):
+    return _r6(features(spark, sf_dir).select(*ROW_ID, *FE.SYNTH_COLS))
+
+
+@query("p14_structure")
+def q_p14(spark, sf_dir):
+    return _r6(features(spark, sf_dir).select(*ROW_ID, *FE.STRUCTURE_COLS))
+
+
+@query("p15_operating")
+def q_p15(spark, sf_dir):
+    return _r6(features(spark, sf_dir).select(*ROW_ID, *FE.OP_FEATURES))
+
+
+@query("p16_char_rename")
+def q_p16(spark, sf_dir):
+    return _r6(features(spark, sf_dir).select(*ROW_ID, *FE.CHAR_FEATURES))
+
+
+@query("p17_physics")
+def q_p17(spark, sf_dir):
+    return _r6(features(spark, sf_dir).select(*ROW_ID, *FE.PHYSICS_COLS))
+
+
+@query("p18_membrane_onehot")
+def q_p18(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return f.select(*ROW_ID, *[c for c in f.columns if c.startswith("base_")])
+
+
+@query("p19_feature_matrix")
+def q_p19(spark, sf_dir):
+    return _r6(features(spark, sf_dir))
+
+
+@query("p20_recipe_features")
+def q_p20(spark, sf_dir):
+    return _r6(features(spark, sf_dir, recipe_only=True))
+
+
+@query("p33_physics_subset")
+def q_p33(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return _r6(f.select(*ROW_ID, *FE.physics_subset(f.columns)))
