@@ -362,3 +362,365 @@ SQL["p33_physics_subset"] = feat_select(
     [c for c in ALL_FEATURES if c.startswith((
         "WCA", "Zeta", "Ra", "Rq", "Average", "MWCO", "Thickness", "Modification", "zeta_",
         "steric_", "donnan", "pore_", "mwco_", "pressure", "feed", "p_", "log_feed"))])
+
+# ------------------------------------------------------- transforms, scores
+_TL_PARTS = " UNION ALL ".join(
+    f"SELECT {ROW_ID}, synth_key, '{k}' AS target, {c} AS y FROM clean" for k, c in TARGETS.items())
+TL_CTE = CLEAN_CTE + f""",
+tl AS (SELECT * FROM ({_TL_PARTS}) WHERE y IS NOT NULL
+       AND NOT (target = 'Flux_Mg' AND y > {D(40.0)}) AND NOT (target = 'Flux_Li' AND y > {D(30.0)})),
+si AS (SELECT *, y + CAST((l_orderkey + 3 * l_partkey) % 11 - 5 AS DOUBLE) * {D(0.1)} AS pred_a,
+              y + CAST((l_orderkey + 3 * l_partkey + 5) % 11 - 5 AS DOUBLE) * {D(0.15)} AS pred_b
+       FROM tl),
+sl AS (SELECT {ROW_ID}, synth_key, target, y, 'A' AS candidate, pred_a AS y_pred FROM si
+       UNION ALL SELECT {ROW_ID}, synth_key, target, y, 'B', pred_b FROM si),
+risk AS (SELECT {ROW_ID}, synth_key, mg_rej, CAST(mg_rej < 80 AS INTEGER) AS fail,
+                round({D(1.0)} - mg_rej / {D(100.0)} + {D(0.01)} * CAST(l_suppkey % 10 AS DOUBLE), 4) AS score
+         FROM clean WHERE mg_rej IS NOT NULL)"""
+REJ_IN = "target IN ('Mg_rej', 'Li_rej')"
+
+
+def fwd_sql(y: str, rej: bool) -> str:
+    return f"ln(1 + {clip(f'{D(100.0)} - {y}', 0.0)})" if rej else f"ln(1 + {clip(y, 0.0)})"
+
+
+def inv_sql(z: str, rej: bool) -> str:
+    return f"({D(100.0)} - (exp({z}) - 1))" if rej else f"(exp({z}) - 1)"
+
+
+def by_target(fn, x: str) -> str:
+    return f"(CASE WHEN {REJ_IN} THEN {fn(x, True)} ELSE {fn(x, False)} END)"
+
+
+def r6(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+SQL["p21_target_transform"] = with_ctes(f"""
+SELECT {ROW_ID}, target, round(y, 6) AS y, round(z, 6) AS z, round({by_target(inv_sql, 'z')}, 6) AS y_back
+FROM (SELECT *, {by_target(fwd_sql, 'y')} AS z FROM tl)""", TL_CTE)
+
+_S1 = " UNION ALL ".join(
+    f"SELECT {ROW_ID}, '{n}' AS char, {src} AS y FROM clean"
+    for n, src in [("Zeta_Potential", "zeta"), ("Average_pore_diameter", "pore"), ("MWCO_Da", "mwco"),
+                   ("WCA_d", "wca"), ("Thickness_nm", "thickness")])
+SQL["p22_stage1_transform"] = with_ctes(f"""
+SELECT {ROW_ID}, char, round(y, 6) AS y, round(z, 6) AS z,
+       round(CASE WHEN char = 'MWCO_Da' THEN exp(z) - 1 ELSE z END, 6) AS y_back
+FROM (SELECT *, CASE WHEN char = 'MWCO_Da' THEN ln(1 + {clip('y', 0.0)}) ELSE y END AS z
+      FROM ({_S1}) WHERE y IS NOT NULL)""")
+
+_LG = f"ln({clip('mg_rej', 0.5, 99.5)} / {clip(f'{D(100.0)} - mg_rej', 0.5, 99.5)})"
+SQL["p23_logit_transform"] = with_ctes(f"""
+SELECT {ROW_ID}, round(mg_rej, 6) AS y, round(z, 6) AS z,
+       round({D(100.0)} / (1 + exp(-{clip('z', -12.0, 12.0)})), 6) AS y_back,
+       round({fwd_sql('mg_rej', True)}, 6) AS z_complement_log
+FROM (SELECT *, {_LG} AS z FROM clean WHERE mg_rej IS NOT NULL)""")
+
+
+def _fix(c):
+    return f"round(CASE WHEN {REJ_IN} THEN {clip(c, 0.0, 100.0)} ELSE {c} END, 2)"
+
+
+SQL["p24_clip_round"] = with_ctes(f"""
+SELECT {ROW_ID}, target, {_fix('pred_a')} AS value, {_fix('LEAST(pred_a, pred_b)')} AS lo,
+       {_fix('GREATEST(pred_a, pred_b)')} AS hi FROM si""", TL_CTE)
+
+SQL["p25_mg_logscore"] = with_ctes(f"""
+SELECT {ROW_ID}, round(mg_rej, 6) AS mg_rej,
+       round(-log10({D(1.0)} - {clip('mg_rej', 0.0, 99.95)} / {D(100.0)}), 6) AS mg_logscore
+FROM clean WHERE mg_rej IS NOT NULL""")
+
+SQL["p26_composite_score"] = with_ctes(
+    f"SELECT {ROW_ID}, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in score_sql().items())
+    + " FROM clean")
+
+_PRED_CHAR = {"wca": f"{D(40.0)} + CAST(l_partkey % 13 AS DOUBLE)",
+              "zeta": "CAST(l_partkey % 21 - 10 AS DOUBLE)",
+              "pore": f"{D(0.3)} + {D(0.01)} * CAST(l_suppkey % 20 AS DOUBLE)",
+              "mwco": f"{D(200.0)} + CAST(l_partkey % 300 AS DOUBLE)",
+              "thickness": f"{D(50.0)} + CAST(l_suppkey % 50 AS DOUBLE)"}
+_any = " OR ".join(f"({c} IS NULL)" for c in _PRED_CHAR)
+SQL["p27_fill_characterisation"] = with_ctes(
+    f"SELECT {ROW_ID}, "
+    + ", ".join(f"round(COALESCE({c}, {e}), 6) AS {c}" for c, e in _PRED_CHAR.items()) + ", "
+    + ", ".join(f"({c} IS NULL) AS filled_{c}" for c in _PRED_CHAR)
+    + f", CASE WHEN {_any} THEN 'stage1' ELSE 'user' END AS char_source FROM clean")
+
+_FEATS_ALL = ALL_FEATURES
+SQL["p29_impute_medians"] = with_ctes("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(median({c}), 6) AS median, "
+    f"CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing, median({c}) IS NULL AS dropped FROM feat"
+    for c in _FEATS_ALL), FEAT_CTE)
+
+SQL["p30_standardise"] = with_ctes("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd_pop FROM feat"
+    for c in _FEATS_ALL), FEAT_CTE)
+
+# Median-impute, equal-width bins (10), binned MI, top 20
+_MG_FEAT = "fm"
+_unp = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, z, COALESCE({c}, (SELECT median({c}) FROM fm)) AS x FROM fm "
+    f"WHERE (SELECT median({c}) FROM fm) IS NOT NULL" for c in _FEATS_ALL)
+
+
+def _bin_sql(x, lo, hi, b=10):
+    return f"(CASE WHEN {hi} > {lo} THEN LEAST(floor(({x} - {lo}) / ({hi} - {lo}) * {b}), {b - 1}) ELSE 0 END)"
+
+
+SQL["p32_mutual_info_topk"] = with_ctes(f"""
+SELECT feature, round(mi, 6) AS mi FROM (
+  SELECT j.feature, sum((nxy / n) * ln(nxy * n / (nx * ny))) AS mi
+  FROM nxy j JOIN nx USING (feature, bx) JOIN ny USING (feature, ybin) JOIN nn USING (feature)
+  GROUP BY j.feature)
+ORDER BY round(mi, 9) DESC, feature LIMIT 20""", FEAT_CTE, f"""
+fm AS (SELECT *, {fwd_sql('mg_rej', True)} AS z FROM feat WHERE mg_rej IS NOT NULL),
+u0 AS ({_unp}),
+ys AS (SELECT min(z) AS ylo, max(z) AS yhi FROM fm),
+xs AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM u0 GROUP BY feature),
+u AS (SELECT u0.feature, {_bin_sql('x', 'xs.lo', 'xs.hi')} AS bx, {_bin_sql('z', 'ys.ylo', 'ys.yhi')} AS ybin
+      FROM u0 JOIN xs USING (feature) CROSS JOIN ys),
+nxy AS (SELECT feature, bx, ybin, CAST(count(*) AS DOUBLE) AS nxy FROM u GROUP BY ALL),
+nx AS (SELECT feature, bx, sum(nxy) AS nx FROM nxy GROUP BY ALL),
+ny AS (SELECT feature, ybin, sum(nxy) AS ny FROM nxy GROUP BY ALL),
+nn AS (SELECT feature, sum(nxy) AS n FROM nxy GROUP BY ALL)""")
+
+# ------------------------------------------------------------------ splits
+
+
+def hash_sql(seed: str, key: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || {key}), 1, 8)) AS BIGINT)"
+
+
+ROWKEY = "concat_ws('|', batch, l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+SQL["v1_row_folds"] = with_ctes(
+    f"SELECT {ROW_ID}, CAST({hash_sql('42', ROWKEY)} % 5 AS INTEGER) AS fold FROM clean")
+SQL["v2_group_folds"] = with_ctes(f"""
+SELECT CAST({hash_sql('42', 'synth_key')} % 5 AS INTEGER) AS fold, count(*) AS n_rows,
+       count(DISTINCT synth_key) AS n_groups FROM clean GROUP BY 1""")
+SQL["v3_group_shuffle_split"] = with_ctes(f"""
+SELECT seed, CAST(count_if(t) AS BIGINT) AS n_test_rows, CAST(count_if(NOT t) AS BIGINT) AS n_train_rows,
+       count(DISTINCT CASE WHEN t THEN synth_key END) AS n_test_groups
+FROM (SELECT s.seed, synth_key, {hash_sql('s.seed', 'synth_key')} < {0.2 * 16 ** 8} AS t
+      FROM clean CROSS JOIN range(20) s(seed) WHERE mg_rej IS NOT NULL)
+GROUP BY seed""")
+SQL["v4_random_holdouts"] = with_ctes(f"""
+SELECT seed, CAST(count_if(t) AS BIGINT) AS n_test, CAST(count_if(NOT t) AS BIGINT) AS n_train
+FROM (SELECT s.seed, {hash_sql('s.seed', ROWKEY)} < {0.2 * 16 ** 8} AS t
+      FROM clean CROSS JOIN range(5) s(seed) WHERE mg_rej IS NOT NULL)
+GROUP BY seed""")
+
+# ------------------------------------------------------------------ metrics
+
+
+def metrics_sql(y="y", p="y_pred"):
+    e = f"({p} - {y})"
+    return (f"count(*) AS n, CASE WHEN var_pop({y}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({y}) * count(*)) END AS r2, "
+            f"sqrt(sum({e} * {e}) / count(*)) AS rmse, avg(abs({e})) AS mae, avg({e}) AS bias, "
+            f"avg(CASE WHEN {y} < 90 THEN abs({e}) END) AS tail_mae")
+
+
+_MCOLS = ["r2", "rmse", "mae", "bias", "tail_mae"]
+SQL["a4_regression_metrics"] = with_ctes(f"""
+SELECT target, candidate, n, {r6(_MCOLS)} FROM (
+  SELECT target, candidate, {metrics_sql()} FROM sl GROUP BY target, candidate)""", TL_CTE)
+
+SQL["a5_holdout_mean_sd"] = with_ctes(f"""
+SELECT target, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_sd,
+       round(min(r2), 6) AS r2_min, round(max(r2), 6) AS r2_max,
+       round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_sd,
+       round(min(rmse), 6) AS rmse_min, round(max(rmse), 6) AS rmse_max
+FROM (SELECT target, seed, {metrics_sql()} FROM (
+        SELECT sl.*, s.seed FROM sl CROSS JOIN range(5) s(seed)
+        WHERE candidate = 'A' AND {hash_sql('s.seed', ROWKEY)} < {0.2 * 16 ** 8})
+      GROUP BY target, seed)
+GROUP BY target""", TL_CTE)
+
+SQL["a7_auc_average_precision"] = with_ctes(f"""
+SELECT n_pos, n_neg,
+       round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN auc_num / (n_pos * n_neg) END, 6) AS roc_auc,
+       round(CASE WHEN n_pos > 0 THEN ap_num / n_pos END, 6) AS average_precision
+FROM (
+  SELECT CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg,
+         sum(n_pos * neg_below + 0.5 * n_pos * n_neg) AS auc_num,
+         sum(n_pos * (tp / (tp + fp))) AS ap_num
+  FROM (
+    SELECT *, COALESCE(sum(n_neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+           sum(n_pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+           sum(n_neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+    FROM (SELECT round(score, 4) AS s, count_if(fail = 1) AS n_pos, count_if(fail = 0) AS n_neg
+          FROM risk GROUP BY 1)))""", TL_CTE)
+
+SQL["a8_alert_metrics"] = with_ctes(f"""
+SELECT count(*) AS n, CAST(count_if(fail = 1) AS BIGINT) AS n_failure,
+       round(count_if(fail = 1) / count(*), 6) AS failure_rate,
+       round(CASE WHEN count_if(fail = 1) > 0 THEN count_if(score >= 0.2 AND fail = 1) / count_if(fail = 1) END, 6) AS recall_at_alert,
+       round(CASE WHEN count_if(score >= 0.2) > 0 THEN count_if(score >= 0.2 AND fail = 1) / count_if(score >= 0.2) END, 6) AS precision_at_alert,
+       CAST(count_if(score >= 0.2) AS BIGINT) AS n_alerted
+FROM risk""", TL_CTE)
+
+SQL["a9_target_summary"] = with_ctes("""
+SELECT target, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS sd,
+       round(min(y), 6) AS min, round(max(y), 6) AS max,
+       CAST(count_if(y < 80) AS BIGINT) AS n_lt80, CAST(count_if(y < 85) AS BIGINT) AS n_lt85,
+       CAST(count_if(y < 90) AS BIGINT) AS n_lt90
+FROM tl GROUP BY target""", TL_CTE)
+
+_PHI_FEATS = PHYSICS + OPF
+_phi_u = " UNION ALL ".join(f"SELECT l_orderkey, '{c}' AS feature, {c} AS x FROM feat WHERE mg_rej IS NOT NULL"
+                            for c in _PHI_FEATS)
+SQL["a11_shap_summary"] = with_ctes(f"""
+SELECT feature, round(mean_abs_shap, 6) AS mean_abs_shap, round(mean_shap, 6) AS mean_shap,
+       round(direction_corr, 6) AS direction_corr FROM (
+  SELECT feature, avg(abs(phi)) AS mean_abs_shap, avg(phi) AS mean_shap,
+         CASE WHEN stddev_pop(x) > 1e-12 AND stddev_pop(phi) > 1e-12 THEN corr(x, phi) END AS direction_corr
+  FROM (SELECT *, {D(0.01)} * CAST(l_orderkey % 7 - 3 AS DOUBLE) * COALESCE(x, {D(0.0)}) AS phi
+        FROM ({_phi_u}))
+  GROUP BY feature)
+ORDER BY round(mean_abs_shap, 9) DESC, feature LIMIT 10""", FEAT_CTE)
+
+SQL["a12_histogram"] = with_ctes("""
+SELECT target, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(first(lo), 6) AS lo, round(first(hi), 6) AS hi
+FROM (SELECT tl.target, tl.y, m.lo, m.hi,
+             CASE WHEN m.hi > m.lo THEN LEAST(floor(30.0 * (tl.y - m.lo) / (m.hi - m.lo)) + 1, 30) - 1 ELSE 0 END AS bin
+      FROM tl JOIN (SELECT target, min(y) AS lo, max(y) AS hi FROM tl GROUP BY target) m USING (target))
+GROUP BY target, bin""", TL_CTE)
+
+SQL["a13_fold_failures"] = with_ctes(f"""
+SELECT fold, train_failures, train_non_failures,
+       (train_failures < 14 OR train_non_failures < 20) AS fallback
+FROM (SELECT fold, CAST(tf - f AS BIGINT) AS train_failures, CAST((tn - n) - (tf - f) AS BIGINT) AS train_non_failures
+      FROM (SELECT fold, count_if(mg_rej < 80) AS f, count(*) AS n FROM (
+              SELECT *, CAST({hash_sql('42', 'synth_key')} % 5 AS INTEGER) AS fold
+              FROM clean WHERE mg_rej IS NOT NULL) GROUP BY fold)
+      CROSS JOIN (SELECT count_if(mg_rej < 80) AS tf, count(*) AS tn FROM clean WHERE mg_rej IS NOT NULL))""")
+
+SQL["o2_rank_methods"] = with_ctes(f"""
+SELECT target, candidate, n, {r6(_MCOLS)},
+       dense_rank() OVER (PARTITION BY target ORDER BY round(r2, 9) DESC, round(mae, 9)) AS rank
+FROM (SELECT target, candidate, {metrics_sql()} FROM sl GROUP BY target, candidate)""", TL_CTE)
+
+_imp_u = " UNION ALL ".join(
+    f"SELECT target, '{c}' AS feature, CASE WHEN stddev_pop({c}) > 1e-12 AND stddev_pop(y) > 1e-12 THEN abs(corr({c}, y)) END AS importance FROM ft GROUP BY target"
+    for c in _FEATS_ALL)
+_ft_parts = " UNION ALL ".join(
+    f"SELECT *, '{k}' AS target, {c} AS y FROM feat" for k, c in TARGETS.items())
+SQL["o3_top_features"] = with_ctes(f"""
+SELECT target, feature, round(importance, 6) AS importance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(importance, 9) DESC, feature) AS rank
+  FROM ({_imp_u}) WHERE importance IS NOT NULL AND NOT isnan(importance))
+WHERE rank <= 15""", FEAT_CTE, f"""
+ft AS (SELECT * FROM ({_ft_parts}) WHERE y IS NOT NULL
+       AND NOT (target = 'Flux_Mg' AND y > {D(40.0)}) AND NOT (target = 'Flux_Li' AND y > {D(30.0)}))""")
+
+
+def _interval_sql(rej):
+    p_lo = inv_sql("(zp + q_lo)", rej)
+    p_hi = inv_sql("(zp + q_hi)", rej)
+    lo, hi = f"LEAST({p_lo}, {p_hi})", f"GREATEST({p_lo}, {p_hi})"
+    if rej:
+        lo, hi = clip(lo, 0.0, 100.0), clip(hi, 0.0, 100.0)
+    return lo, hi
+
+
+_lo_r, _hi_r = _interval_sql(True)
+_lo_o, _hi_o = _interval_sql(False)
+SQL["m4_residual_interval"] = with_ctes(f"""
+SELECT target, round(first(q_lo), 6) AS q_lo, round(first(q_hi), 6) AS q_hi,
+       round(avg(CAST(y >= lo AND y <= hi AS DOUBLE)), 6) AS coverage, round(avg(hi - lo), 6) AS mean_width
+FROM (SELECT *, CASE WHEN {REJ_IN} THEN {_lo_r} ELSE {_lo_o} END AS lo,
+                CASE WHEN {REJ_IN} THEN {_hi_r} ELSE {_hi_o} END AS hi
+      FROM zz JOIN (SELECT target, quantile_cont(z - zp, 0.1) AS q_lo, quantile_cont(z - zp, 0.9) AS q_hi
+                    FROM zz GROUP BY target) q USING (target))
+GROUP BY target""", TL_CTE, f"""
+zz AS (SELECT *, {by_target(fwd_sql, 'y')} AS z, {by_target(fwd_sql, 'pred_a')} AS zp FROM si)""")
+
+_W11 = ", ".join(repr(0.5 + 0.05 * i) for i in range(11))
+SQL["m5_blend_weight"] = with_ctes(f"""
+SELECT target, top1, top2, round(weight, 6) AS weight, round(r2, 6) AS r2,
+       CASE WHEN weight >= 0.999 THEN top1 ELSE top1 || '+' || top2 END AS model
+FROM (
+  SELECT t.target, t.top1, t.top2,
+         CASE WHEN b.r2 > t.top1_r2 THEN b.w ELSE 1.0 END AS weight,
+         CASE WHEN b.r2 > t.top1_r2 THEN b.r2 ELSE t.top1_r2 END AS r2
+  FROM top t JOIN (
+    SELECT target, w, r2 FROM (
+      SELECT *, row_number() OVER (PARTITION BY target ORDER BY r2 DESC, w) AS rn FROM grid) WHERE rn = 1) b
+  USING (target))""", TL_CTE, f"""
+m AS (SELECT target, candidate, CASE WHEN var_pop(y) > 0 THEN 1 - sum((y_pred - y) * (y_pred - y)) / (var_pop(y) * count(*)) END AS r2
+      FROM sl GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY r2 DESC, candidate) AS rn FROM m),
+top AS (SELECT a.target, a.candidate AS top1, a.r2 AS top1_r2, b.candidate AS top2
+        FROM rk a JOIN rk b ON a.target = b.target AND a.rn = 1 AND b.rn = 2),
+pp AS (SELECT si.*, CASE WHEN top1 = 'A' THEN pred_a ELSE pred_b END AS p1,
+              CASE WHEN top2 = 'A' THEN pred_a ELSE pred_b END AS p2
+       FROM si JOIN top USING (target)),
+grid AS (SELECT target, w, CASE WHEN var_pop(y) > 0 THEN 1 - sum((w * p1 + (1 - w) * p2 - y) * (w * p1 + (1 - w) * p2 - y)) / (var_pop(y) * count(*)) END AS r2
+         FROM pp CROSS JOIN (SELECT unnest([{_W11}]) AS w) GROUP BY target, w)""")
+
+_W10 = ", ".join(repr(0.1 * i) for i in range(11))
+SQL["m7_blend_grid"] = with_ctes(f"""
+SELECT target, round(w, 1) AS w,
+       round(CASE WHEN var_pop(y) > 0 THEN 1 - sum((w * pred_a + (1 - w) * pred_b - y) * (w * pred_a + (1 - w) * pred_b - y)) / (var_pop(y) * count(*)) END, 6) AS r2,
+       round(avg(abs(w * pred_a + (1 - w) * pred_b - y)), 6) AS mae
+FROM si CROSS JOIN (SELECT unnest([{_W10}]) AS w) GROUP BY target, w""", TL_CTE)
+
+# ------------------------------------------------------ grids and rankings
+SCORED_CTE = CLEAN_CTE + f""",
+scored AS (
+  SELECT *, {_S['score']} AS score FROM clean
+  WHERE mg_rej IS NOT NULL AND li_rej IS NOT NULL AND flux_mg IS NOT NULL AND pwp IS NOT NULL),
+bestpair AS (
+  SELECT smiles_part1 AS aq, smiles_part2 AS org, l_orderkey, l_linenumber, membrane, score, n_measured FROM (
+    SELECT *, row_number() OVER (PARTITION BY smiles_part1, smiles_part2 ORDER BY score DESC, {ORDER}) AS _rn,
+           count(*) OVER (PARTITION BY smiles_part1, smiles_part2) AS n_measured FROM scored)
+  WHERE _rn = 1)"""
+SQL["a1_best_condition"] = with_ctes(
+    "SELECT aq, org, l_orderkey, l_linenumber, membrane, round(score, 6) AS score, n_measured FROM bestpair",
+    SCORED_CTE)
+SQL["a2_best_per_amine"] = with_ctes("""
+SELECT aq, org, best_score, l_orderkey FROM (
+  SELECT aq, org, round(round(score, 6), 4) AS best_score, l_orderkey,
+         row_number() OVER (PARTITION BY aq ORDER BY round(round(score, 6), 4) DESC, org) AS rn
+  FROM bestpair) WHERE rn = 1
+ORDER BY best_score DESC, aq LIMIT 15""", SCORED_CTE)
+SQL["o1_top_n_recipes"] = with_ctes(f"""
+SELECT {ROW_ID}, smiles_part1, smiles_part2, round(score, 4) AS score FROM scored
+ORDER BY round(score, 4) DESC, {ORDER} LIMIT 15""", SCORED_CTE)
+
+_G1 = {"D1": [0.2, 0.5, 1.0, 1.5, 2.0], "D2": [0.10, 0.15, 0.20, 0.30], "T1": [60.0, 120.0, 300.0],
+       "T2": [30.0, 60.0, 120.0]}
+_grid_from = " CROSS JOIN ".join(
+    f"(SELECT unnest([{', '.join(f'{D(v)}' for v in vals)}]) AS {k})" for k, vals in _G1.items())
+_fl_body = SQL["flagship_best_pairs"].split("\nSELECT smiles_part1 AS aq", 1)
+SQL["j1_recipe_grid"] = SQL["flagship_best_pairs"].replace(
+    "\nSELECT smiles_part1 AS aq", ",\nfl AS (SELECT smiles_part1 AS aq", 1) + f""")
+SELECT aq, org, membrane, D1, D2, T1, T2, round(D1 * T1, 6) AS conc_x_time, round(sqrt(T1), 6) AS sqrt_t1,
+       round(sqrt(T2), 6) AS sqrt_t2, round(D1 / (D2 + {D(1e-6)}), 6) AS d_ratio, round(D1 * D1, 6) AS d1_sq,
+       round(D1 * D2, 6) AS d1_x_d2
+FROM fl CROSS JOIN {_grid_from}"""
+
+_G2 = {"D1": [0.5, 1.0, 2.0], "D2": [0.15, 0.30], "T1": [120.0, 300.0], "T2": [60.0]}
+_grid2 = " CROSS JOIN ".join(
+    f"(SELECT unnest([{', '.join(f'{D(v)}' for v in vals)}]) AS {k})" for k, vals in _G2.items())
+_dsel = ", ".join(f"{e} AS {k}" for k, e in desc_sql("smiles").items())
+_agg2 = ", ".join([f"round(a.{k} + o.{k}, 6) AS agg_{k}" for k in DESC]
+                  + [f"round(a.{k} * D1 + o.{k} * D2, 6) AS wtd_{k}" for k in DESC])
+_ip2 = clip(f"(D1 * GREATEST(a.n_amine, {D(0.0)})) / (D2 * GREATEST(a.nCl + o.nCl, {D(0.0)}) + {D(1e-6)})", 0.0, 50.0)
+_ip2 = clip(f"(D1 * GREATEST(a.n_amine + o.n_amine, {D(0.0)})) / (D2 * GREATEST(a.nCl + o.nCl, {D(0.0)}) + {D(1e-6)})", 0.0, 50.0)
+GRID2_CTE = MONO_CTE + f""",
+cd AS (SELECT smiles, role, in_dataset, {_dsel} FROM cand WHERE role IS NOT NULL),
+g2 AS (SELECT a.smiles AS aq, o.smiles AS org, a.in_dataset AS aq_in_dataset, o.in_dataset AS org_in_dataset,
+              D1, D2, T1, T2, {_agg2}, round({_ip2}, 6) AS ip_balance
+       FROM (SELECT * FROM cd WHERE role = 'aq') a CROSS JOIN (SELECT * FROM cd WHERE role = 'org') o
+       CROSS JOIN {_grid2})"""
+SQL["j2_monomer_grid"] = with_ctes(
+    "SELECT aq, org, D1, D2, T1, T2, " + ", ".join(MOL) + ", ip_balance FROM g2", GRID2_CTE)
+SQL["a3_screen_counts"] = with_ctes("""
+SELECT count(DISTINCT (aq, org)) AS n_pairs, count(*) AS n_combinations, count(DISTINCT aq) AS n_aq,
+       count(DISTINCT org) AS n_org, count(DISTINCT CASE WHEN aq_in_dataset THEN aq END) AS n_aq_from_dataset,
+       count(DISTINCT CASE WHEN org_in_dataset THEN org END) AS n_org_from_dataset FROM g2""", GRID2_CTE)
+
+SQL["u1_union_by_name"] = with_ctes("""
+SELECT batch, count(*) AS n_rows, count(membrane) AS n_membrane,
+       count(CASE WHEN batch = 1 THEN ra END) AS n_ra FROM recipes GROUP BY batch""", RECIPES_CTE)

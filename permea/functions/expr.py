@@ -35,3 +35,17 @@ def to_number(c) -> Column:
 def r6(c) -> Column:
     """Round a double to 6 places (stable output for cross-engine checks)."""
     return F.round(col(c), 6)
+
+
+def safe_corr(x, y, eps: float = 1e-12) -> Column:
+    """Pearson correlation, NULL when either side is (nearly) constant.
+
+    Written as ``covar_pop / (sd_x * sd_y)`` with ``try_divide``: under ANSI
+    mode the built-in ``corr`` raises on a zero variance even inside a CASE,
+    because the aggregate result is evaluated as a common sub-expression.
+    """
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()            # pairwise-complete rows only
+    x, y = F.when(both, x), F.when(both, y)
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > eps) & (sy > eps), F.try_divide(F.covar_pop(x, y), sx * sy))

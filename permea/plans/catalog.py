@@ -208,3 +208,367 @@ def q_p20(spark, sf_dir):
 def q_p33(spark, sf_dir):
     f = features(spark, sf_dir)
     return _r6(f.select(*ROW_ID, *FE.physics_subset(f.columns)))
+
+
+# ------------------------------------------------------- transforms, scores
+from ..functions import transforms as TR  # noqa: E402
+from ..functions.score import composite_score, mg_retention_logscore  # noqa: E402
+from ..operators import blend as BL  # noqa: E402
+from ..operators import grid as GR  # noqa: E402
+from ..operators import impute as IM  # noqa: E402
+from ..operators import metrics as ME  # noqa: E402
+from ..operators import rank as RK  # noqa: E402
+from ..operators import select as SE  # noqa: E402
+from ..operators import splits as SP  # noqa: E402
+from ..sources import library as LB  # noqa: E402
+from ..sources import standins as ST  # noqa: E402
+
+REJ = list(TR.REJECTIONS)
+
+
+def _by_target(fn_rej, fn_other, y):
+    return F.when(F.col("target").isin(REJ), fn_rej(y)).otherwise(fn_other(y))
+
+
+@query("p21_target_transform")
+def q_p21(spark, sf_dir):
+    t = ST.target_long(clean(spark, sf_dir))
+    z = _by_target(lambda y: TR.fwd_transform("Mg_rej", y), lambda y: TR.fwd_transform("PWP", y), "y")
+    t = t.withColumn("z", z)
+    back = _by_target(lambda c: TR.inv_transform("Mg_rej", c), lambda c: TR.inv_transform("PWP", c), "z")
+    return _r6(t.select(*ROW_ID, "target", "y", "z", back.alias("y_back")))
+
+
+@query("p22_stage1_transform")
+def q_p22(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    items = [F.struct(F.lit(n).alias("char"), F.col(src).alias("y"))
+             for n, src in FE.STAGE1_SOURCE.items()]
+    t = c.select(*ROW_ID, F.explode(F.array(*items)).alias("t")).select(*ROW_ID, "t.*") \
+        .where(F.col("y").isNotNull())
+    is_log = F.col("char") == "MWCO_Da"
+    z = F.when(is_log, TR.stage1_fwd("MWCO_Da", "y", "log")).otherwise(F.col("y"))
+    t = t.withColumn("z", z)
+    back = F.when(is_log, TR.stage1_inv("MWCO_Da", "z", "log")).otherwise(F.col("z"))
+    return _r6(t.select(*ROW_ID, "char", "y", "z", back.alias("y_back")))
+
+
+@query("p23_logit_transform")
+def q_p23(spark, sf_dir):
+    c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
+    z = TR.logit_fwd("mg_rej")
+    return _r6(c.select(*ROW_ID, F.col("mg_rej").alias("y"), z.alias("z"),
+                        TR.logit_inv(z).alias("y_back"),
+                        TR.fwd_transform("Mg_rej", "mg_rej").alias("z_complement_log")))
+
+
+@query("p24_clip_round")
+def q_p24(spark, sf_dir):
+    s = ST.standin_predictions(clean(spark, sf_dir))
+    lo, hi = F.least("pred_a", "pred_b"), F.greatest("pred_a", "pred_b")
+    is_rej = F.col("target").isin(REJ)
+
+    def fix(c):
+        return F.round(F.when(is_rej, GR_clip(c)).otherwise(c), 2)
+    return s.select(*ROW_ID, "target", fix(F.col("pred_a")).alias("value"),
+                    fix(lo).alias("lo"), fix(hi).alias("hi"))
+
+
+def GR_clip(c):
+    from ..functions.score import clip_rejection
+    return clip_rejection(c)
+
+
+@query("p25_mg_logscore")
+def q_p25(spark, sf_dir):
+    c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
+    return _r6(c.select(*ROW_ID, "mg_rej", mg_retention_logscore("mg_rej").alias("mg_logscore")))
+
+
+@query("p26_composite_score")
+def q_p26(spark, sf_dir):
+    parts = composite_score("mg_rej", "li_rej", "flux_mg", "pwp")
+    return _r6(clean(spark, sf_dir).select(*ROW_ID, *[v.alias(k) for k, v in parts.items()]))
+
+
+STANDIN_CHAR = {"wca": "pred_wca", "zeta": "pred_zeta", "pore": "pred_pore",
+                "mwco": "pred_mwco", "thickness": "pred_thickness"}
+
+
+def standin_char_predictions(df: DataFrame) -> DataFrame:
+    pk, sk = F.col("l_partkey"), F.col("l_suppkey")
+    return df.withColumns({
+        "pred_wca": 40.0 + (pk % 13).cast("double"),
+        "pred_zeta": (pk % 21 - 10).cast("double"),
+        "pred_pore": 0.3 + 0.01 * (sk % 20).cast("double"),
+        "pred_mwco": 200.0 + (pk % 300).cast("double"),
+        "pred_thickness": 50.0 + (sk % 50).cast("double")})
+
+
+@query("p27_fill_characterisation")
+def q_p27(spark, sf_dir):
+    c = standin_char_predictions(clean(spark, sf_dir))
+    f = GR.fill_characterisation(c, STANDIN_CHAR)
+    return _r6(f.select(*ROW_ID, *STANDIN_CHAR, *[f"filled_{k}" for k in STANDIN_CHAR],
+                        "char_source"))
+
+
+@query("p29_impute_medians")
+def q_p29(spark, sf_dir):
+    f = features(spark, sf_dir)
+    names = [c for c in f.columns if c not in ROW_ID]
+    return _r6(IM.medians_table(f, names))
+
+
+@query("p30_standardise")
+def q_p30(spark, sf_dir):
+    f = features(spark, sf_dir)
+    names = [c for c in f.columns if c not in ROW_ID]
+    return _r6(IM.scaler_table(f, names))
+
+
+@query("p32_mutual_info_topk")
+def q_p32(spark, sf_dir):
+    f = features(spark, sf_dir, keep=ROW_ID + ["mg_rej"]).where(F.col("mg_rej").isNotNull())
+    names = [c for c in f.columns if c not in ROW_ID + ["mg_rej"]]
+    f = f.withColumn("z", TR.fwd_transform("Mg_rej", "mg_rej"))
+    return _r6(SE.mutual_info_topk(f, names, "z", k=20, bins=10))
+
+
+# ------------------------------------------------------------------ splits
+@query("v1_row_folds")
+def q_v1(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    return SP.with_fold(c, 5, SP.row_key(), seed=42).select(*ROW_ID, "fold")
+
+
+@query("v2_group_folds")
+def q_v2(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    f = SP.with_fold(c, SP.group_k(c), F.col("synth_key"), seed=42)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"),
+                                 F.count_distinct("synth_key").alias("n_groups"))
+
+
+@query("v3_group_shuffle_split")
+def q_v3(spark, sf_dir):
+    c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
+    s = SP.seeds_frame(c.select("synth_key"), list(range(20)))
+    s = SP.with_holdout(s, F.col("synth_key"), F.col("seed"), 0.2)
+    return s.groupBy("seed").agg(F.count_if("is_test").alias("n_test_rows"),
+                                 F.count_if(~F.col("is_test")).alias("n_train_rows"),
+                                 F.count_distinct(F.when(F.col("is_test"), F.col("synth_key")))
+                                 .alias("n_test_groups"))
+
+
+@query("v4_random_holdouts")
+def q_v4(spark, sf_dir):
+    c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
+    s = SP.seeds_frame(c.select(*ROW_ID), list(range(5)))
+    s = SP.with_holdout(s, SP.row_key(), F.col("seed"), 0.2)
+    return s.groupBy("seed").agg(F.count_if("is_test").alias("n_test"),
+                                 F.count_if(~F.col("is_test")).alias("n_train"))
+
+
+# ------------------------------------------------------------------ metrics
+def standin_metrics(spark, sf_dir) -> DataFrame:
+    return ME.regression_metrics(ST.standin_long(clean(spark, sf_dir)), ["target", "candidate"])
+
+
+@query("a4_regression_metrics")
+def q_a4(spark, sf_dir):
+    return _r6(standin_metrics(spark, sf_dir))
+
+
+@query("a5_holdout_mean_sd")
+def q_a5(spark, sf_dir):
+    s = ST.standin_long(clean(spark, sf_dir)).where(F.col("candidate") == "A")
+    s = SP.with_holdout(SP.seeds_frame(s, list(range(5))), SP.row_key(), F.col("seed"), 0.2)
+    m = ME.regression_metrics(s.where("is_test"), ["target", "seed"])
+    return _r6(ME.mean_sd(m, ["target"], ["r2", "rmse"]))
+
+
+@query("a7_auc_average_precision")
+def q_a7(spark, sf_dir):
+    return _r6(ME.auc_ap(ST.risk_scores(clean(spark, sf_dir))))
+
+
+@query("a8_alert_metrics")
+def q_a8(spark, sf_dir):
+    return _r6(ME.alert_metrics(ST.risk_scores(clean(spark, sf_dir)), alert_at=0.2))
+
+
+@query("a9_target_summary")
+def q_a9(spark, sf_dir):
+    return _r6(ME.target_summary(ST.target_long(clean(spark, sf_dir)), "y", ["target"]))
+
+
+def standin_phi(spark, sf_dir) -> DataFrame:
+    f = features(spark, sf_dir, keep=ROW_ID + ["mg_rej"]).where(F.col("mg_rej").isNotNull())
+    names = FE.PHYSICS_COLS + FE.OP_FEATURES
+    items = [F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names]
+    u = f.select("l_orderkey", F.explode(F.array(*items)).alias("u")).select("l_orderkey", "u.*")
+    phi = 0.01 * (F.col("l_orderkey") % 7 - 3).cast("double") * F.coalesce("x", F.lit(0.0))
+    return u.withColumn("phi", phi)
+
+
+@query("a11_shap_summary")
+def q_a11(spark, sf_dir):
+    return _r6(ME.shap_summary(standin_phi(spark, sf_dir), top_k=10))
+
+
+@query("a12_histogram")
+def q_a12(spark, sf_dir):
+    return _r6(ME.histogram(ST.target_long(clean(spark, sf_dir)), "y", 30, ["target"]))
+
+
+@query("a13_fold_failures")
+def q_a13(spark, sf_dir):
+    c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
+    c = SP.with_fold(c, 5, F.col("synth_key"), seed=42)
+    return ME.fold_failure_counts(c, "mg_rej")
+
+
+@query("o2_rank_methods")
+def q_o2(spark, sf_dir):
+    return _r6(ME.rank_methods(standin_metrics(spark, sf_dir), ["target"]))
+
+
+@query("o3_top_features")
+def q_o3(spark, sf_dir):
+    f = features(spark, sf_dir, keep=ROW_ID + FX.TARGET_COLS)
+    names = [c for c in f.columns if c not in ROW_ID + FX.TARGET_COLS]
+    t = ST.target_long(f.withColumn("synth_key", F.lit("")), extra=names)
+    imp = SE.correlation_importance(t, names, "y", ["target"])
+    return _r6(RK.top_n_per_group(imp, ["target"], 15,
+                                  [F.desc(F.round("importance", 9)), F.asc("feature")]))
+
+
+@query("m4_residual_interval")
+def q_m4(spark, sf_dir):
+    s = ST.standin_predictions(clean(spark, sf_dir))
+    z = _by_target(lambda y: TR.fwd_transform("Mg_rej", y), lambda y: TR.fwd_transform("PWP", y), "y")
+    zp = _by_target(lambda y: TR.fwd_transform("Mg_rej", y), lambda y: TR.fwd_transform("PWP", y),
+                    "pred_a")
+    s = s.withColumns({"z": z, "zp": zp})
+    q = BL.residual_quantiles(s, ["target"], "z", "zp")
+    j = s.join(F.broadcast(q), "target")
+    rej = BL.interval("Mg_rej", F.col("zp"), F.col("q_lo"), F.col("q_hi"))
+    oth = BL.interval("PWP", F.col("zp"), F.col("q_lo"), F.col("q_hi"))
+    is_rej = F.col("target").isin(REJ)
+    lo = F.when(is_rej, rej["lo"]).otherwise(oth["lo"])
+    hi = F.when(is_rej, rej["hi"]).otherwise(oth["hi"])
+    j = j.withColumns({"lo": lo, "hi": hi})
+    return _r6(j.groupBy("target").agg(
+        F.first("q_lo").alias("q_lo"), F.first("q_hi").alias("q_hi"),
+        F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("double"))
+         .alias("coverage"),
+        F.avg(F.col("hi") - F.col("lo")).alias("mean_width")))
+
+
+@query("m5_blend_weight")
+def q_m5(spark, sf_dir):
+    s = ST.standin_predictions(clean(spark, sf_dir))
+    top = BL.choose_top2(standin_metrics(spark, sf_dir), ["target"])
+    j = s.join(F.broadcast(top), "target")
+    p1 = F.when(F.col("top1") == "A", F.col("pred_a")).otherwise(F.col("pred_b"))
+    p2 = F.when(F.col("top2") == "A", F.col("pred_a")).otherwise(F.col("pred_b"))
+    j = j.withColumns({"p1": p1, "p2": p2})
+    grid = BL.weight_grid(j, ["target"], "y", "p1", "p2", BL.WEIGHTS_050_100)
+    best = BL.best_weight(grid, ["target"], top.select("target", "top1_r2"))
+    out = best.join(top, "target").select(
+        "target", "top1", "top2", "weight", "r2",
+        F.when(F.col("weight") >= 0.999, F.col("top1"))
+         .otherwise(F.concat_ws("+", "top1", "top2")).alias("model"))
+    return _r6(out)
+
+
+@query("m7_blend_grid")
+def q_m7(spark, sf_dir):
+    s = ST.standin_predictions(clean(spark, sf_dir))
+    return _r6(BL.weight_grid(s, ["target"], "y", "pred_a", "pred_b", BL.WEIGHTS_000_100)
+               .withColumn("w", F.round("w", 1)))
+
+
+# ------------------------------------------------------ grids and rankings
+@query("a1_best_condition")
+def q_a1(spark, sf_dir):
+    scored = FL.measured_scores(raw(spark, sf_dir))
+    best = RK.best_per_group(scored, FL.PAIR, "score", FX.ORDER_COLS,
+                             payload=["l_orderkey", "l_linenumber", "membrane", "score"],
+                             count_name="n_measured")
+    return _r6(best.withColumnsRenamed({"smiles_part1": "aq", "smiles_part2": "org"}))
+
+
+@query("a2_best_per_amine")
+def q_a2(spark, sf_dir):
+    pairs = q_a1(spark, sf_dir)
+    best = RK.best_per_group(pairs.withColumn("score4", F.round("score", 4)), ["aq"], "score4",
+                             ["org"], payload=["org", "score4", "l_orderkey"])
+    return RK.top_n(best.withColumnRenamed("score4", "best_score"), 15,
+                    [F.desc("best_score"), F.asc("aq")])
+
+
+@query("o1_top_n_recipes")
+def q_o1(spark, sf_dir):
+    scored = FL.measured_scores(raw(spark, sf_dir))
+    out = scored.select(*ROW_ID, "smiles_part1", "smiles_part2",
+                        F.round("score", 4).alias("score"), "l_extendedprice", "l_shipdate")
+    return RK.top_n(out, 15, [F.desc("score")] + [F.asc(c) for c in FX.ORDER_COLS]) \
+        .drop("l_extendedprice", "l_shipdate")
+
+
+@query("j1_recipe_grid")
+def q_j1(spark, sf_dir):
+    base = q_flagship(spark, sf_dir).select("aq", "org", "membrane")
+    g = GR.explode_grid(base, LB.RECIPE_GRID, limit=LB.RECIPE_GRID_LIMIT * 15, base_rows=15)
+    syn = FE.synthesis_columns()
+    g = g.withColumns({"density_part1": F.col("D1"), "density_part2": F.col("D2"),
+                       "time_1": F.col("T1"), "time_2": F.col("T2"),
+                       "agg_n_amine": F.lit(0.0), "agg_nCl": F.lit(0.0)})
+    return _r6(g.select("aq", "org", "membrane", "D1", "D2", "T1", "T2",
+                        *[syn[c].alias(c) for c in ["conc_x_time", "sqrt_t1", "sqrt_t2",
+                                                    "d_ratio", "d1_sq", "d1_x_d2"]]))
+
+
+def monomer_grid(spark, sf_dir) -> DataFrame:
+    cands = MO.candidates(clean(spark, sf_dir))
+    desc = CH.descriptors("smiles")
+    dimmed = cands.select("smiles", "role", "in_dataset", *[v.alias(k) for k, v in desc.items()])
+    pairs = GR.monomer_pairs(dimmed)
+    g = GR.explode_grid(pairs, LB.MONOMER_GRID)
+    cols = {}
+    for k in CH.DESC_KEYS:
+        cols[f"agg_{k}"] = F.col(f"aq_{k}") + F.col(f"org_{k}")
+        cols[f"wtd_{k}"] = F.col(f"aq_{k}") * F.col("D1") + F.col(f"org_{k}") * F.col("D2")
+    return g.withColumns(cols)
+
+
+@query("j2_monomer_grid")
+def q_j2(spark, sf_dir):
+    g = monomer_grid(spark, sf_dir)
+    ip = (F.col("D1") * F.greatest(F.col("agg_n_amine"), F.lit(0.0))) / \
+         (F.col("D2") * F.greatest(F.col("agg_nCl"), F.lit(0.0)) + 1e-6)
+    from ..functions.expr import clip
+    return _r6(g.select("aq", "org", "D1", "D2", "T1", "T2", *FE.MOL_COLS,
+                        clip(ip, 0.0, 50.0).alias("ip_balance")))
+
+
+@query("a3_screen_counts")
+def q_a3(spark, sf_dir):
+    g = monomer_grid(spark, sf_dir)
+    return g.agg(F.count_distinct("aq", "org").alias("n_pairs"),
+                 F.count(F.lit(1)).alias("n_combinations"),
+                 F.count_distinct("aq").alias("n_aq"), F.count_distinct("org").alias("n_org"),
+                 F.count_distinct(F.when(F.col("aq_in_dataset"), F.col("aq"))).alias("n_aq_from_dataset"),
+                 F.count_distinct(F.when(F.col("org_in_dataset"), F.col("org"))).alias("n_org_from_dataset"))
+
+
+@query("u1_union_by_name")
+def q_u1(spark, sf_dir):
+    b1, b2 = FX.recipe_batches(spark, sf_dir)
+    # the second sheet lacks two columns: unionByName fills them with NULL
+    u = b1.unionByName(b2.drop("ra", "rq"), allowMissingColumns=True)
+    return u.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"),
+                                  F.count("membrane").alias("n_membrane"),
+                                  F.count("ra").alias("n_ra"))
