@@ -365,15 +365,16 @@ SQL["p33_physics_subset"] = feat_select(
 
 # ------------------------------------------------------- transforms, scores
 _TL_PARTS = " UNION ALL ".join(
-    f"SELECT {ROW_ID}, synth_key, '{k}' AS target, {c} AS y FROM clean" for k, c in TARGETS.items())
+    f"SELECT {ROW_ID}, l_extendedprice, synth_key, '{k}' AS target, {c} AS y FROM clean"
+    for k, c in TARGETS.items())
 TL_CTE = CLEAN_CTE + f""",
 tl AS (SELECT * FROM ({_TL_PARTS}) WHERE y IS NOT NULL
        AND NOT (target = 'Flux_Mg' AND y > {D(40.0)}) AND NOT (target = 'Flux_Li' AND y > {D(30.0)})),
 si AS (SELECT *, y + CAST((l_orderkey + 3 * l_partkey) % 11 - 5 AS DOUBLE) * {D(0.1)} AS pred_a,
               y + CAST((l_orderkey + 3 * l_partkey + 5) % 11 - 5 AS DOUBLE) * {D(0.15)} AS pred_b
        FROM tl),
-sl AS (SELECT {ROW_ID}, synth_key, target, y, 'A' AS candidate, pred_a AS y_pred FROM si
-       UNION ALL SELECT {ROW_ID}, synth_key, target, y, 'B', pred_b FROM si),
+sl AS (SELECT {ROW_ID}, l_extendedprice, synth_key, target, y, 'A' AS candidate, pred_a AS y_pred FROM si
+       UNION ALL SELECT {ROW_ID}, l_extendedprice, synth_key, target, y, 'B', pred_b FROM si),
 risk AS (SELECT {ROW_ID}, synth_key, mg_rej, CAST(mg_rej < 80 AS INTEGER) AS fail,
                 round({D(1.0)} - mg_rej / {D(100.0)} + {D(0.01)} * CAST(l_suppkey % 10 AS DOUBLE), 4) AS score
          FROM clean WHERE mg_rej IS NOT NULL)"""
@@ -492,7 +493,8 @@ def hash_sql(seed: str, key: str) -> str:
     return f"CAST(('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || {key}), 1, 8)) AS BIGINT)"
 
 
-ROWKEY = "concat_ws('|', batch, l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+ROWKEY = ("concat_ws('|', batch, l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+          "CAST(round(l_extendedprice * 100) AS BIGINT))")
 SQL["v1_row_folds"] = with_ctes(
     f"SELECT {ROW_ID}, CAST({hash_sql('42', ROWKEY)} % 5 AS INTEGER) AS fold FROM clean")
 SQL["v2_group_folds"] = with_ctes(f"""

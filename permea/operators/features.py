@@ -195,3 +195,30 @@ def physics_subset(names: list[str]) -> list[str]:
                 "zeta_", "steric_", "donnan", "pore_", "mwco_", "pressure", "feed", "p_",
                 "log_feed")
     return [c for c in names if c.startswith(prefixes)]
+
+
+def with_features(df: DataFrame, categories: list[str], names: list[str] | None = None,
+                  recipe_only: bool = False, medians: DataFrame | None = None,
+                  monomers: DataFrame | None = None) -> DataFrame:
+    """Append the model matrix to ``df`` keeping every input column.
+
+    ``pressure``/``feed`` come back median-filled (they are features too);
+    every other input column is unchanged.  Used on scoring batches, where
+    predictions must stay on the input rows without any join.
+    """
+    x = with_molecular(df, monomers)
+    x = with_operating(x, medians)
+    x = x.withColumns(synthesis_columns())
+    feats: dict[str, Column] = {}
+    if not recipe_only:
+        for src, dst in CHAR_RENAME.items():
+            feats[dst] = F.col(src).cast("double")
+        feats.update(physics_columns())
+        feats.update(structure_columns())
+    for c in SYNTH_COLS + OP_FEATURES + MOL_COLS:
+        feats[c] = F.col(c)
+    feats.update(onehot_columns(categories))
+    order = names or (recipe_feature_names(categories) if recipe_only else feature_names(categories))
+    extra = [(feats[n] if n in feats else F.lit(None).cast("double")).cast("double").alias(n)
+             for n in order if n not in df.columns]
+    return x.select(*[F.col(c) for c in df.columns], *extra)

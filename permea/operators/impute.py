@@ -39,7 +39,7 @@ def medians_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_medians(df: DataFrame, medians: dict[str, float | None],
-                  indicators: bool = False) -> tuple[DataFrame, list[str]]:
+                  indicators: bool = False, drop: bool = True) -> tuple[DataFrame, list[str]]:
     """Fill NULLs with the fitted medians; all-NULL columns are dropped.
 
     Returns the frame and the kept feature names (plus ``missing_<c>``
@@ -52,7 +52,10 @@ def apply_medians(df: DataFrame, medians: dict[str, float | None],
         ind = {f"missing_{c}": F.col(c).isNull().cast("double") for c in kept}
         df = df.withColumns(ind)
         names += list(ind)
-    return df.withColumns(fills).drop(*[c for c, m in medians.items() if m is None]), names
+    out = df.withColumns(fills)
+    if drop:
+        out = out.drop(*[c for c, m in medians.items() if m is None])
+    return out, names
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:

@@ -11,12 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROW_KEY_COLS = ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# A unique row key of the recipe table: the four integer keys are not unique
+# on their own, the price (in cents, exact in any engine) makes them so.
+ROW_KEY_COLS = ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                "l_extendedprice"]
 HASH_RANGE = float(16 ** 8)
 
 
 def row_key(cols: list[str] = ROW_KEY_COLS) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    parts = [F.round(F.col(c) * 100).cast("bigint").cast("string") if c == "l_extendedprice"
+             else F.col(c).cast("string") for c in cols]
+    return F.concat_ws("|", *parts)
 
 
 def hash32(key: Column, seed: int | Column) -> Column:

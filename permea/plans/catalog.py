@@ -364,7 +364,7 @@ def q_v3(spark, sf_dir):
 @query("v4_random_holdouts")
 def q_v4(spark, sf_dir):
     c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
-    s = SP.seeds_frame(c.select(*ROW_ID), list(range(5)))
+    s = SP.seeds_frame(c.select(*SP.ROW_KEY_COLS), list(range(5)))
     s = SP.with_holdout(s, SP.row_key(), F.col("seed"), 0.2)
     return s.groupBy("seed").agg(F.count_if("is_test").alias("n_test"),
                                  F.count_if(~F.col("is_test")).alias("n_train"))

@@ -56,3 +56,15 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and
+    read it back: cuts the lineage (a lost executor recomputes from the
+    written files, not from the raw scan) and lets later jobs prune columns
+    and push filters into the Parquet scan."""
+    import uuid
+    spark = df.sparkSession
+    path = checkpoint_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import DOMAIN_FILTERS
 from .fixture import TARGETS
 
-ROW_ID = ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+ROW_ID = ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def target_long(clean: DataFrame, extra: list[str] | None = None) -> DataFrame:
