@@ -726,3 +726,5 @@ SELECT count(DISTINCT (aq, org)) AS n_pairs, count(*) AS n_combinations, count(D
 SQL["u1_union_by_name"] = with_ctes("""
 SELECT batch, count(*) AS n_rows, count(membrane) AS n_membrane,
        count(CASE WHEN batch = 1 THEN ra END) AS n_ra FROM recipes GROUP BY batch""", RECIPES_CTE)
+
+SQL["s1_load_recipe_files"] = SQL["u1_union_by_name"]

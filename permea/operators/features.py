@@ -52,8 +52,25 @@ def monomer_dim(df: DataFrame, slots: list[str] = SMILES_COLS) -> DataFrame:
     return m.select("smiles", *[v.alias(k) for k, v in d.items()])
 
 
+def with_molecular_inline(df: DataFrame) -> DataFrame:
+    """P12 without the dimension join: descriptors evaluated per slot in the
+    projection.  Needed on streams (no count or distinct there); more CPU per
+    row, no shuffle and no broadcast."""
+    cols = {}
+    per_slot = [descriptors(c) for c in SMILES_COLS]
+    for k in DESC_KEYS:
+        vals = [per_slot[j][k] for j in range(5)]
+        wts = [_z(DENS_COLS[j]) for j in range(5)]
+        cols[f"agg_{k}"] = vals[0] + vals[1] + vals[2] + vals[3] + vals[4]
+        p = [v * w for v, w in zip(vals, wts)]
+        cols[f"wtd_{k}"] = p[0] + p[1] + p[2] + p[3] + p[4]
+    return df.withColumns(cols)
+
+
 def with_molecular(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """``agg_*`` (sum over the five slots) and ``wtd_*`` (density-weighted)."""
+    if df.isStreaming and dim is None:
+        return with_molecular_inline(df)
     dim = dim if dim is not None else bounded_broadcast(monomer_dim(df))
     out = df
     for j, c in enumerate(SMILES_COLS, 1):
@@ -109,14 +126,20 @@ def operating_medians(df: DataFrame) -> DataFrame:
         F.coalesce(F.median("feed"), F.lit(FEED_FALLBACK)).alias("_med_f"))
 
 
-def with_operating(df: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+def with_operating(df: DataFrame, medians: DataFrame | dict | None = None) -> DataFrame:
     """Fill pressure/feed with the batch median (or given medians).
 
     The medians are one aggregated row: joining it is a broadcast of exactly
-    one row, a scalar sub-query in effect.
+    one row, a scalar sub-query in effect.  ``medians`` may also be a dict of
+    fitted values ({"pressure": .., "feed": ..}), which is what a stream uses.
     """
-    med = medians if medians is not None else operating_medians(df)
-    out = df.crossJoin(F.broadcast(med))
+    if isinstance(medians, dict):
+        out = df.withColumns({
+            "_med_p": F.lit(float(medians.get("pressure") or PRESSURE_FALLBACK)),
+            "_med_f": F.lit(float(medians.get("feed") or FEED_FALLBACK))})
+    else:
+        med = medians if medians is not None else operating_medians(df)
+        out = df.crossJoin(F.broadcast(med))
     P = F.coalesce(F.col("pressure"), F.col("_med_p"))
     Fe = F.coalesce(F.col("feed"), F.col("_med_f"))
     return out.withColumns({"_P": P, "_F": Fe}).withColumns({
@@ -198,7 +221,7 @@ def physics_subset(names: list[str]) -> list[str]:
 
 
 def with_features(df: DataFrame, categories: list[str], names: list[str] | None = None,
-                  recipe_only: bool = False, medians: DataFrame | None = None,
+                  recipe_only: bool = False, medians: DataFrame | dict | None = None,
                   monomers: DataFrame | None = None) -> DataFrame:
     """Append the model matrix to ``df`` keeping every input column.
 

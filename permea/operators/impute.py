@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_medians(df: DataFrame, cols: list[str], exact: bool = True,
-                accuracy: int = 10000) -> dict[str, float | None]:
+# Exact medians hold every distinct value of a column in the final merge; up to
+# this many rows that is cheap, beyond it the bounded-memory sketch is used.
+MAX_EXACT_MEDIAN_ROWS = 5_000_000
+
+
+def fit_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto",
+                accuracy: int = 100000) -> dict[str, float | None]:
     """Median of every column (None if the column is all NULL).
 
-    ``exact`` uses ``percentile`` (same as pandas/numpy median); on columns
-    with very many distinct values ``exact=False`` switches to
-    ``percentile_approx`` whose memory is bounded by ``accuracy``.
+    ``exact=True`` uses ``percentile`` (same as pandas/numpy median).
+    ``exact=False`` uses ``percentile_approx`` (memory bounded by ``accuracy``,
+    rank error <= 1/accuracy).  ``"auto"`` (default) is exact up to
+    ``MAX_EXACT_MEDIAN_ROWS`` rows, approximate above.
     """
+    if exact == "auto":
+        exact = df.count() <= MAX_EXACT_MEDIAN_ROWS
     if exact:
         aggs = [F.median(c).alias(c) for c in cols]
     else:

@@ -52,6 +52,8 @@ class Spec:
     loss: str = "squared"
     scale: bool = False
     indicators: bool = False
+    onehot: tuple = ()          # P31: string columns one-hot encoded inside the fit
+    select_k: int = 0           # P32: keep the top-k features by binned MI (fit rows only)
 
 
 # ---- fixed values: the reference's candidate list (names are ours for ET) ----
@@ -112,7 +114,11 @@ class Fitted:
         x, _ = apply_medians(df, self.medians, indicators=self.spec.indicators, drop=False)
         if self.scaler:
             x = apply_scaler(x, self.scaler)
-        asm = VectorAssembler(inputCols=self.kept, outputCol="_x", handleInvalid="keep")
+        inputs = list(self.kept)
+        if self.spec.onehot:
+            x, ohe_cols = _apply_onehot(x, self.spec.onehot, self.extra["onehot"])
+            inputs += ohe_cols
+        asm = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
         return asm.transform(x)
 
     def transform(self, df: DataFrame, out: str, prob: bool = False) -> DataFrame:
@@ -123,19 +129,57 @@ class Fitted:
         return res.select(*[F.col(c) for c in cols], val.alias(out))
 
 
+MISSING_TOKEN = "__missing__"
+
+
+def _fill_tokens(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TOKEN))
+                           for c in cols})
+
+
+def _apply_onehot(df: DataFrame, cols, model) -> tuple[DataFrame, list[str]]:
+    out = model.transform(_fill_tokens(df, cols))
+    return out, [f"_ohe_{c}" for c in cols]
+
+
 def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Profile,
         weight: str | None = None) -> Fitted:
-    """Fit medians on ``df`` (the training rows only) and then the model."""
+    """Fit medians on ``df`` (the training rows only) and then the model.
+
+    With ``spec.onehot`` the listed string columns are indexed and one-hot
+    encoded on the training rows (unseen values -> all zeros, like
+    ``handle_unknown='ignore'``); with ``spec.select_k`` only the top-k
+    features by binned mutual information with the label are kept.
+    """
     med = fit_medians(df, features)
     x, kept = apply_medians(df, med, indicators=spec.indicators)
+    extra = {}
+    if spec.select_k:
+        from .select import mutual_info_topk
+        top = mutual_info_topk(x, kept, label, k=spec.select_k).select("feature").collect()
+        chosen = {r.feature for r in top}
+        kept = [c for c in kept if c in chosen]
     scaler = None
     if spec.scale or spec.kind == "ridge":
         scaler = fit_scaler(x, kept)
         x = apply_scaler(x, scaler)
-    asm = VectorAssembler(inputCols=kept, outputCol="_x", handleInvalid="keep")
+    inputs = list(kept)
+    if spec.onehot:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import OneHotEncoder, StringIndexer
+        cols = list(spec.onehot)
+        idx = StringIndexer(inputCols=cols, outputCols=[f"_idx_{c}" for c in cols],
+                            handleInvalid="keep")
+        ohe = OneHotEncoder(inputCols=[f"_idx_{c}" for c in cols],
+                            outputCols=[f"_ohe_{c}" for c in cols], dropLast=True)
+        pm = Pipeline(stages=[idx, ohe]).fit(_fill_tokens(x, cols))
+        extra["onehot"] = pm
+        x, ohe_cols = _apply_onehot(x, cols, pm)
+        inputs += ohe_cols
+    asm = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
     est = make_estimator(spec, profile, label=label, weight=weight)
     model = est.fit(asm.transform(x))
-    return Fitted(spec, features, med, kept, model, scaler)
+    return Fitted(spec, features, med, kept, model, scaler, extra)
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "_w") -> DataFrame:
@@ -150,7 +194,7 @@ def balanced_weights(df: DataFrame, label: str, name: str = "_w") -> DataFrame:
 def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
         specs: dict[str, Spec], profile: Profile, prefix: str = "oof_",
         transforms: dict | None = None, prob: bool = False,
-        weight: str | None = None, parallelism: int = 4) -> DataFrame:
+        weight: str | None = None, parallelism: int = 4, persist: bool = True) -> DataFrame:
     """V5: out-of-fold predictions of every candidate as ``<prefix><colname(name)>``.
 
     For each fold: fit on the other folds (imputer included), predict the
@@ -177,7 +221,13 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
             if transforms and name in transforms:
                 test = test.withColumn(out, transforms[name][1](F.col(out)))
         parts.append(test)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    if persist:
+        # k folds x candidates stacked transforms make a very deep plan: write
+        # the predictions once so every consumer starts from a short lineage
+        from ..session import materialize
+        out = materialize(out, "oof")
+    return out
 
 
 def run_parallel(fn, items: list, parallelism: int = 4) -> dict:

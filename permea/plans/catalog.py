@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import to_number
+from ..functions.expr import clip, to_number
 from ..operators import clean as C
 from ..plans import flagship as FL
 from ..sources import fixture as FX
@@ -212,7 +212,7 @@ def q_p33(spark, sf_dir):
 
 # ------------------------------------------------------- transforms, scores
 from ..functions import transforms as TR  # noqa: E402
-from ..functions.score import composite_score, mg_retention_logscore  # noqa: E402
+from ..functions.score import clip_rejection, composite_score, mg_retention_logscore  # noqa: E402
 from ..operators import blend as BL  # noqa: E402
 from ..operators import grid as GR  # noqa: E402
 from ..operators import impute as IM  # noqa: E402
@@ -269,16 +269,11 @@ def q_p24(spark, sf_dir):
     is_rej = F.col("target").isin(REJ)
 
     def fix(c):
-        return F.round(F.when(is_rej, GR_clip(c)).otherwise(c), 2)
+        return F.round(F.when(is_rej, clip_rejection(c)).otherwise(c), 2)
     return s.select(*ROW_ID, "target", fix(F.col("pred_a")).alias("value"),
                     fix(lo).alias("lo"), fix(hi).alias("hi"))
 
 
-def GR_clip(c):
-    from ..functions.score import clip_rejection
-    return clip_rejection(c)
-
-
 @query("p25_mg_logscore")
 def q_p25(spark, sf_dir):
     c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
@@ -549,7 +544,6 @@ def q_j2(spark, sf_dir):
     g = monomer_grid(spark, sf_dir)
     ip = (F.col("D1") * F.greatest(F.col("agg_n_amine"), F.lit(0.0))) / \
          (F.col("D2") * F.greatest(F.col("agg_nCl"), F.lit(0.0)) + 1e-6)
-    from ..functions.expr import clip
     return _r6(g.select("aq", "org", "D1", "D2", "T1", "T2", *FE.MOL_COLS,
                         clip(ip, 0.0, 50.0).alias("ip_balance")))
 
@@ -572,3 +566,306 @@ def q_u1(spark, sf_dir):
     return u.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.count("membrane").alias("n_membrane"),
                                   F.count("ra").alias("n_ra"))
+
+
+# ---------------------------------------------- models (rows-only checks)
+# Model-dependent results have no SQL oracle; each query still trains on the
+# whole derived table.  Sizes come from ``MD.FAST`` (12 trees, depth 8);
+# ``MD.FULL`` follows the reference's sizes.
+from ..operators import models as MD  # noqa: E402
+from ..sources import files as FI  # noqa: E402
+from . import audit as AU  # noqa: E402
+from . import explain as XP  # noqa: E402
+from . import scoring as SC  # noqa: E402
+from . import sinks as SK  # noqa: E402
+from . import training as TRN  # noqa: E402
+
+PROFILE = MD.FAST
+
+
+def _target_data(spark, sf_dir, target="Mg_rej"):
+    c = clean(spark, sf_dir)
+    feats, cats, names = TRN.feature_table(c)
+    return c, TRN.target_frame(feats, target), names
+
+
+def _metric_rows(o: DataFrame, cols: dict[str, str], y: str = "z") -> DataFrame:
+    items = [F.struct(F.lit(k).alias("model"), F.col(v).alias("p")) for k, v in cols.items()]
+    long = o.select(y, F.explode(F.array(*items)).alias("m")).select(y, "m.model", "m.p")
+    return ME.regression_metrics(long, ["model"], y, "p")
+
+
+@query("v5_oof_predictions")
+def q_v5(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    o = MD.oof(d, "fold", 5, names, "z", {"ET.5": MD.CANDIDATES["ET.5"]}, PROFILE)
+    return o.select(*ROW_ID, "fold", "y", "z", F.col("oof_ET_5").alias("z_oof"),
+                    TR.inv_transform("Mg_rej", "oof_ET_5").alias("y_oof"))
+
+
+@query("m1_forest_oof")
+def q_m1(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    specs = {k: MD.CANDIDATES[k] for k in ["ET.5", "ET.7", "ET1", "RF"]}
+    o = MD.oof(d, "fold", 5, names, "z", specs, PROFILE)
+    return _metric_rows(o, {k: "oof_" + MD.colname(k) for k in specs})
+
+
+@query("m2_boosted_oof")
+def q_m2(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    specs = {"HGB": MD.CANDIDATES["HGB"], "GBR_abs": MD.Spec("gbt", loss="absolute")}
+    o = MD.oof(d, "fold", 5, names, "z", specs, PROFILE)
+    return _metric_rows(o, {k: "oof_" + MD.colname(k) for k in specs})
+
+
+@query("m3_ridge_oof")
+def q_m3(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    o = MD.oof(d, "fold", 5, names, "z", {"Ridge": MD.Spec("ridge", reg=20.0)}, PROFILE)
+    return _metric_rows(o, {"Ridge": "oof_Ridge"})
+
+
+@query("m6_ensemble_blend")
+def q_m6(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    feats, cats, names = TRN.feature_table(c)
+    res = TRN.TrainResult(cats, names)
+    TRN.train_target(feats, "Mg_rej", names, PROFILE, grouped=True, holdouts=0, intervals=True,
+                     result=res)
+    tm = res.models["Mg_rej"]
+    r = res.report[0]
+    return spark.createDataFrame(
+        [(r["target"], r["model"], ",".join(tm.names), [float(w) for w in tm.weights],
+          r["CV_R2"], r.get("GroupKFold_R2"), tm.q_lo, tm.q_hi)],
+        "target string, model string, members string, weights array<double>, CV_R2 double, "
+        "GroupKFold_R2 double, q_lo double, q_hi double")
+
+
+@query("v4_holdout_predictions")
+def q_v4m(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    feats, cats, names = TRN.feature_table(c)
+    res = TRN.TrainResult(cats, names)
+    TRN.train_target(feats, "Mg_rej", names, PROFILE, {"ET.5": MD.CANDIDATES["ET.5"]},
+                     grouped=False, holdouts=5, intervals=False, result=res)
+    return SK.holdout_table(res.holdout_predictions["Mg_rej"], "Mg_rej")
+
+
+def _quick(spark, sf_dir, stage1=False, intervals=False, targets=None):
+    c = clean(spark, sf_dir)
+    return c, TRN.quick_models(c, PROFILE, stage1=stage1, intervals=intervals, targets=targets)
+
+
+@query("m4_prediction_interval")
+def q_m4m(spark, sf_dir):
+    c, res = _quick(spark, sf_dir, intervals=True, targets=["Mg_rej", "Flux_Mg"])
+    s = SC.score_batch(c.where(F.col("mg_rej").isNotNull() & F.col("flux_mg").isNotNull()), res)
+    return s.select(*ROW_ID, "mg_rej", "Mg_rej", "Mg_rej_lo", "Mg_rej_hi",
+                    "flux_mg", "Flux_Mg", "Flux_Mg_lo", "Flux_Mg_hi")
+
+
+@query("m8_stage1_models")
+def q_m8(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    cats = FE.membrane_categories(c)
+    res = TRN.TrainResult(cats, FE.feature_names(cats))
+    TRN.train_stage1(c, cats, PROFILE, res, evaluate=True)
+    return spark.createDataFrame([(r["char"], r["n"], r["R2"], r["transform"])
+                                  for r in res.stage1_report],
+                                 "char string, n long, R2 double, transform string")
+
+
+@query("m9_fill_characterisation")
+def q_m9(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    cats = FE.membrane_categories(c)
+    res = TRN.TrainResult(cats, FE.feature_names(cats))
+    TRN.train_stage1(c, cats, PROFILE, res, evaluate=False)
+    f = SC.fill_predicted_char(c, res)
+    return f.select(*ROW_ID, "wca", "zeta", "pore", "mwco", "thickness",
+                    *[f"filled_{k}" for k in ["zeta", "pore", "mwco", "wca", "thickness"]],
+                    "char_source")
+
+
+@query("m10_batch_score")
+def q_m10(spark, sf_dir):
+    c, res = _quick(spark, sf_dir)
+    s = SC.score_batch(c, res)
+    return s.select(*ROW_ID, *[t for t in FX.TARGETS], "score", "separation", "mg_quality",
+                    "li_quality", "flux_norm", "pwp_norm")
+
+
+@query("e2_screen_recipes")
+def q_e2(spark, sf_dir):
+    c, res = _quick(spark, sf_dir)
+    bases = q_flagship(spark, sf_dir).select(
+        F.col("aq").alias("smiles_part1"), F.col("org").alias("smiles_part2"), "membrane",
+        "pressure", "feed")
+    return SC.screen_recipes(bases, res, n_bases=15, top_n=15,
+                             group=["smiles_part1", "smiles_part2", "membrane"])
+
+
+@query("e3_screen_monomers")
+def q_e3(spark, sf_dir):
+    c, res = _quick(spark, sf_dir, stage1=True)
+    return SC.screen_monomers(c, res)["results"]
+
+
+@query("e3_amine_ranking")
+def q_e3b(spark, sf_dir):
+    c, res = _quick(spark, sf_dir, stage1=True)
+    return SC.screen_monomers(c, res)["aq_ranking"]
+
+
+@query("m11_risk_classifier")
+def q_m11(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.risk_report(AU.risk_oof(d, names, PROFILE))
+
+
+@query("m12_leaderboard")
+def q_m12(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    feats, cats, names = TRN.feature_table(c)
+    by_t = {t: TRN.target_frame(feats, t) for t in FX.TARGETS}
+    return AU.leaderboard(by_t, names, PROFILE)
+
+
+@query("m13_cascade")
+def q_m13(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.cascade_report(AU.cascade_oof(d, names, PROFILE, MD.CANDIDATES["ET.7"]))
+
+
+@query("m14_seed_stability")
+def q_m14(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.seed_stability(d, names, PROFILE)
+
+
+@query("a6_split_gap")
+def q_a6(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.split_gap(d, names, PROFILE)
+
+
+def _mg_model(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return d, MD.fit(d, names, "z", MD.CANDIDATES["ET.5"], PROFILE)
+
+
+@query("m15_permutation_importance")
+def q_m15(spark, sf_dir):
+    d, m = _mg_model(spark, sf_dir)
+    imp = XP.permutation_importance(d, m, "z", SP.ROW_KEY_COLS, n_repeats=4)
+    return RK.top_n(imp, 15, [F.desc("importance"), F.asc("feature")])
+
+
+@query("m16_path_shap_summary")
+def q_m16(spark, sf_dir):
+    d, m = _mg_model(spark, sf_dir)
+    long, _, _ = XP.path_shap(d, m, SP.ROW_KEY_COLS)
+    return ME.shap_summary(long, top_k=20)
+
+
+@query("m16_shap_additivity")
+def q_m16b(spark, sf_dir):
+    d, m = _mg_model(spark, sf_dir)
+    _, check, b = XP.path_shap(d, m, SP.ROW_KEY_COLS)
+    return check.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(b).alias("base_value"),
+                     F.max(F.abs(F.col("prediction") - F.col("base_plus_phi"))).alias("max_abs_error"))
+
+
+@query("s7_shap_values_wide")
+def q_s7(spark, sf_dir):
+    d, m = _mg_model(spark, sf_dir)
+    long, _, _ = XP.path_shap(d, m, SP.ROW_KEY_COLS)
+    top = [r.feature for r in ME.shap_summary(long, top_k=20).select("feature").collect()]
+    return long.where(F.col("feature").isin(top)).groupBy(*SP.ROW_KEY_COLS) \
+        .pivot("feature", top).agg(F.first("phi"))
+
+
+def _input_paths(sf_dir):
+    return [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"]
+
+
+@query("s2_fingerprint")
+def q_s2(spark, sf_dir):
+    return FI.fingerprint(spark, _input_paths(sf_dir))
+
+
+@query("m17_retrain_decision")
+def q_m17(spark, sf_dir):
+    from ..session import checkpoint_path
+    fp = FI.fingerprint(spark, _input_paths(sf_dir)).first().fingerprint
+    base = checkpoint_path(spark, "runs")
+    return SK.retrain_needed(f"{base}/metrics", f"{base}/bundle", fp)
+
+
+@query("s4_run_record")
+def q_s4(spark, sf_dir):
+    import uuid
+    from ..session import checkpoint_path
+    c = clean(spark, sf_dir)
+    feats, cats, names = TRN.feature_table(c)
+    res = TRN.TrainResult(cats, names)
+    TRN.train_target(feats, "Mg_rej", names, PROFILE, {"ET.5": MD.CANDIDATES["ET.5"]},
+                     grouped=True, holdouts=2, intervals=True, result=res)
+    out = checkpoint_path(spark, f"run-{uuid.uuid4().hex[:8]}")
+    fp = FI.fingerprint(spark, _input_paths(sf_dir)).first().fingerprint
+    rid = SK.write_run(res, out, fp, {"domain_filters": C.domain_filter_log(c)})
+    return spark.read.parquet(f"{out}/metrics").where(F.col("run_id") == rid)
+
+
+@query("s8_bundle_roundtrip")
+def q_s8(spark, sf_dir):
+    import uuid
+    from ..session import checkpoint_path
+    c, res = _quick(spark, sf_dir, stage1=True)
+    path = checkpoint_path(spark, f"bundle-{uuid.uuid4().hex[:8]}")
+    SK.save_bundle(res, path)
+    back = SK.load_bundle(path)
+    a = SC.score_batch(c, res, intervals=False, components=False).select(*SP.ROW_KEY_COLS, "score")
+    b = SC.score_batch(c, back, intervals=False, components=False) \
+        .select(*SP.ROW_KEY_COLS, F.col("score").alias("score_reloaded"))
+    j = a.join(b, SP.ROW_KEY_COLS)
+    return j.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.max(F.abs(F.col("score") - F.col("score_reloaded"))).alias("max_abs_diff"))
+
+
+@query("m12_interpolation_benchmark")
+def q_m12b(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.interpolation_benchmark(d, names, PROFILE)
+
+
+@query("p31_monomer_onehot_oof")
+def q_p31(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    specs = {"ET_onehot": MD.Spec("et", 0.7, onehot=AU.SLOTS), "ET": MD.Spec("et", 0.7)}
+    o = MD.oof(d, "gfold", 5, names, "z", specs, PROFILE)
+    return _metric_rows(o, {k: "oof_" + k for k in specs})
+
+
+@query("m7_blend_raw_transformed")
+def q_m7m(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.blend_raw_transformed(d, names, PROFILE)
+
+
+@query("s1_load_recipe_files")
+def q_s1(spark, sf_dir):
+    """S1 on sheets derived from the tables: two sheets (the second lacks two
+    columns) plus an editor lock file that must be skipped."""
+    import uuid
+    from ..session import checkpoint_path
+    folder = checkpoint_path(spark, f"sheets-{uuid.uuid4().hex[:8]}")
+    b1, b2 = FX.recipe_batches(spark, sf_dir)
+    b1.write.parquet(f"{folder}/sheet_1.parquet")
+    b2.drop("ra", "rq").write.parquet(f"{folder}/sheet_2.parquet")
+    b2.limit(1).write.parquet(f"{folder}/~$sheet_2.parquet")
+    df = FI.load_recipe_files(spark, folder, "parquet")
+    return df.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"),
+                                   F.count("membrane").alias("n_membrane"),
+                                   F.count("ra").alias("n_ra"))
