@@ -72,7 +72,8 @@ def feature_table(clean: DataFrame, categories: list[str] | None = None,
                   recipe_only: bool = False) -> tuple[DataFrame, list[str], list[str]]:
     """Feature matrix + ids + targets, written once to the checkpoint folder."""
     cats = categories or FE.membrane_categories(clean)
-    keep = ID_COLS + list(TARGETS.values()) + list(FE.STAGE1_SOURCE.values())
+    keep = (ID_COLS + list(TARGETS.values()) + list(FE.STAGE1_SOURCE.values())
+            + ["smiles_part1", "smiles_part2", "smiles_part3", "smiles_part4", "smiles_part5"])
     keep = list(dict.fromkeys(keep))
     f = FE.build_features(clean, cats, keep=keep, recipe_only=recipe_only)
     names = FE.recipe_feature_names(cats) if recipe_only else FE.feature_names(cats)
