@@ -649,7 +649,9 @@ def q_v4m(spark, sf_dir):
     res = TRN.TrainResult(cats, names)
     TRN.train_target(feats, "Mg_rej", names, PROFILE, {"ET.5": MD.CANDIDATES["ET.5"]},
                      grouped=False, holdouts=5, intervals=False, result=res)
-    return SK.holdout_table(res.holdout_predictions["Mg_rej"], "Mg_rej")
+    # Predictions back on their source rows (ids, membrane), worst first
+    return SK.holdout_table(res.holdout_predictions["Mg_rej"], "Mg_rej") \
+        .orderBy(F.desc("abs_error"), *SP.ROW_KEY_COLS, "split_seed")
 
 
 def _quick(spark, sf_dir, stage1=False, intervals=False, targets=None):
