@@ -66,6 +66,7 @@ class TrainResult:
     stage1_report: list[dict] = field(default_factory=list)
     holdout_predictions: dict[str, DataFrame] = field(default_factory=dict)
     oof: dict[str, DataFrame] = field(default_factory=dict)
+    features: DataFrame | None = None          # the written feature table
 
 
 def feature_table(clean: DataFrame, categories: list[str] | None = None,
@@ -194,20 +195,26 @@ def train_stage1(clean: DataFrame, categories: list[str], profile: MD.Profile,
     R2 of out-of-fold predictions on the original scale when ``evaluate``."""
     rf, _, rnames = feature_table(clean, categories, recipe_only=True)
     result.stage1_feature_names = rnames
-    for char, src in FE.STAGE1_SOURCE.items():
-        tf = FE.STAGE1_CHARS[char]
+    # one pass for the five non-null counts
+    counts = rf.agg(*[F.count(src).alias(char) for char, src in FE.STAGE1_SOURCE.items()]).first()
+
+    def one(char):
+        src, tf = FE.STAGE1_SOURCE[char], FE.STAGE1_CHARS[char]
         d = rf.where(F.col(src).isNotNull())
-        n = d.count()
-        if n < min_rows:
-            continue
         d = SP.with_fold(d.withColumn("zc", TR.stage1_fwd(char, src, tf)), 5, SP.row_key(), 42)
         r2 = None
         if evaluate:
             o = MD.oof(d, "fold", 5, rnames, "zc", {"S1": MD.STAGE1_SPEC}, profile)
             o = o.withColumn("pred", TR.stage1_inv(char, "oof_S1", tf))
             r2 = _metrics_rows(o, src, {"r": "pred"})["r"]
-        result.stage1[char] = MD.fit(d, rnames, "zc", MD.STAGE1_SPEC, profile)
-        result.stage1_report.append({"char": char, "n": n, "R2": r2, "transform": tf or "none"})
+        return MD.fit(d, rnames, "zc", MD.STAGE1_SPEC, profile), r2
+
+    chars = [c for c in FE.STAGE1_SOURCE if counts[c] >= min_rows]
+    done = MD.run_parallel(one, chars, parallelism=2 if evaluate else 5)
+    for char in chars:
+        result.stage1[char] = done[char][0]
+        result.stage1_report.append({"char": char, "n": counts[char], "R2": done[char][1],
+                                     "transform": FE.STAGE1_CHARS[char] or "none"})
 
 
 def train_all(clean: DataFrame, profile: MD.Profile = MD.FAST, targets: list[str] | None = None,
@@ -215,7 +222,7 @@ def train_all(clean: DataFrame, profile: MD.Profile = MD.FAST, targets: list[str
               stage1: bool = True) -> TrainResult:
     """The whole training job; returns models and report rows."""
     feats, cats, names = feature_table(clean)
-    res = TrainResult(categories=cats, feature_names=names)
+    res = TrainResult(categories=cats, feature_names=names, features=feats)
     for t in (targets or list(TARGETS)):
         train_target(feats, t, names, profile, candidates, grouped, holdouts, True, res)
     if stage1:
@@ -230,11 +237,26 @@ def quick_models(clean: DataFrame, profile: MD.Profile = MD.FAST, spec_name: str
     bundle at a fraction of the cost of ``train_all``.  With ``intervals``
     the residual quantiles come from that candidate's out-of-fold run."""
     feats, cats, names = feature_table(clean)
-    res = TrainResult(categories=cats, feature_names=names)
+    res = TrainResult(categories=cats, feature_names=names, features=feats)
     spec = {spec_name: MD.CANDIDATES[spec_name]}
-    for t in (targets or list(TARGETS)):
+    tlist = targets or list(TARGETS)
+
+    def one(t):
+        r = TrainResult(categories=cats, feature_names=names)
         train_target(feats, t, names, profile, spec, grouped=False, holdouts=0,
-                     intervals=intervals, result=res)
-    if stage1:
+                     intervals=intervals, result=r)
+        return r
+    jobs = [("target", t) for t in tlist] + ([("stage1", None)] if stage1 else [])
+
+    def run(job):
+        kind, t = job
+        if kind == "target":
+            return one(t)
         train_stage1(clean, cats, profile, res, evaluate=intervals)
+        return None
+    done = MD.run_parallel(run, jobs, parallelism=len(jobs))
+    for t in tlist:               # keep the target order stable
+        r = done[("target", t)]
+        res.models[t] = r.models[t]
+        res.report += r.report
     return res
