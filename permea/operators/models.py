@@ -36,6 +36,9 @@ class Profile:
     gbt_step: float = 0.06
     min_leaf: int = 1
     seed: int = RANDOM_STATE
+    # histogram memory per task for one tree level: larger -> fewer passes
+    # over the data per level (measured 8.9 s -> 6.8 s per fit at sf0.1)
+    max_memory_mb: int = 1024
 
 
 FULL = Profile()
@@ -79,12 +82,13 @@ def make_estimator(spec: Spec, profile: Profile, label: str = "label",
             numTrees=p.n_trees, maxDepth=p.max_depth, maxBins=p.max_bins,
             minInstancesPerNode=max(spec.min_leaf, p.min_leaf),
             featureSubsetStrategy=str(float(spec.max_features)),
-            bootstrap=(spec.kind == "rf"), subsamplingRate=1.0, seed=p.seed)
+            bootstrap=(spec.kind == "rf"), subsamplingRate=1.0, seed=p.seed,
+            maxMemoryInMB=p.max_memory_mb)
     if spec.kind == "gbt":
         return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=prediction,
                             maxIter=p.gbt_iter, maxDepth=p.gbt_depth, stepSize=p.gbt_step,
                             maxBins=p.max_bins, minInstancesPerNode=max(spec.min_leaf, 1),
-                            lossType=spec.loss, seed=p.seed)
+                            lossType=spec.loss, seed=p.seed, maxMemoryInMB=p.max_memory_mb)
     if spec.kind == "ridge":
         return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction,
                                 regParam=spec.reg, elasticNetParam=0.0, standardization=False)
@@ -95,7 +99,7 @@ def make_estimator(spec: Spec, profile: Profile, label: str = "label",
             probabilityCol="_prob", rawPredictionCol="_raw",
             numTrees=p.n_trees, maxDepth=p.max_depth, maxBins=p.max_bins,
             minInstancesPerNode=spec.min_leaf, featureSubsetStrategy=str(float(spec.max_features)),
-            bootstrap=False, seed=p.seed, **kw)
+            bootstrap=False, seed=p.seed, maxMemoryInMB=p.max_memory_mb, **kw)
     raise ValueError(spec.kind)
 
 
