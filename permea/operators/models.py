@@ -70,7 +70,8 @@ RISK_SPEC = Spec("clf", 0.7, min_leaf=3)
 
 def colname(name: str) -> str:
     """Candidate name -> safe column suffix (``ET.5`` -> ``ET_5``)."""
-    return name.replace(".", "_").replace("+", "_")
+    import re
+    return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
 def make_estimator(spec: Spec, profile: Profile, label: str = "label",

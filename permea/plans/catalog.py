@@ -431,8 +431,8 @@ def q_o2(spark, sf_dir):
 
 @query("o3_top_features")
 def q_o3(spark, sf_dir):
-    f = features(spark, sf_dir, keep=ROW_ID + FX.TARGET_COLS)
-    names = [c for c in f.columns if c not in ROW_ID + FX.TARGET_COLS]
+    f = features(spark, sf_dir, keep=SP.ROW_KEY_COLS + FX.TARGET_COLS)
+    names = [c for c in f.columns if c not in SP.ROW_KEY_COLS + FX.TARGET_COLS]
     t = ST.target_long(f.withColumn("synth_key", F.lit("")), extra=names)
     imp = SE.correlation_importance(t, names, "y", ["target"])
     return _r6(RK.top_n_per_group(imp, ["target"], 15,
@@ -871,3 +871,9 @@ def q_s1(spark, sf_dir):
     return df.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"),
                                    F.count("membrane").alias("n_membrane"),
                                    F.count("ra").alias("n_ra"))
+
+
+@query("e4_audit_single_stage")
+def q_e4(spark, sf_dir):
+    _, d, names = _target_data(spark, sf_dir)
+    return AU.audit_single_stage(d, names, PROFILE)
