@@ -130,7 +130,10 @@ class Fitted:
         """Add prediction column ``out`` (class-1 probability when ``prob``)."""
         cols = df.columns
         res = self.model.transform(self.prepare(df))
-        val = vector_to_array("_prob")[1] if prob else F.col("_pred")
+        # class-1 probability; a training set with one class has a 1-long
+        # probability vector, which means probability 0 for class 1
+        val = (F.coalesce(F.try_element_at(vector_to_array("_prob"), F.lit(2)), F.lit(0.0))
+               if prob else F.col("_pred"))
         return res.select(*[F.col(c) for c in cols], val.alias(out))
 
 
