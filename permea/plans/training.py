@@ -190,10 +190,20 @@ def train_target(feats: DataFrame, target: str, names: list[str], profile: MD.Pr
 
 
 def train_stage1(clean: DataFrame, categories: list[str], profile: MD.Profile,
-                 result: TrainResult, min_rows: int = 40, evaluate: bool = True) -> None:
+                 result: TrainResult, min_rows: int = 40, evaluate: bool = True,
+                 feats: DataFrame | None = None) -> None:
     """M8: recipe-only features -> each characterisation with >= 40 values;
-    R2 of out-of-fold predictions on the original scale when ``evaluate``."""
-    rf, _, rnames = feature_table(clean, categories, recipe_only=True)
+    R2 of out-of-fold predictions on the original scale when ``evaluate``.
+
+    The recipe-only columns are a subset of the full matrix with the same
+    values (same rows, same batch medians), so a written full feature table
+    is reused when given instead of building and writing a second one.
+    """
+    rnames = FE.recipe_feature_names(categories)
+    if feats is not None and all(c in feats.columns for c in rnames):
+        rf = feats
+    else:
+        rf, _, rnames = feature_table(clean, categories, recipe_only=True)
     result.stage1_feature_names = rnames
     # one pass for the five non-null counts
     counts = rf.agg(*[F.count(src).alias(char) for char, src in FE.STAGE1_SOURCE.items()]).first()
@@ -226,7 +236,7 @@ def train_all(clean: DataFrame, profile: MD.Profile = MD.FAST, targets: list[str
     for t in (targets or list(TARGETS)):
         train_target(feats, t, names, profile, candidates, grouped, holdouts, True, res)
     if stage1:
-        train_stage1(clean, cats, profile, res)
+        train_stage1(clean, cats, profile, res, feats=feats)
     return res
 
 
@@ -252,7 +262,7 @@ def quick_models(clean: DataFrame, profile: MD.Profile = MD.FAST, spec_name: str
         kind, t = job
         if kind == "target":
             return one(t)
-        train_stage1(clean, cats, profile, res, evaluate=intervals)
+        train_stage1(clean, cats, profile, res, evaluate=intervals, feats=feats)
         return None
     done = MD.run_parallel(run, jobs, parallelism=len(jobs))
     for t in tlist:               # keep the target order stable
