@@ -202,7 +202,8 @@ def balanced_weights(df: DataFrame, label: str, name: str = "_w") -> DataFrame:
 def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
         specs: dict[str, Spec], profile: Profile, prefix: str = "oof_",
         transforms: dict | None = None, prob: bool = False,
-        weight: str | None = None, parallelism: int = 4, persist: bool = True) -> DataFrame:
+        weight: str | None = None, parallelism: int = 4, persist: bool = True,
+        chunk: int = 6) -> DataFrame:
     """V5: out-of-fold predictions of every candidate as ``<prefix><colname(name)>``.
 
     For each fold: fit on the other folds (imputer included), predict the
@@ -220,20 +221,23 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
 
     jobs = [(i, n) for i in range(k) for n in specs]
     fitted = run_parallel(lambda a: fit_one(*a), jobs, parallelism)
+    from ..session import materialize
     parts = []
     for i in range(k):
         test = df.where(F.col(fold) == i)
-        for name in specs:
+        for j, name in enumerate(specs, 1):
             out = prefix + colname(name)
             test = fitted[(i, name)].transform(test, out, prob=prob)
             if transforms and name in transforms:
                 test = test.withColumn(out, transforms[name][1](F.col(out)))
+            if persist and j % chunk == 0 and j < len(specs):
+                # stacked model transforms deepen the plan; writing every few
+                # candidates keeps plan analysis small on the driver
+                test = materialize(test, "oof-part")
         parts.append(test)
     out = reduce(lambda a, b: a.unionByName(b), parts)
     if persist:
-        # k folds x candidates stacked transforms make a very deep plan: write
-        # the predictions once so every consumer starts from a short lineage
-        from ..session import materialize
+        # one short lineage for every consumer of the predictions
         out = materialize(out, "oof")
     return out
 
