@@ -58,3 +58,14 @@ def test_interval_is_ordered(clean):
     bad = s.where((F.col("Mg_rej_lo") > F.col("Mg_rej_hi")) | (F.col("Mg_rej_hi") > 100)
                   | (F.col("Mg_rej_lo") < 0))
     assert bad.count() == 0
+
+
+def test_onehot_unseen_monomer_and_select_k(mg):
+    d, names = mg
+    tr = d.where("fold != 0")
+    spec = MD.Spec("et", 0.7, onehot=("smiles_part1", "smiles_part2"), select_k=10)
+    m = MD.fit(tr, names, "z", spec, TINY)
+    assert len(m.kept) == 10
+    new = d.where("fold = 0").limit(5).withColumn("smiles_part1", F.lit("NEVER_SEEN"))
+    out = m.transform(new, "p")
+    assert out.where(F.col("p").isNull()).count() == 0 and out.count() == 5
