@@ -324,9 +324,11 @@ def q_p30(spark, sf_dir):
 
 @query("p32_mutual_info_topk")
 def q_p32(spark, sf_dir):
+    from ..session import materialize
     f = features(spark, sf_dir, keep=ROW_ID + ["mg_rej"]).where(F.col("mg_rej").isNotNull())
     names = [c for c in f.columns if c not in ROW_ID + ["mg_rej"]]
-    f = f.withColumn("z", TR.fwd_transform("Mg_rej", "mg_rej"))
+    # medians, ranges and bin counts each scan the input: write it once
+    f = materialize(f.withColumn("z", TR.fwd_transform("Mg_rej", "mg_rej")), "p32-input")
     return _r6(SE.mutual_info_topk(f, names, "z", k=20, bins=10))
 
 
