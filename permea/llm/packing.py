@@ -110,8 +110,12 @@ def token_pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = E
                                 "ids_crc32 long, part int, nth long")
 
 
-def knapsack(prices: np.ndarray, limit: int) -> np.ndarray:
-    """Copies of each length (index) in the most valuable configuration."""
+#: A configuration: ((length, copies), ...), lengths ascending.
+Configuration = tuple[tuple[int, int], ...]
+
+
+def knapsack(prices: np.ndarray, limit: int) -> Configuration:
+    """The most valuable configuration."""
     sizes = np.flatnonzero(prices > 0)
     worth, value, choice = prices[sizes], np.zeros(limit + 1), np.zeros(limit + 1, np.int64)
     fit = np.searchsorted(sizes, np.arange(limit + 1), "right")
@@ -121,14 +125,16 @@ def knapsack(prices: np.ndarray, limit: int) -> np.ndarray:
             gain = value[c - sizes[:n]] + worth[:n]
             j = int(gain.argmax())
             value[c], choice[c] = gain[j], sizes[j]
-    copies, c = np.zeros(limit + 1, np.int64), limit
+    copies: dict[int, int] = {}
+    c = limit
     while c > 0 and choice[c]:
-        copies[choice[c]] += 1
-        c -= choice[c]
-    return copies
+        size = int(choice[c])
+        copies[size] = copies.get(size, 0) + 1
+        c -= size
+    return tuple(sorted(copies.items()))
 
 
-def solve_lp(demand: np.ndarray, limit: int, steps: int = STEPS) -> list[tuple[np.ndarray, float]]:
+def solve_lp(demand: np.ndarray, limit: int, steps: int = STEPS) -> dict[Configuration, float]:
     """Configurations and how often each is used, fractionally, so that every
     length is covered; by multiplicative weights."""
     need = demand > 0
@@ -137,84 +143,74 @@ def solve_lp(demand: np.ndarray, limit: int, steps: int = STEPS) -> list[tuple[n
     sizes = np.arange(limit + 1) / limit
     for _ in range(steps):
         low = cover[need].min()
-        prices = np.where(need, sizes * np.exp(-eta * (cover - low)), 0.0)
-        copies = knapsack(prices, limit)
-        at = np.flatnonzero(copies)
-        amount = float((demand[at] / copies[at]).min()) / 8
-        cover[at] += amount * copies[at] / demand[at]
-        key = tuple((int(a), int(copies[a])) for a in at)
-        used[key] = used.get(key, 0.0) + amount
+        best = knapsack(np.where(need, sizes * np.exp(-eta * (cover - low)), 0.0), limit)
+        at, copies = np.array(best).T
+        amount = float((demand[at] / copies).min()) / 8
+        cover[at] += amount * copies / demand[at]
+        used[best] = used.get(best, 0.0) + amount
         if cover[need].min() >= 1:
             break
-    out = []
-    for key, amount in used.items():
-        copies = np.zeros(limit + 1, np.int64)
-        for a, k in key:
-            copies[a] = k
-        out.append((copies, amount))
-    return out
+    return used
 
 
-def best_fit(demand: np.ndarray, limit: int) -> list[tuple[np.ndarray, int]]:
+def best_fit(demand: np.ndarray, limit: int) -> dict[Configuration, int]:
     """Longest first, each into the fullest configuration that has room."""
-    free: list[list[np.ndarray]] = [[] for _ in range(limit + 1)]
+    free: list[list[list[int]]] = [[] for _ in range(limit + 1)]
     for size in range(limit, 0, -1):
         for _ in range(int(demand[size])):
             room = next((r for r in range(size, limit) if free[r]), limit)
-            bin_ = free[room].pop() if room < limit and free[room] else np.zeros(limit + 1, np.int64)
-            bin_[size] += 1
-            free[room - size].append(bin_)
-    merged: dict[bytes, list] = {}
+            own = free[room].pop() if room < limit else []
+            own.append(size)
+            free[room - size].append(own)
+    out: dict[Configuration, int] = {}
     for bins in free:
-        for b in bins:
-            merged.setdefault(b.tobytes(), [b, 0])[1] += 1
-    return [(b, n) for b, n in merged.values()]
+        for own in bins:
+            key = tuple((x, own.count(x)) for x in sorted(set(own)))
+            out[key] = out.get(key, 0) + 1
+    return out
 
 
-def configurations(demand: np.ndarray, limit: int = LIMIT) -> list[tuple[np.ndarray, int]]:
+def configurations(demand: np.ndarray, limit: int = LIMIT) -> list[tuple[Configuration, int]]:
     """Configurations and whole numbers of uses that pack exactly ``demand``."""
     rest, out = demand.astype(np.int64).copy(), []
     if rest[limit]:
-        alone = np.zeros(limit + 1, np.int64)
-        alone[limit] = 1
-        out.append((alone, int(rest[limit])))
+        out.append((((limit, 1),), int(rest[limit])))
         rest[limit] = 0
     for _ in range(ROUNDS):
-        if rest.sum() < 2000:
-            break
         before = rest.sum()
+        if before < 2000:
+            break
         # The fullest first: what they leave is solved again.
-        for copies, amount in sorted(solve_lp(rest, limit), key=lambda x: -int((x[0] * np.arange(limit + 1)).sum())):
-            at = np.flatnonzero(copies)
-            uses = min(int(amount), int((rest[at] // copies[at]).min()))
+        for best, amount in sorted(solve_lp(rest, limit).items(), key=lambda x: -sum(s * k for s, k in x[0])):
+            at, copies = np.array(best).T
+            uses = min(int(amount), int((rest[at] // copies).min()))
             if uses > 0:
-                rest -= uses * copies
-                out.append((copies, uses))
+                rest[at] -= uses * copies
+                out.append((best, uses))
         if rest.sum() > 0.98 * before:
             break
     if rest.sum():
-        out += best_fit(rest, limit)
+        out += best_fit(rest, limit).items()
     return out
 
 
 class Places:
     """Sequence and offset of the rth piece of each length."""
 
-    def __init__(self, plan: list[tuple[np.ndarray, int]], limit: int):
-        self.ends: dict[int, list[int]] = {}
-        self.rows: dict[int, list[tuple[int, int, int, int]]] = {}
+    def __init__(self, plan: list[tuple[Configuration, int]]):
+        all_ends: dict[int, list[int]] = {}
+        all_rows: dict[int, list[tuple[int, int, int, int]]] = {}
         base = 0
         for copies, uses in plan:
             offset = 0
-            for size in np.flatnonzero(copies)[::-1].tolist():
-                k = int(copies[size])
-                ends = self.ends.setdefault(size, [])
+            for size, k in reversed(copies):
+                ends = all_ends.setdefault(size, [])
                 before = ends[-1] if ends else 0
                 ends.append(before + k * uses)
-                self.rows.setdefault(size, []).append((before, base, k, offset))
+                all_rows.setdefault(size, []).append((before, base, k, offset))
                 offset += k * size
             base += uses
-        self.table = {s: (np.array(self.ends[s]), np.array(self.rows[s])) for s in self.ends}
+        self.table = {s: (np.array(all_ends[s]), np.array(all_rows[s])) for s in all_ends}
 
     def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
@@ -239,7 +235,7 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, i
     demand = np.zeros(limit + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``limit`` rows
         demand[r.length] = r.n
-    places = Places(configurations(demand, limit), limit)
+    places = Places(configurations(demand, limit))
     ranked = pieces.join(bases, ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
