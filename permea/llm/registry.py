@@ -6,10 +6,11 @@ from permea.llm import oracles
 from permea.llm.decontaminate import op5_suffix_decontam
 from permea.llm.html_text import op2_line_block
 from permea.llm.langid import op7_bigru_langid
+from permea.llm.lattice_lm import op1_lattice_lm
 from permea.llm.packing import op6_config_lp_pack
 from permea.llm.sharding import op4_prefix_shards
 from permea.llm.topk import op10_threshold_topk
 
-_ALL = [op2_line_block, op4_prefix_shards, op5_suffix_decontam, op6_config_lp_pack, op7_bigru_langid, op10_threshold_topk]
+_ALL = [op1_lattice_lm, op2_line_block, op4_prefix_shards, op5_suffix_decontam, op6_config_lp_pack, op7_bigru_langid, op10_threshold_topk]
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = oracles.SQL
