@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,15 +60,18 @@ def with_chunk(docs: DataFrame, id_col: str, text: str, chunk_bytes: int) -> tup
     return docs.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")), n
 
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def space_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words of maximal runs without ASCII white space, as one
     flat array, and row offsets (n + 1) into it.  NULL has no words."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # Compact buffers: string kernels of Arrow misread a large string array whose first offset is not 0.
+    raw, off = utf8(texts)
+    lower = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(LOWER[raw]))
+    lists = pc.ascii_split_whitespace(lower)
     counts = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)

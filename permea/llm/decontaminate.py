@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import slices, span_hash, utf8
+from permea.llm.common import LOWER, slices, span_hash, utf8
 
 #: Words of a window, and the least share of hit words (1 in 20) of a contaminated document.
 WINDOW, SHARE = 13, 20
 TEST_BYTES = 16 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _IN_WORD[_a:_b] = True
@@ -53,7 +51,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[off[1:][off[:-1] < off[1:]] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    return span_hash(_LOWER[raw], starts, ends), np.searchsorted(starts, off).astype(np.int64)
+    return span_hash(LOWER[raw], starts, ends), np.searchsorted(starts, off).astype(np.int64)
 
 
 class SuffixArray:

@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import hash_mod, mix64, slices, span_hash, utf8
+from permea.llm.common import LOWER, hash_mod, mix64, slices, span_hash, utf8
 
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 3000, 9000, 16384
 MAX_TERMS, EVIDENCE = 4000, 24.0
 K, BLOCK = 15, 64
 PREFIXES = (4, 5, 6)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -45,7 +43,7 @@ _LETTER[128:] = True
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each term of each word."""
     raw, off = utf8(texts)
-    raw = _LOWER[raw]
+    raw = LOWER[raw]
     inside = _LETTER[raw]
     before = np.concatenate([[False], inside[:-1]])
     after = np.concatenate([inside[1:], [False]])
@@ -233,7 +231,9 @@ class Model:
 
 
 def _groups(row: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    if not len(row):
+        return
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
         yield int(row[a]), a, b
 
