@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from permea.llm.common import LOWER, hash_mod, mix64, slices, span_hash, utf8
 
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 3000, 9000, 16384
-MAX_TERMS, EVIDENCE = 4000, 24.0
+MAX_TERMS, EVIDENCE, HASH_PARTS = 1000, 24.0, 6
 K, BLOCK = 15, 64
 PREFIXES = (4, 5, 6)
 
@@ -109,43 +109,48 @@ def copy_weights(texts: pa.Array, tries: int = 4) -> np.ndarray:
 def choose_terms(texts: pa.Array, toxic: np.ndarray, limit: int = MAX_TERMS, evidence: float = EVIDENCE) -> np.ndarray:
     """Hashes of the terms that go with the label, by the likelihood ratio of their
     document counts, in which a group of near copies counts once."""
-    found: list[np.ndarray] = []
     weight = copy_weights(texts)
-    for at in range(0, len(texts), 500):
-        row, h = term_hashes(texts.slice(at, 500))
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        first = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        found.append(np.stack([h[first], (at + row[first]).astype(np.uint64)]))
-    h, row = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
-    terms, index = np.unique(h, return_inverse=True)
-    w, row = weight[row.astype(np.int64)], row.astype(np.int64)
-    a = np.bincount(index, w * toxic[row], minlength=len(terms))
-    n = np.bincount(index, w, minlength=len(terms))
     p = float((weight * toxic).sum() / weight.sum()) if len(toxic) else 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = lambda x, e: np.where(x > 1e-9, x * np.log(np.maximum(x, 1e-9) / e), 0.0)
-        ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)))
-    good = np.flatnonzero((ratio > evidence) & (a > n * p))
-    return terms[good[np.lexsort((terms[good], -ratio[good]))][:limit]]
+    part = lambda x, e: np.where(x > 1e-9, x * np.log(np.maximum(x, 1e-9) / e), 0.0)
+    good: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0))]
+    for share in range(HASH_PARTS):  # a part of the terms at a time, to bound memory
+        found = [np.zeros((2, 0), np.uint64)]
+        for at in range(0, len(texts), 500):
+            row, h = term_hashes(texts.slice(at, 500))
+            own = h % np.uint64(HASH_PARTS) == share
+            row, h = row[own], h[own]
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            first = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+            found.append(np.stack([h[first], (at + row[first]).astype(np.uint64)]))
+        h, row = np.concatenate(found, axis=1)
+        terms, index = np.unique(h, return_inverse=True)
+        row = row.astype(np.int64)
+        a = np.bincount(index, weight[row] * toxic[row], minlength=len(terms))
+        n = np.bincount(index, weight[row], minlength=len(terms))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)))
+        some = np.flatnonzero((ratio > evidence) & (a > n * p))
+        good.append((terms[some], ratio[some]))
+    terms, ratio = (np.concatenate(x) for x in zip(*good, strict=True))
+    return terms[np.lexsort((terms, -ratio))][:limit]
 
 
 class BlockIndex:
     """Unit vectors of the examples in blocks, with every term's largest weight in each."""
 
-    def __init__(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int):
-        dense = np.zeros((n, len(idf)), np.float64)
-        dense[row, term] = (1 + np.log(times)) * idf[term]
+    def __init__(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray):
+        some, place = np.unique(row, return_inverse=True)
+        v = np.zeros((len(some), len(idf)))
+        v[place, term] = (1 + np.log(times)) * idf[term]
         # Alike examples stand together, so that a block's largest weights say much.
-        lead = np.where(dense.any(1), dense.argmax(1), len(idf)) if len(idf) else np.zeros(n, np.int64)
-        order = np.argsort(lead, kind="stable")
-        self.example = order[:int((lead < len(idf)).sum())]
-        v = dense[self.example]
-        self.vectors = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float64) if len(v) else v
+        order = np.argsort(v.argmax(1), kind="stable") if len(some) else np.zeros(0, np.int64)
+        self.example = some[order]
+        v = v[order]
+        self.vectors = v / np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v
         starts = np.arange(0, len(v), BLOCK)
         self.top = np.maximum.reduceat(self.vectors, starts, axis=0).T if len(v) else np.zeros((len(idf), 0))
         self.idf = idf
-        self.seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to the earlier example."""
@@ -259,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
     row, term, times = (np.concatenate(x) for x in zip(*(
         (r + at, t, c) for at in range(0, max(1, len(texts)), 500) for r, t, c in [vocabulary.counts(texts.slice(at, 500))]),
         strict=True))
-    index = BlockIndex(row, term, times, idf, len(texts))
+    index = BlockIndex(row, term, times, idf)
     weight = (counts.get(False, 0) / max(1, int((~toxic).sum())), counts.get(True, 0) / max(1, int(toxic.sum())))
     model = Model(vocabulary, index, toxic, weight, rows.column("id").to_pylist() if rows.num_rows else [], k)
     model.calibrate(row, term, times)
