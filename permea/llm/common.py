@@ -19,6 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """``row``, a struct of the columns ``keep`` (so their names clash with nothing),
+    and, unless it is among them, ``text``."""
+    text = [] if text_col in keep else [F.col(text_col).alias("text")]
+    return docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *text)
+
+
+def text_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The text of the rows of :func:`with_row`."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
+
+
+def row_schema(rows: DataFrame) -> str:
+    return f"row {rows.schema['row'].dataType.simpleString()}"
+
+
 def hash_mod(col: str, k: int = 5) -> Column:
     """crc32 of an id written as text, modulo ``k`` (NULL for a NULL id)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % k
@@ -35,12 +51,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]] if len(offsets) else raw[:0], offsets - (offsets[0] if len(offsets) else 0)
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
+def slices(batch: pa.RecordBatch | pa.Table, text: str | pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
     """Consecutive runs of rows with about ``limit`` bytes of text each (a longer
     single text is a run of its own)."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    text = batch.column(text) if isinstance(text, str) else text
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import LOWER, slices, span_hash, utf8
+from permea.llm.common import LOWER, row_schema, slices, span_hash, text_of, utf8, with_row
+from permea.session import materialize
 
 #: Words of a window, and the least share of hit words (1 in 20) of a contaminated document.
 WINDOW, SHARE = 13, 20
@@ -232,80 +233,74 @@ def shard_hits(tests: Tests, texts: pa.Array) -> tuple[np.ndarray, list, list, l
     return np.diff(off), runs, [sorted(i) for i in items], best
 
 
-_RESULT = ("_n_words long, _runs array<struct<start:int,end:int>>, _items array<string>, "
-           "_longest struct<item:string,item_word:int,doc_word:int,words:int>")
+_RESULT = ("n_words long, runs array<struct<start:int,end:int>>, items array<string>, "
+           "longest struct<item:string,item_word:int,doc_word:int,words:int>")
 
 
 def match_tests(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
-                item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of ``docs`` with _n_words, _runs (maximal runs of hit words), _items (sorted ids
-    of the items with occurring windows) and _longest (one longest match)."""
+                item_text: str = "text", keep: list[str] | None = None, block_bytes: int = TEST_BYTES) -> DataFrame:
+    """row (a struct of the columns ``keep``, default all), n_words, runs (maximal runs
+    of hit words), items (sorted ids of the items with occurring windows) and
+    longest (one longest match)."""
     items = tests.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    blocks = max(1, math.ceil(size / TEST_BYTES))
+    blocks = max(1, math.ceil(size / block_bytes))
+    rows = with_row(docs, keep or docs.columns, text_col)
     if blocks == 1:
-        return _match_block(docs, items, window, text_col, keep or docs.columns)
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    from permea.session import materialize
-    docs = materialize(docs, "tested-docs")
-    one = docs.select("_row", text_col)
+        return _match_block(rows, items, window, text_col)
+    # Several blocks of tests: one pass for each, united by row.
+    rows = materialize(rows.withColumn("nth", F.monotonically_increasing_id()), "tested-rows")
+    text = F.col("text") if "text" in rows.columns else F.col(f"row.`{text_col}`")
+    one = rows.select(F.struct("nth").alias("row"), text.alias("text"))
     found = None
     for b in range(blocks):
-        part = _match_block(one, items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b), window, text_col, ["_row"])
+        part = _match_block(one, items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b), window, "text")
         found = part if found is None else found.unionByName(part)
-    found = found.groupBy("_row").agg(
-        F.max("_n_words").alias("_n_words"), F.array_sort(F.flatten(F.collect_list("_runs"))).alias("_runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-        F.max_by("_longest", "_longest.words").alias("_longest"))
-    return docs.select(*(keep or docs.columns), *(["_row"] if keep else [])).join(found, "_row").drop("_row")
+    found = found.groupBy(F.col("row.nth").alias("nth")).agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max_by("longest", "longest.words").alias("longest"))
+    return rows.join(found, "nth").drop("nth", "text")
 
 
-def _match_block(docs: DataFrame, items: DataFrame, window: int, text_col: str, keep: list[str]) -> DataFrame:
-    rows = items.filter(F.octet_length("text") > 0).collect()  # at most TEST_BYTES of text
-    hashes, off = words_of(pa.array([r.text for r in rows], pa.string()))
-    ids = [r.id for r in rows]
-    kinds = {"_n_words": pa.int64(), "_runs": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-             "_items": pa.list_(pa.string()), "_longest": pa.struct(
-                 [("item", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])}
+def _match_block(rows: DataFrame, items: DataFrame, window: int, text_col: str) -> DataFrame:
+    known = items.filter(F.octet_length("text") > 0).collect()  # at most a block of text
+    hashes, off = words_of(pa.array([r.text for r in known], pa.string()))
+    ids = [r.id for r in known]
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    match = pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tests(ids, hashes, off, window)
+        tests = Tests(ids, hashes, off, window)
         for batch in batches:
-            for part in slices(batch, text_col):
-                n, runs, its, best = shard_hits(known, part.column(text_col))
-                cols = [pa.array(n.astype(np.int64)),
-                        pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], kinds["_runs"]),
-                        pa.array(its, kinds["_items"]),
-                        pa.array([b and dict(zip(("item", "item_word", "doc_word", "words"), b, strict=True)) for b in best],
-                                 kinds["_longest"])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *cols], [*keep, *kinds])
+            for part in slices(batch, text_of(batch, text_col)):
+                n, runs, its, best = shard_hits(tests, text_of(part, text_col))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array(n.astype(np.int64)),
+                     pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], spans), pa.array(its, pa.list_(pa.string())),
+                     pa.array([b and dict(zip(("item", "item_word", "doc_word", "words"), b, strict=True)) for b in best], match)],
+                    ["row", "n_words", "runs", "items", "longest"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + _RESULT
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{row_schema(rows)}, {_RESULT}")
 
 
-def _hit_words() -> F.Column:
-    """Words covered by the runs, which may overlap when they come from several blocks."""
-    return F.expr("aggregate(_runs, named_struct('n', 0L, 'to', 0), (a, r) -> named_struct("
-                  "'n', a.n + greatest(0, r.end - greatest(a.to, r.start)), 'to', greatest(a.to, r.end))).n").cast("long")
+def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, **options) -> DataFrame:
+    """:func:`match_tests` with n_hit (words that the runs cover; runs may overlap when
+    they come from several blocks) and contaminated."""
+    hit = F.expr("aggregate(runs, named_struct('n', 0L, 'to', 0), (a, r) -> named_struct("
+                 "'n', a.n + greatest(0, r.end - greatest(a.to, r.start)), 'to', greatest(a.to, r.end))).n").cast("long")
+    return match_tests(docs, tests, window, **options).withColumn("n_hit", hit).withColumn(
+        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
-def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, **names) -> DataFrame:
-    """:func:`match_tests` with n_hit and contaminated."""
-    return match_tests(docs, tests, window, **names).withColumn("_n_hit", _hit_words()).withColumn(
-        "_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * SHARE >= F.col("_n_words")))
-
-
-def remove_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, **names) -> DataFrame:
+def remove_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return contamination(docs, tests, window, **names).filter(~F.col("_contaminated")).select(*docs.columns)
+    return contamination(docs, tests, window, **options).filter("not contaminated").select("row.*")
 
 
 def op5_suffix_decontam(spark, sf_dir: str) -> DataFrame:
     from permea.llm.common import table
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
-                        F.size("_items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-                        F.col("_contaminated").alias("contaminated"), F.col("_longest.words").alias("longest_match"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+                        F.col("longest.words").alias("longest_match"))

@@ -361,13 +361,13 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str =
     """One document of each component (its smallest id; of rows that repeat that id
     one), and all documents with an empty set or without an id, with their own columns."""
     found = near_duplicates(docs, percent, id_col, text_col)
-    keep = materialize(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_times"), F.min("tkey").alias("_tkey")), "dedup-kept")
-    keyed = docs.withColumn("_tkey", F.xxhash64(F.col(text_col).cast("string")))
-    joined = keyed.join(keep.select(F.col("doc_id").alias(id_col), "_times", "_tkey"), [id_col, "_tkey"])
-    single = joined.filter("_times = 1")
-    several = joined.filter("_times > 1").dropDuplicates([id_col])
-    lost = keyed.filter(F.col(id_col).isNull())
-    return single.unionByName(several).select(*docs.columns).unionByName(lost.select(*docs.columns))
+    keep = materialize(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("times"), F.min("tkey").alias("tkey")), "dedup-kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                       F.xxhash64(F.col(text_col).cast("string")).alias("tkey"))
+    joined = rows.join(keep, ["doc_id", "tkey"])
+    several = joined.filter("times > 1").groupBy("doc_id").agg(F.first("row").alias("row"))
+    whole = joined.filter("times = 1").select("row").unionByName(several.select("row"))
+    return whole.unionByName(rows.filter("doc_id is null").select("row")).select("row.*")
 
 
 def op3_tensored_minhash(spark, sf_dir: str) -> DataFrame:

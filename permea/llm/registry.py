@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from permea.llm import oracles
 from permea.llm.decontaminate import op5_suffix_decontam
 from permea.llm.html_text import op2_line_block
@@ -15,5 +16,5 @@ from permea.llm.topk import op10_threshold_topk
 from permea.llm.toxicity import op8_knn_toxicity
 
 _ALL = [op1_lattice_lm, op2_line_block, op3_tensored_minhash, op4_prefix_shards, op5_suffix_decontam, op6_config_lp_pack, op7_bigru_langid, op8_knn_toxicity, op9_suffix_dedup, op10_threshold_topk]
-QUERIES = {f.__name__: f for f in _ALL}
-SQL = oracles.SQL
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
+SQL = oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

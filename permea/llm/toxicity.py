@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import LOWER, hash_mod, mix64, slices, span_hash, utf8
+from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, span_hash, text_of, utf8, with_row
 
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 3000, 9000, 16384
 MAX_TERMS, EVIDENCE, HASH_PARTS = 1000, 24.0, 6
@@ -291,32 +291,30 @@ def document_frequencies(body: DataFrame, vocabulary: Vocabulary) -> tuple[int,
     return n, df
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with _score and _evidence (ids of the voters)."""
-    rows = docs.select(*dict.fromkeys([*keep, text_col]))
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns ``keep``, default all), score and evidence (ids of the voters)."""
+    rows = with_row(docs, keep or docs.columns, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                score, evidence = model.score_texts(part.column(text_col).cast(pa.string()))
+            for part in slices(batch, text_of(batch, text_col)):
+                score, evidence = model.score_texts(text_of(part, text_col))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(score),
-                     pa.array([[str(i) for i in e] for e in evidence], pa.list_(pa.string()))], [*keep, "_score", "_evidence"])
+                    [part.column("row"), pa.array(score), pa.array([[str(i) for i in e] for e in evidence], pa.list_(pa.string()))],
+                    ["row", "score", "evidence"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, schema + ", _score double, _evidence array<string>")
+    return rows.mapInArrow(run, f"{row_schema(rows)}, score double, evidence array<string>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, learn: F.Column, threshold: float = 0.5, **options) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    model = fit(docs, labels, learn, **options)
-    return score_documents(docs, model, docs.columns).filter(F.col("_score") < threshold).select(*docs.columns)
+    return score_documents(docs, fit(docs, labels, learn, **options)).filter(F.col("score") < threshold).select("row.*")
 
 
 def op8_knn_toxicity(spark, sf_dir: str) -> DataFrame:
     from permea.llm.common import table
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels, hash_mod("doc_id") != 0)
-    out = score_documents(docs, model, ["doc_id"])
-    return out.select("doc_id", F.coalesce(hash_mod("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-                      (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_evidence").alias("evidence"))
+    out = score_documents(docs, model, ["doc_id"]).select("row.doc_id", "score", "evidence")
+    return out.select("doc_id", F.coalesce(hash_mod("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
