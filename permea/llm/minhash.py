@@ -131,6 +131,21 @@ def _bands(column: pa.Array, halves: int) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint64).reshape(len(column), halves)
 
 
+_PAIR = np.dtype([("child", "<i8"), ("parent", "<i8"), ("n", "<i4"), ("wide", "?")])
+
+
+def _packed(child: np.ndarray, parent: np.ndarray, n: np.ndarray, wide: np.ndarray, parts: int) -> pa.Table:
+    """Pairs as one binary for each part of the children."""
+    rows = np.empty(len(child), _PAIR)
+    rows["child"], rows["parent"], rows["n"], rows["wide"] = child, parent, n, wide
+    part = (mix64(child.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    full = [k for k in range(parts) if ends[k] < ends[k + 1]]
+    return pa.table({"part": pa.array(full, pa.int32()),
+                     "pairs": pa.array([rows[order[ends[k]:ends[k + 1]]].tobytes() for k in full], pa.binary())})
+
+
 def star_pairs(nodes: DataFrame, halves: int) -> DataFrame:
     """child, parent, n (keys), wide (whether a key has a third class): each class with
     the smallest class of its keys, in its run and among the runs."""
@@ -203,12 +218,20 @@ def star_pairs(nodes: DataFrame, halves: int) -> DataFrame:
         child, parent, wide = child[order], parent[order], wide[order]
         new = np.append(True, (child[1:] != child[:-1]) | (parent[1:] != parent[:-1])) if len(child) else np.zeros(0, bool)
         start = np.flatnonzero(new)
-        return pa.table({"child": child[start], "parent": parent[start], "n": np.diff(np.append(start, len(child))),
-                         "wide": np.logical_or.reduceat(wide, start) if len(start) else np.zeros(0, bool)})
+        return _packed(child[start], parent[start], np.diff(np.append(start, len(child))),
+                       np.logical_or.reduceat(wide, start) if len(start) else np.zeros(0, bool), buckets)
+
+    def merge(group: pa.Table) -> pa.Table:
+        found = np.concatenate([np.frombuffer(x, _PAIR) for x in group.column("pairs").to_pylist()])
+        found = found[np.lexsort((found["parent"], found["child"]))]
+        start = np.flatnonzero(np.append(True, (found["child"][1:] != found["child"][:-1]) | (found["parent"][1:] != found["parent"][:-1])))
+        return pa.table({"child": found["child"][start], "parent": found["parent"][start],
+                         "n": np.add.reduceat(found["n"].astype(np.int64), start), "wide": np.logical_or.reduceat(found["wide"], start)})
 
     sent = nodes.select("node", "bands").mapInArrow(send, "bucket int, keys binary, marks binary, nodes binary, pairs binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "child long, parent long, n long, wide boolean")
-    return met.groupBy("child", "parent").agg(F.sum("n").alias("n"), F.max("wide").alias("wide"))
+    # A true pair shares keys of many buckets: their counts travel packed, by the child.
+    met = sent.groupBy("bucket").applyInArrow(meet, "part int, pairs binary")
+    return met.groupBy("part").applyInArrow(merge, "child long, parent long, n long, wide boolean")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -336,7 +359,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         ends = star.select(F.col("child").alias("node")).union(star.select("parent")).distinct()
         wanted = materialize(nodes.join(ends, "node").select("node", "n", "rep", "tkey"), "dedup-wanted")
         body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        texts = body.join(wanted, body.doc_id.eqNullSafe(wanted.rep) & (F.xxhash64(body.text) == wanted.tkey))
+        # The candidates grow with the corpus: always by shuffle, never by broadcast.
+        texts = body.join(wanted.hint("merge"), body.doc_id.eqNullSafe(wanted.rep) & (F.xxhash64(body.text) == wanted.tkey))
         texts = materialize(texts.select("node", "n", "text").dropDuplicates(["node"]), "dedup-texts")
         turn = Window.partitionBy("child").orderBy(F.desc("n"), "parent")
         pairs = star.withColumn("turn", F.row_number().over(turn)).filter("not wide or turn <= 3") \
