@@ -36,8 +36,8 @@ from permea.llm.common import mix64, slices, space_words, word_hash
 from permea.session import materialize
 
 HALVES, ROWS, PERCENT = 30, 5, 80
-BUCKET_KEYS, RUN = 2_000_000, 4096
-BLOCK_BYTES, CENTRE_BYTES = 4 << 20, 1 << 20
+BUCKET_KEYS, RUN = 700_000, 1536
+BLOCK_BYTES, CENTRE_BYTES = 2 << 20, 1 << 19
 _WIDE = np.uint16(1 << 15)
 
 
