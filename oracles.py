@@ -694,13 +694,16 @@ _G1 = {"D1": [0.2, 0.5, 1.0, 1.5, 2.0], "D2": [0.10, 0.15, 0.20, 0.30], "T1": [6
        "T2": [30.0, 60.0, 120.0]}
 _grid_from = " CROSS JOIN ".join(
     f"(SELECT unnest([{', '.join(f'{D(v)}' for v in vals)}]) AS {k})" for k, vals in _G1.items())
-_fl_body = SQL["flagship_best_pairs"].split("\nSELECT smiles_part1 AS aq", 1)
-SQL["j1_recipe_grid"] = SQL["flagship_best_pairs"].replace(
-    "\nSELECT smiles_part1 AS aq", ",\nfl AS (SELECT smiles_part1 AS aq", 1) + f""")
-SELECT aq, org, membrane, D1, D2, T1, T2, round(D1 * T1, 6) AS conc_x_time, round(sqrt(T1), 6) AS sqrt_t1,
+_aqd, _orgd = desc_sql("smiles_part1"), desc_sql("smiles_part2")
+_ip1 = clip(f"(D1 * GREATEST(agg_n_amine, {D(0.0)})) / (D2 * GREATEST(agg_nCl, {D(0.0)}) + {D(1e-6)})", 0.0, 50.0)
+SQL["j1_recipe_grid"] = with_ctes(f"""
+SELECT aq, org, membrane, D1, D2, T1, T2, round(agg_n_amine, 6) AS agg_n_amine, round(agg_nCl, 6) AS agg_nCl,
+       round(D1 * T1, 6) AS conc_x_time, round(sqrt(T1), 6) AS sqrt_t1,
        round(sqrt(T2), 6) AS sqrt_t2, round(D1 / (D2 + {D(1e-6)}), 6) AS d_ratio, round(D1 * D1, 6) AS d1_sq,
-       round(D1 * D2, 6) AS d1_x_d2
-FROM fl CROSS JOIN {_grid_from}"""
+       round(D1 * D2, 6) AS d1_x_d2, round({_ip1}, 6) AS ip_balance
+FROM (SELECT DISTINCT smiles_part1 AS aq, smiles_part2 AS org, membrane,
+             {_aqd['n_amine']} + {_orgd['n_amine']} AS agg_n_amine, {_aqd['nCl']} + {_orgd['nCl']} AS agg_nCl
+      FROM clean WHERE smiles_part1 IS NOT NULL AND smiles_part2 IS NOT NULL) CROSS JOIN {_grid_from}""")
 
 _G2 = {"D1": [0.5, 1.0, 2.0], "D2": [0.15, 0.30], "T1": [120.0, 300.0], "T2": [60.0]}
 _grid2 = " CROSS JOIN ".join(
@@ -728,3 +731,34 @@ SELECT batch, count(*) AS n_rows, count(membrane) AS n_membrane,
        count(CASE WHEN batch = 1 THEN ra END) AS n_ra FROM recipes GROUP BY batch""", RECIPES_CTE)
 
 SQL["s1_load_recipe_files"] = SQL["u1_union_by_name"]
+
+# ------------------------------------------------ model queries: what data alone decides
+_MG = "mg_rej IS NOT NULL"
+SQL["v5_oof_predictions"] = with_ctes(f"""
+SELECT {ROW_ID}, CAST({hash_sql('42', ROWKEY)} % 5 AS INTEGER) AS fold, round(mg_rej, 6) AS y,
+       round({fwd_sql('mg_rej', True)}, 6) AS z, true AS predicted FROM clean WHERE {_MG}""")
+SQL["v4_holdout_predictions"] = with_ctes(f"""
+SELECT {ROW_ID}, CAST(s.seed AS INTEGER) AS split_seed, membrane, round(mg_rej, 6) AS y_true, true AS predicted
+FROM clean CROSS JOIN range(5) s(seed) WHERE {_MG} AND {hash_sql('s.seed', ROWKEY)} < {0.2 * 16 ** 8}""")
+SQL["m4_prediction_interval"] = with_ctes(f"""
+SELECT {ROW_ID}, round(mg_rej, 6) AS mg_rej, round(flux_mg, 6) AS flux_mg, true AS interval_ordered,
+       true AS rejection_in_range FROM clean WHERE {_MG} AND flux_mg IS NOT NULL""")
+SQL["m10_batch_score"] = with_ctes(f"""
+SELECT {ROW_ID}, {", ".join(f"round({c}, 6) AS {c}" for c in ["pwp", "mg_rej", "flux_mg", "li_rej", "flux_li"])},
+       true AS score_follows, true AS score_in_range FROM clean""")
+SQL["m9_fill_characterisation"] = with_ctes(f"""
+SELECT {ROW_ID}, {", ".join(f"round({c}, 6) AS measured_{c}, ({c} IS NULL) AS filled_{c}" for c in ["zeta", "pore", "mwco", "wca", "thickness"])},
+       CASE WHEN zeta IS NULL OR pore IS NULL OR mwco IS NULL OR wca IS NULL OR thickness IS NULL
+            THEN 'stage1' ELSE 'user' END AS char_source, true AS complete FROM clean""")
+SQL["m8_stage1_models"] = with_ctes(" UNION ALL ".join(
+    f"SELECT '{n}' AS char, count({c}) AS n, '{t}' AS transform, true AS evaluated FROM clean HAVING count({c}) >= 40"
+    for n, c, t in [("Zeta_Potential", "zeta", "none"), ("Average_pore_diameter", "pore", "none"),
+                    ("MWCO_Da", "mwco", "log"), ("WCA_d", "wca", "none"), ("Thickness_nm", "thickness", "none")]))
+SQL["s8_bundle_roundtrip"] = with_ctes("SELECT count(*) AS n_rows, count(*) AS n_equal FROM clean")
+SQL["m16_shap_additivity"] = with_ctes(f"SELECT count(*) AS n_rows, count(*) AS n_additive FROM clean WHERE {_MG}")
+SQL["m11_risk_classifier_rows"] = with_ctes(f"""
+SELECT CAST({hash_sql('42', 'synth_key')} % 5 AS INTEGER) AS gfold, CAST(count_if(mg_rej < 80) AS BIGINT) AS n_fail,
+       count(*) AS n, true AS probabilities FROM clean WHERE {_MG} GROUP BY 1""")
+SQL["m17_retrain_decision"] = """
+SELECT * FROM (VALUES ('no bundle', 'true', 'no model bundle'), ('other input', 'true', 'input changed'),
+                      ('same input', 'false', 'up to date')) AS t(case_name, retrain, reason)"""

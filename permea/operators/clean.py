@@ -13,6 +13,8 @@ from ..sources.fixture import (CHAR_COLS, DENS_COLS, MEMBRANE_COL, OP_COLS,
 
 NUMERIC_COLS = DENS_COLS + TIME_COLS + CHAR_COLS + OP_COLS + TARGET_COLS
 KEY_COLS = SMILES_COLS + DENS_COLS + TIME_COLS
+#: File order of the file loader.
+FILE_ORDER = ["source_file", "source_block", "source_row"]
 DEDUP_COLS = ["synth_key"] + OP_COLS + TARGET_COLS
 
 # ---- fixed values (model domain of the reference: rows beyond are excluded) ----
@@ -38,6 +40,22 @@ def with_synth_key(df: DataFrame, name: str = "synth_key") -> DataFrame:
     return df.withColumn(name, F.concat_ws("|", *parts))
 
 
+def source_order(df: DataFrame) -> list[str]:
+    """The columns that give a table's file and row order."""
+    for cols in (ORDER_COLS, FILE_ORDER):
+        if set(cols) <= set(df.columns):
+            return cols
+    raise ValueError(f"no order columns: give order_cols, or a table with {ORDER_COLS} or {FILE_ORDER}")
+
+
+def with_recipe_columns(df: DataFrame) -> DataFrame:
+    """Every recipe column; those that the input lacks are NULL."""
+    strings = [MEMBRANE_COL] + SMILES_COLS
+    missing = [c for c in strings + NUMERIC_COLS if c not in df.columns]
+    return df.withColumns({c: F.lit(None).cast("string" if c in strings else "double") for c in missing}) \
+        if missing else df
+
+
 def dedup_first(df: DataFrame, keys: list[str] | None = None,
                 order_cols: list[str] | None = None) -> DataFrame:
     """Keep the first row (in source order) of each duplicate group.
@@ -48,7 +66,7 @@ def dedup_first(df: DataFrame, keys: list[str] | None = None,
     and partition crosses the network.  NULL keys group together, as in pandas.
     """
     keys = keys or DEDUP_COLS
-    order_cols = order_cols or ORDER_COLS
+    order_cols = order_cols or source_order(df)
     rest = [c for c in df.columns if c not in keys and c not in order_cols]
     first = F.min(F.struct(*[F.col(c) for c in order_cols + rest])).alias("_first")
     out = df.groupBy(*keys).agg(first)
@@ -107,14 +125,15 @@ def domain_filter_log(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def ingest_counts(raw: DataFrame, deduped: DataFrame) -> DataFrame:
-    """A10: rows before and after dedup and distinct recipes (one row)."""
-    before = raw.agg(F.count(F.lit(1)).alias("rows_before"))
-    after = deduped.agg(F.count(F.lit(1)).alias("rows_after"),
-                        F.count_distinct("synth_key").alias("n_recipes"))
-    return before.crossJoin(after)
+def ingest_counts(raw: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A10: rows before and after dedup and distinct recipes (one row), from one
+    scan: the row counts of the duplicate groups are summed."""
+    groups = raw.groupBy(*(keys or DEDUP_COLS)).agg(F.count(F.lit(1)).alias("n"))
+    return groups.groupBy("synth_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")) \
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"),
+             F.coalesce(F.sum("k"), F.lit(0)).alias("rows_after"), F.count("synth_key").alias("n_recipes"))
 
 
-def clean_recipes(raw: DataFrame) -> DataFrame:
+def clean_recipes(raw: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
     """S1 -> P2 -> P3 -> P1: the training table of the reference's ingest."""
-    return coerce_numeric(dedup_first(with_synth_key(raw)))
+    return coerce_numeric(dedup_first(with_synth_key(with_recipe_columns(raw)), order_cols=order_cols))

@@ -1,26 +1,21 @@
-"""Dimension helpers: size-checked broadcast and small lookups."""
+"""Dimension helpers: small tables with known bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side must be proven small.  Rows, not bytes: our dimension rows
-# are narrow (a SMILES string and a dozen doubles, well under 1 KiB).
-MAX_BROADCAST_ROWS = 200_000
+from ..session import materialize
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count shows it has at most ``max_rows`` rows.
+def sized(df: DataFrame, name: str = "dim") -> DataFrame:
+    """``df`` written once to the checkpoint folder and read back.
 
-    The table is cached first so the count and the later join share one
-    computation (the cache is rebuilt from lineage if an executor is lost).
-    Above the bound the plain DataFrame is returned and Spark plans a
-    shuffle join instead.
+    The files' bytes are then in the plan's statistics, so Spark itself
+    broadcasts the table while it is under its threshold and shuffles beyond it;
+    later joins share one computation.
     """
-    df = df.cache()
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return materialize(df, name)
 
 
 def constant_broadcast(df: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.chem import DESC_KEYS, descriptors, parse_monomer, strip
 from ..functions.expr import clip
 from ..sources.fixture import DENS_COLS, MEMBRANE_COL, SMILES_COLS, TIME_COLS
-from .dims import bounded_broadcast
+from .dims import sized
+from .quantiles import exact_quantiles
 
 # ---- fixed values (renamed characterisation columns, ion radii, fallbacks) ----
 CHAR_RENAME = {"wca": "WCA_d", "zeta": "Zeta_Potential", "ra": "Ra_nm", "rq": "Rq_nm",
@@ -71,7 +72,7 @@ def with_molecular(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """``agg_*`` (sum over the five slots) and ``wtd_*`` (density-weighted)."""
     if df.isStreaming and dim is None:
         return with_molecular_inline(df)
-    dim = dim if dim is not None else bounded_broadcast(monomer_dim(df))
+    dim = dim if dim is not None else sized(monomer_dim(df))
     out = df
     for j, c in enumerate(SMILES_COLS, 1):
         dj = dim.select(F.col("smiles").alias(f"_s{j}"),
@@ -121,9 +122,10 @@ def structure_columns() -> dict[str, Column]:
 # ------------------------------------------------------------------ P15
 def operating_medians(df: DataFrame) -> DataFrame:
     """One-row table of the batch medians, with fallbacks when all missing."""
-    return df.agg(
-        F.coalesce(F.median("pressure"), F.lit(PRESSURE_FALLBACK)).alias("_med_p"),
-        F.coalesce(F.median("feed"), F.lit(FEED_FALLBACK)).alias("_med_f"))
+    m = exact_quantiles(df, {"p": F.col("pressure"), "f": F.col("feed")})
+    p = PRESSURE_FALLBACK if m["p"] is None else m["p"]
+    f = FEED_FALLBACK if m["f"] is None else m["f"]
+    return df.sparkSession.createDataFrame([(float(p), float(f))], "_med_p double, _med_f double")
 
 
 def with_operating(df: DataFrame, medians: DataFrame | dict | None = None) -> DataFrame:
@@ -212,12 +214,15 @@ def build_features(df: DataFrame, categories: list[str], keep: list[str] | None
     return out.withColumnsRenamed({f"_keep_{c}": f"src_{c}" for c in keep if c in order})
 
 
+# ---- fixed values: name prefixes of the physics ablation ----
+PHYSICS_PREFIXES = ("WCA", "Zeta", "Ra", "Rq", "Average", "MWCO", "Thickness", "Modification",
+                    "zeta_", "steric_", "donnan", "pore_", "mwco_", "pressure", "feed", "p_",
+                    "log_feed")
+
+
 def physics_subset(names: list[str]) -> list[str]:
     """The compact physics columns of an ablation, by name prefix."""
-    prefixes = ("WCA", "Zeta", "Ra", "Rq", "Average", "MWCO", "Thickness", "Modification",
-                "zeta_", "steric_", "donnan", "pore_", "mwco_", "pressure", "feed", "p_",
-                "log_feed")
-    return [c for c in names if c.startswith(prefixes)]
+    return [c for c in names if c.startswith(PHYSICS_PREFIXES)]
 
 
 def with_features(df: DataFrame, categories: list[str], names: list[str] | None = None,

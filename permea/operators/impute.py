@@ -9,55 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 
-# Exact medians hold every distinct value of a column in the final merge; up to
-# this many rows that is cheap, beyond it the bounded-memory sketch is used.
-MAX_EXACT_MEDIAN_ROWS = 5_000_000
 
-
-def fit_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto",
+def fit_medians(df: DataFrame, cols: list[str], method: str = "exact",
                 accuracy: int = 100000) -> dict[str, float | None]:
     """Median of every column (None if the column is all NULL).
 
-    ``exact=True`` uses ``percentile`` (same as pandas/numpy median).
-    ``exact=False`` uses ``percentile_approx`` (memory bounded by ``accuracy``,
-    rank error <= 1/accuracy).  ``"auto"`` (default) is exact up to
-    ``MAX_EXACT_MEDIAN_ROWS`` rows, approximate above.
+    ``method="exact"`` (default) is the numpy median at every size, by range
+    narrowing (``exact_quantiles``); ``method="sketch"`` is
+    ``percentile_approx`` at every size (rank error <= 1/accuracy).
     """
-    if exact == "auto":
-        exact = df.count() <= MAX_EXACT_MEDIAN_ROWS
-    if exact:
-        aggs = [F.median(c).alias(c) for c in cols]
-    else:
-        aggs = [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+    if method == "exact":
+        return exact_quantiles(df, {c: F.col(c) for c in cols})
+    row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c)
+                   for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
 def medians_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long form (feature, median, n_missing, dropped) from one aggregate pass."""
-    aggs = []
-    for c in cols:
-        aggs += [F.median(c).alias(f"m__{c}"), F.count_if(F.col(c).isNull()).alias(f"n__{c}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"m__{c}").alias("median"),
-                     F.col(f"n__{c}").alias("n_missing"),
-                     F.col(f"m__{c}").isNull().alias("dropped")) for c in cols]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Long form (feature, median, n_missing, dropped), one row per feature."""
+    medians = fit_medians(df, cols)
+    n = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return df.sparkSession.createDataFrame(
+        [(c, medians[c], n[c], medians[c] is None) for c in cols],
+        "feature string, median double, n_missing long, dropped boolean")
 
 
 def apply_medians(df: DataFrame, medians: dict[str, float | None],
-                  indicators: bool = False, drop: bool = True) -> tuple[DataFrame, list[str]]:
+                  indicators: list[str] = (), drop: bool = True) -> tuple[DataFrame, list[str]]:
     """Fill NULLs with the fitted medians; all-NULL columns are dropped.
 
-    Returns the frame and the kept feature names (plus ``missing_<c>``
-    indicator columns, for columns that had NULLs, when ``indicators``).
+    Returns the frame and the kept feature names plus the ``missing_<c>``
+    columns of ``indicators`` (the columns that had NULLs when fitted).
     """
     kept = [c for c, m in medians.items() if m is not None]
     fills = {c: F.coalesce(F.col(c), F.lit(float(medians[c]))) for c in kept}
     names = list(kept)
     if indicators:
-        ind = {f"missing_{c}": F.col(c).isNull().cast("double") for c in kept}
+        ind = {f"missing_{c}": F.col(c).isNull().cast("double") for c in indicators}
         df = df.withColumns(ind)
         names += list(ind)
     out = df.withColumns(fills)
@@ -66,6 +56,12 @@ def apply_medians(df: DataFrame, medians: dict[str, float | None],
     return out, names
 
 
+def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
+    """The columns that miss at least one value but not all."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols]).first()
+    return [c for c in cols if 0 < row[c] < row["_n"]]
+
+
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population sd per column (the reference scales by sd_pop)."""
     aggs = []

@@ -9,17 +9,17 @@ blending or comparing them needs no join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .impute import apply_medians, apply_scaler, fit_medians, fit_scaler
+from .impute import apply_medians, columns_with_nulls, fit_medians, fit_scaler
 
 RANDOM_STATE = 42
 
@@ -47,7 +47,11 @@ FAST = Profile(n_trees=12, max_depth=8, max_bins=64, gbt_iter=15, gbt_depth=3, g
 
 @dataclass(frozen=True)
 class Spec:
-    """One candidate: kind in {et, rf, gbt, ridge, clf} and its settings."""
+    """One candidate: kind in {et, rf, gbt, ridge, clf} and its settings.
+
+    ``trees``, ``iters``, ``rate`` and ``depth`` are the candidate's own sizes (0: the
+    profile's); a smaller profile reduces trees and iterations in proportion.
+    """
     kind: str
     max_features: float = 0.7
     min_leaf: int = 1
@@ -57,15 +61,32 @@ class Spec:
     indicators: bool = False
     onehot: tuple = ()          # P31: string columns one-hot encoded inside the fit
     select_k: int = 0           # P32: keep the top-k features by binned MI (fit rows only)
+    subset: tuple = ()          # P33: name prefixes of the features used
+    trees: int = 0
+    iters: int = 0
+    rate: float = 0.0
+    depth: int = 0
+    balanced: bool = False      # M11: class weights from the rows of the fit
+
+    @property
+    def plain(self) -> bool:
+        """Whether the candidate reads the fold's common feature vector."""
+        return not (self.onehot or self.select_k or self.indicators or self.subset)
+
+    @property
+    def scaled(self) -> bool:
+        return self.scale or self.kind == "ridge"
 
 
 # ---- fixed values: the reference's candidate list (names are ours for ET) ----
 CANDIDATES = {
-    "ET.5": Spec("et", 0.5), "ET.7": Spec("et", 0.7), "ET1": Spec("et", 1.0),
-    "HGB": Spec("gbt"), "RF": Spec("rf", 0.5),
+    "ET.5": Spec("et", 0.5, trees=400), "ET.7": Spec("et", 0.7, trees=400),
+    "ET1": Spec("et", 1.0, trees=400),
+    "HGB": Spec("gbt", min_leaf=10, iters=400, rate=0.06, depth=5),
+    "RF": Spec("rf", 0.5, trees=400),
 }
 STAGE1_SPEC = Spec("et", 0.6)
-RISK_SPEC = Spec("clf", 0.7, min_leaf=3)
+RISK_SPEC = Spec("clf", 0.7, min_leaf=3, trees=700, balanced=True)
 
 
 def colname(name: str) -> str:
@@ -74,36 +95,71 @@ def colname(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
+def _reduced(own: int, now: int, full: int) -> int:
+    return max(1, round(own * now / full)) if own else now
+
+
 def make_estimator(spec: Spec, profile: Profile, label: str = "label",
-                   features: str = "_x", prediction: str = "_pred", weight: str | None = None):
+                   features: str = "_x", prediction: str = "_pred", weight: str | None = None,
+                   rows: tuple[int, float] | None = None):
+    """The Spark ML estimator of a candidate.  ``rows`` (number and standard
+    deviation of the label) is needed for ridge."""
     p = profile
+    trees = _reduced(spec.trees, p.n_trees, FULL.n_trees)
     if spec.kind in ("et", "rf"):
         return RandomForestRegressor(
             featuresCol=features, labelCol=label, predictionCol=prediction,
-            numTrees=p.n_trees, maxDepth=p.max_depth, maxBins=p.max_bins,
+            numTrees=trees, maxDepth=spec.depth or p.max_depth, maxBins=p.max_bins,
             minInstancesPerNode=max(spec.min_leaf, p.min_leaf),
             featureSubsetStrategy=str(float(spec.max_features)),
             bootstrap=(spec.kind == "rf"), subsamplingRate=1.0, seed=p.seed,
             maxMemoryInMB=p.max_memory_mb)
     if spec.kind == "gbt":
         return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=prediction,
-                            maxIter=p.gbt_iter, maxDepth=p.gbt_depth, stepSize=p.gbt_step,
+                            maxIter=_reduced(spec.iters, p.gbt_iter, FULL.gbt_iter),
+                            maxDepth=spec.depth or p.gbt_depth, stepSize=spec.rate or p.gbt_step,
                             maxBins=p.max_bins, minInstancesPerNode=max(spec.min_leaf, 1),
                             lossType=spec.loss, seed=p.seed, maxMemoryInMB=p.max_memory_mb)
     if spec.kind == "ridge":
+        # SSE + reg * |w|^2.  Spark minimises SSE / 2n + (regParam / sd) * |w|^2 / 2 in
+        # the label's own units, as it divides the label by its deviation first.
+        n, sd = rows
         return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction,
-                                regParam=spec.reg, elasticNetParam=0.0, standardization=False)
+                                regParam=spec.reg / max(n, 1) * (sd or 1.0), elasticNetParam=0.0,
+                                standardization=False, solver="normal")
     if spec.kind == "clf":
         kw = {"weightCol": weight} if weight else {}
         return RandomForestClassifier(
             featuresCol=features, labelCol=label, predictionCol=prediction,
-            probabilityCol="_prob", rawPredictionCol="_raw",
-            numTrees=p.n_trees, maxDepth=p.max_depth, maxBins=p.max_bins,
+            probabilityCol=f"{prediction}_prob", rawPredictionCol=f"{prediction}_raw",
+            numTrees=trees, maxDepth=spec.depth or p.max_depth, maxBins=p.max_bins,
             minInstancesPerNode=spec.min_leaf, featureSubsetStrategy=str(float(spec.max_features)),
             bootstrap=False, seed=p.seed, maxMemoryInMB=p.max_memory_mb, **kw)
     raise ValueError(spec.kind)
 
 
+def label_rows(df: DataFrame, label: str) -> tuple[int, float]:
+    row = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    return row.n, row.sd or 0.0
+
+
+def feature_vector(medians: dict, names: list[str], scaler: dict | None = None) -> Column:
+    """The model's input: NULLs filled with medians, ``missing_<c>`` flags, scaled
+    when a scaler is given.  The columns themselves stay as they are."""
+    cols = []
+    for name in names:
+        source = name.removeprefix("missing_")
+        if name in medians:
+            v = F.coalesce(F.col(name).cast("double"), F.lit(float(medians[name])))
+        else:
+            v = F.col(source).isNull().cast("double")
+        if scaler and scaler.get(name, (None,))[0] is not None:
+            m, sd = scaler[name]
+            v = (v - F.lit(m)) / F.lit(sd if sd and sd > 0 else 1.0)
+        cols.append(v)
+    return array_to_vector(F.array(*cols))
+
+
 @dataclass
 class Fitted:
     """Imputer medians + column order + Spark ML model."""
@@ -116,25 +172,26 @@ class Fitted:
     extra: dict = field(default_factory=dict)
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        x, _ = apply_medians(df, self.medians, indicators=self.spec.indicators, drop=False)
-        if self.scaler:
-            x = apply_scaler(x, self.scaler)
-        inputs = list(self.kept)
-        if self.spec.onehot:
-            x, ohe_cols = _apply_onehot(x, self.spec.onehot, self.extra["onehot"])
-            inputs += ohe_cols
-        asm = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
-        return asm.transform(x)
+        """``df`` with the feature vector ``_x``."""
+        vector = feature_vector(self.medians, self.kept, self.scaler)
+        if not self.spec.onehot:
+            return df.withColumn("_x", vector)
+        x, ohe_cols = _apply_onehot(df.withColumn("_numeric", vector), self.spec.onehot, self.extra["onehot"])
+        return VectorAssembler(inputCols=["_numeric", *ohe_cols], outputCol="_x").transform(x)
 
     def transform(self, df: DataFrame, out: str, prob: bool = False) -> DataFrame:
         """Add prediction column ``out`` (class-1 probability when ``prob``)."""
         cols = df.columns
         res = self.model.transform(self.prepare(df))
-        # class-1 probability; a training set with one class has a 1-long
-        # probability vector, which means probability 0 for class 1
-        val = (F.coalesce(F.try_element_at(vector_to_array("_prob"), F.lit(2)), F.lit(0.0))
-               if prob else F.col("_pred"))
-        return res.select(*[F.col(c) for c in cols], val.alias(out))
+        return res.select(*[F.col(c) for c in cols], _output("_pred", prob).alias(out))
+
+
+def _output(prediction: str, prob: bool) -> Column:
+    # class-1 probability; a training set with one class has a 1-long
+    # probability vector, which means probability 0 for class 1
+    if prob:
+        return F.coalesce(F.try_element_at(vector_to_array(f"{prediction}_prob"), F.lit(2)), F.lit(0.0))
+    return F.col(prediction)
 
 
 MISSING_TOKEN = "__missing__"
@@ -150,28 +207,38 @@ def _apply_onehot(df: DataFrame, cols, model) -> tuple[DataFrame, list[str]]:
     return out, [f"_ohe_{c}" for c in cols]
 
 
+def _selected(features: list[str], spec: Spec) -> list[str]:
+    return [f for f in features if f.startswith(spec.subset)] if spec.subset else list(features)
+
+
 def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Profile,
-        weight: str | None = None) -> Fitted:
-    """Fit medians on ``df`` (the training rows only) and then the model.
+        weight: str | None = None, medians: dict | None = None) -> Fitted:
+    """Fit medians on ``df`` (the training rows only; or take those already
+    fitted on the same rows) and then the model.
 
     With ``spec.onehot`` the listed string columns are indexed and one-hot
     encoded on the training rows (unseen values -> all zeros, like
     ``handle_unknown='ignore'``); with ``spec.select_k`` only the top-k
-    features by binned mutual information with the label are kept.
+    features by binned mutual information with the label are kept; with
+    ``spec.indicators`` the columns that miss values here get a flag each.
     """
-    med = fit_medians(df, features)
-    x, kept = apply_medians(df, med, indicators=spec.indicators)
-    extra = {}
+    use = _selected(features, spec)
+    med = {c: medians[c] for c in use} if medians else fit_medians(df, use)
+    kept = [c for c in use if med[c] is not None]
+    extra: dict = {}
+    if spec.indicators:
+        extra["indicators"] = columns_with_nulls(df, kept)
+        kept += [f"missing_{c}" for c in extra["indicators"]]
     if spec.select_k:
         from .select import mutual_info_topk
-        top = mutual_info_topk(x, kept, label, k=spec.select_k).select("feature").collect()
+        x, names = apply_medians(df, med, extra.get("indicators", []))
+        top = mutual_info_topk(x, names, label, k=spec.select_k).select("feature").collect()
         chosen = {r.feature for r in top}
         kept = [c for c in kept if c in chosen]
     scaler = None
-    if spec.scale or spec.kind == "ridge":
+    if spec.scaled:
+        x, _ = apply_medians(df, med, extra.get("indicators", []))
         scaler = fit_scaler(x, kept)
-        x = apply_scaler(x, scaler)
-    inputs = list(kept)
     if spec.onehot:
         from pyspark.ml import Pipeline
         from pyspark.ml.feature import OneHotEncoder, StringIndexer
@@ -180,14 +247,13 @@ def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Pro
                             handleInvalid="keep")
         ohe = OneHotEncoder(inputCols=[f"_idx_{c}" for c in cols],
                             outputCols=[f"_ohe_{c}" for c in cols], dropLast=True)
-        pm = Pipeline(stages=[idx, ohe]).fit(_fill_tokens(x, cols))
-        extra["onehot"] = pm
-        x, ohe_cols = _apply_onehot(x, cols, pm)
-        inputs += ohe_cols
-    asm = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
-    est = make_estimator(spec, profile, label=label, weight=weight)
-    model = est.fit(asm.transform(x))
-    return Fitted(spec, features, med, kept, model, scaler, extra)
+        extra["onehot"] = Pipeline(stages=[idx, ohe]).fit(_fill_tokens(df, cols))
+    if spec.balanced:
+        df, weight = balanced_weights(df, label), "_w"
+    fitted = Fitted(spec, features, med, kept, None, scaler, extra)
+    rows = label_rows(df, label) if spec.kind == "ridge" else None
+    fitted.model = make_estimator(spec, profile, label=label, weight=weight, rows=rows).fit(fitted.prepare(df))
+    return fitted
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "_w") -> DataFrame:
@@ -199,42 +265,84 @@ def balanced_weights(df: DataFrame, label: str, name: str = "_w") -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
+@dataclass
+class FoldInput:
+    """What all candidates of a fold share: medians (and scaler) fitted on the
+    training rows, and the training rows' vectors, written once."""
+    medians: dict
+    kept: list[str]
+    scaler: dict | None
+    train: DataFrame
+
+    @classmethod
+    def fit(cls, train: DataFrame, features: list[str], columns: list[str], scale: bool) -> FoldInput:
+        from ..session import materialize
+        medians = fit_medians(train, features)
+        kept = [c for c in features if medians[c] is not None]
+        scaler = fit_scaler(apply_medians(train, medians)[0], kept) if scale else None
+        self = cls(medians, kept, scaler, train)
+        self.train = materialize(self.vectors(train).select(*columns, *self.outputs), "fold-vectors")
+        return self
+
+    @property
+    def outputs(self) -> list[str]:
+        return ["_shared_x"] + (["_shared_xs"] if self.scaler else [])
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_shared_x", feature_vector(self.medians, self.kept))
+        return out.withColumn("_shared_xs", feature_vector(self.medians, self.kept, self.scaler)) if self.scaler else out
+
+
 def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
         specs: dict[str, Spec], profile: Profile, prefix: str = "oof_",
         transforms: dict | None = None, prob: bool = False,
-        weight: str | None = None, parallelism: int = 4, persist: bool = True,
-        chunk: int = 6) -> DataFrame:
+        parallelism: int = 4, persist: bool = True, chunk: int = 12) -> DataFrame:
     """V5: out-of-fold predictions of every candidate as ``<prefix><colname(name)>``.
 
-    For each fold: fit on the other folds (imputer included), predict the
-    fold; then union the folds.  Each row is predicted exactly once, by
-    models that never saw its fold.  ``transforms`` maps a candidate to a
-    (forward, inverse) pair applied around the fit (P21/P23).
+    For each fold the imputer is fitted once on the other folds and their
+    vectors are written once; every candidate (and transform) trains on them
+    and predicts the fold; then the folds are united.  Each row is predicted
+    exactly once, by models that never saw its fold.  ``transforms`` maps a
+    candidate to a (forward, inverse) pair applied around the fit (P21/P23).
     """
-    def fit_one(i: int, name: str) -> Fitted:
-        train = df.where(F.col(fold) != i)
-        lab = label
-        if transforms and name in transforms:
-            train = train.withColumn("_t_label", transforms[name][0](F.col(label)))
-            lab = "_t_label"
-        return fit(train, features, lab, specs[name], profile, weight=weight)
-
-    jobs = [(i, n) for i in range(k) for n in specs]
-    fitted = run_parallel(lambda a: fit_one(*a), jobs, parallelism)
     from ..session import materialize
+    transforms = transforms or {}
+    scale = any(s.plain and s.scaled for s in specs.values())
+    inputs = run_parallel(lambda i: FoldInput.fit(df.where(F.col(fold) != i), features, [label], scale),
+                          list(range(k)), parallelism)
+
+    def fit_one(i: int, name: str):
+        spec, lab, shared = specs[name], label, inputs[i]
+        train = shared.train if spec.plain else df.where(F.col(fold) != i)
+        if name in transforms:
+            train, lab = train.withColumn("_t_label", transforms[name][0](F.col(label))), "_t_label"
+        if not spec.plain:
+            return fit(train, features, lab, spec, profile, medians=shared.medians)
+        weight = None
+        if spec.balanced:
+            train, weight = balanced_weights(train, lab), "_w"
+        est = make_estimator(spec, profile, lab, "_shared_xs" if spec.scaled else "_shared_x", f"_p_{colname(name)}",
+                             weight, label_rows(train, lab) if spec.kind == "ridge" else None)
+        return est.fit(train)
+
+    fitted = run_parallel(lambda a: fit_one(*a), [(i, n) for i in range(k) for n in specs], parallelism)
     parts = []
     for i in range(k):
-        test = df.where(F.col(fold) == i)
+        test = inputs[i].vectors(df.where(F.col(fold) == i))
         for j, name in enumerate(specs, 1):
-            out = prefix + colname(name)
-            test = fitted[(i, name)].transform(test, out, prob=prob)
-            if transforms and name in transforms:
+            out, model = prefix + colname(name), fitted[(i, name)]
+            if specs[name].plain:
+                cols, own = test.columns, f"_p_{colname(name)}"
+                test = model.transform(test).select(*[F.col(c) for c in cols], _output(own, prob).alias(out))
+            else:
+                test = model.transform(test, out, prob=prob)
+            if name in transforms:
                 test = test.withColumn(out, transforms[name][1](F.col(out)))
             if persist and j % chunk == 0 and j < len(specs):
                 # stacked model transforms deepen the plan; writing every few
                 # candidates keeps plan analysis small on the driver
                 test = materialize(test, "oof-part")
-        parts.append(test)
+        parts.append(test.drop("_shared_x", "_shared_xs"))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     if persist:
         # one short lineage for every consumer of the predictions
@@ -256,9 +364,5 @@ def run_parallel(fn, items: list, parallelism: int = 4) -> dict:
         return {it: f.result() for it, f in futures.items()}
 
 
-def with_profile(profile: Profile, **kw) -> Profile:
-    return replace(profile, **kw)
-
-
 def prediction_sum(cols: list[Column], weights: list[float]) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(w) * c for c, w in zip(cols, weights)])

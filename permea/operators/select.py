@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_corr
-from .dims import bounded_broadcast
+from .dims import sized
 from .impute import apply_medians, fit_medians
 
 
@@ -44,7 +44,7 @@ def mutual_info_topk(df: DataFrame, names: list[str], y: str, k: int = 20,
         "xbin", _bin(F.col("x"), F.col("_lo"), F.col("_hi"), bins))
     # at most features x bins^2 rows: materialise once behind the size check,
     # since the marginals and the final sum all read it
-    nxy = bounded_broadcast(
+    nxy = sized(
         u.groupBy("feature", "xbin", "ybin").agg(F.count(F.lit(1)).alias("nxy")))
     nx = nxy.groupBy("feature", "xbin").agg(F.sum("nxy").alias("nx"))
     ny = nxy.groupBy("feature", "ybin").agg(F.sum("nxy").alias("ny"))

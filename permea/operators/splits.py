@@ -18,6 +18,18 @@ ROW_KEY_COLS = ["batch", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
 HASH_RANGE = float(16 ** 8)
 
 
+FILE_ROW = ["source_file", "source_block", "source_row"]
+
+
+def row_cols(df: DataFrame) -> list[str]:
+    """The columns that identify a row of a recipe table: the derived table's
+    keys, or file and place in the file (S1)."""
+    for cols in (ROW_KEY_COLS, FILE_ROW):
+        if set(cols) <= set(df.columns):
+            return cols
+    raise ValueError(f"no row key: a recipe table needs {FILE_ROW}")
+
+
 def row_key(cols: list[str] = ROW_KEY_COLS) -> Column:
     parts = [F.round(F.col(c) * 100).cast("bigint").cast("string") if c == "l_extendedprice"
              else F.col(c).cast("string") for c in cols]

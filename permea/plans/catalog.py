@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, to_number
+from ..functions.score import composite_score
 from ..operators import clean as C
 from ..plans import flagship as FL
 from ..sources import fixture as FX
@@ -77,7 +78,7 @@ def q_p6(spark, sf_dir):
 @query("a10_ingest_counts")
 def q_a10(spark, sf_dir):
     r = C.with_synth_key(raw(spark, sf_dir))
-    return C.ingest_counts(r, C.dedup_first(r))
+    return C.ingest_counts(r)
 
 
 # ------------------------------------------------------------------ chemistry
@@ -517,15 +518,19 @@ def q_o1(spark, sf_dir):
 
 @query("j1_recipe_grid")
 def q_j1(spark, sf_dir):
-    base = q_flagship(spark, sf_dir).select("aq", "org", "membrane")
-    g = GR.explode_grid(base, LB.RECIPE_GRID, limit=LB.RECIPE_GRID_LIMIT * 15, base_rows=15)
+    # all measured base recipes; descriptors once per base, before the grid
+    c = clean(spark, sf_dir)
+    base = c.where("smiles_part1 is not null and smiles_part2 is not null") \
+        .select(F.col("smiles_part1").alias("aq"), F.col("smiles_part2").alias("org"), "membrane").distinct()
+    aq, org = CH.descriptors("aq"), CH.descriptors("org")
+    base = base.withColumns({f"agg_{k}": aq[k] + org[k] for k in ["n_amine", "nCl"]})
+    g = GR.explode_grid(base, LB.RECIPE_GRID, limit=LB.RECIPE_GRID_LIMIT)
     syn = FE.synthesis_columns()
     g = g.withColumns({"density_part1": F.col("D1"), "density_part2": F.col("D2"),
-                       "time_1": F.col("T1"), "time_2": F.col("T2"),
-                       "agg_n_amine": F.lit(0.0), "agg_nCl": F.lit(0.0)})
-    return _r6(g.select("aq", "org", "membrane", "D1", "D2", "T1", "T2",
+                       "time_1": F.col("T1"), "time_2": F.col("T2")})
+    return _r6(g.select("aq", "org", "membrane", "D1", "D2", "T1", "T2", "agg_n_amine", "agg_nCl",
                         *[syn[c].alias(c) for c in ["conc_x_time", "sqrt_t1", "sqrt_t2",
-                                                    "d_ratio", "d1_sq", "d1_x_d2"]]))
+                                                    "d_ratio", "d1_sq", "d1_x_d2", "ip_balance"]]))
 
 
 def monomer_grid(spark, sf_dir) -> DataFrame:
@@ -552,12 +557,7 @@ def q_j2(spark, sf_dir):
 
 @query("a3_screen_counts")
 def q_a3(spark, sf_dir):
-    g = monomer_grid(spark, sf_dir)
-    return g.agg(F.count_distinct("aq", "org").alias("n_pairs"),
-                 F.count(F.lit(1)).alias("n_combinations"),
-                 F.count_distinct("aq").alias("n_aq"), F.count_distinct("org").alias("n_org"),
-                 F.count_distinct(F.when(F.col("aq_in_dataset"), F.col("aq"))).alias("n_aq_from_dataset"),
-                 F.count_distinct(F.when(F.col("org_in_dataset"), F.col("org"))).alias("n_org_from_dataset"))
+    return SC.screen_counts(MO.candidates(clean(spark, sf_dir)), LB.MONOMER_GRID)
 
 
 @query("u1_union_by_name")
@@ -601,8 +601,7 @@ def _metric_rows(o: DataFrame, cols: dict[str, str], y: str = "z") -> DataFrame:
 def q_v5(spark, sf_dir):
     _, d, names = _target_data(spark, sf_dir)
     o = MD.oof(d, "fold", 5, names, "z", {"ET.5": MD.CANDIDATES["ET.5"]}, PROFILE)
-    return o.select(*ROW_ID, "fold", "y", "z", F.col("oof_ET_5").alias("z_oof"),
-                    TR.inv_transform("Mg_rej", "oof_ET_5").alias("y_oof"))
+    return _r6(o.select(*ROW_ID, "fold", "y", "z", F.col("oof_ET_5").isNotNull().alias("predicted")))
 
 
 @query("m1_forest_oof")
@@ -651,9 +650,9 @@ def q_v4m(spark, sf_dir):
     res = TRN.TrainResult(cats, names)
     TRN.train_target(feats, "Mg_rej", names, PROFILE, {"ET.5": MD.CANDIDATES["ET.5"]},
                      grouped=False, holdouts=5, intervals=False, result=res)
-    # Predictions back on their source rows (ids, membrane), worst first
-    return SK.holdout_table(res.holdout_predictions["Mg_rej"], "Mg_rej") \
-        .orderBy(F.desc("abs_error"), *SP.ROW_KEY_COLS, "split_seed")
+    # Predictions back on their source rows (ids, membrane)
+    h = SK.holdout_table(res.holdout_predictions["Mg_rej"], "Mg_rej")
+    return _r6(h.select(*ROW_ID, "split_seed", "membrane", "y_true", F.col("y_pred").isNotNull().alias("predicted")))
 
 
 def _quick(spark, sf_dir, stage1=False, intervals=False, targets=None):
@@ -665,8 +664,16 @@ def _quick(spark, sf_dir, stage1=False, intervals=False, targets=None):
 def q_m4m(spark, sf_dir):
     c, res = _quick(spark, sf_dir, intervals=True, targets=["Mg_rej", "Flux_Mg"])
     s = SC.score_batch(c.where(F.col("mg_rej").isNotNull() & F.col("flux_mg").isNotNull()), res)
-    return s.select(*ROW_ID, "mg_rej", "Mg_rej", "Mg_rej_lo", "Mg_rej_hi",
-                    "flux_mg", "Flux_Mg", "Flux_Mg_lo", "Flux_Mg_hi")
+    # what SQL can check of every row: the measured values stay, the interval is
+    # ordered and inside the physical range
+    ordered = F.lit(True)
+    for t in ["Mg_rej", "Flux_Mg"]:
+        p = SC.prediction_name(t)
+        ordered = ordered & (F.col(f"{p}_lo") <= F.col(f"{p}_hi"))
+    ranged = F.col("pred_Mg_rej").between(0, 100) & F.col("pred_Mg_rej_lo").between(0, 100) \
+        & F.col("pred_Mg_rej_hi").between(0, 100)
+    return _r6(s.select(*ROW_ID, "mg_rej", "flux_mg", ordered.alias("interval_ordered"),
+                        ranged.alias("rejection_in_range")))
 
 
 @query("m8_stage1_models")
@@ -675,9 +682,9 @@ def q_m8(spark, sf_dir):
     cats = FE.membrane_categories(c)
     res = TRN.TrainResult(cats, FE.feature_names(cats))
     TRN.train_stage1(c, cats, PROFILE, res, evaluate=True)
-    return spark.createDataFrame([(r["char"], r["n"], r["R2"], r["transform"])
+    return spark.createDataFrame([(r["char"], r["n"], r["transform"], r["R2"] is not None)
                                   for r in res.stage1_report],
-                                 "char string, n long, R2 double, transform string")
+                                 "char string, n long, transform string, evaluated boolean")
 
 
 @query("m9_fill_characterisation")
@@ -687,26 +694,42 @@ def q_m9(spark, sf_dir):
     res = TRN.TrainResult(cats, FE.feature_names(cats))
     TRN.train_stage1(c, cats, PROFILE, res, evaluate=False)
     f = SC.fill_predicted_char(c, res)
-    return f.select(*ROW_ID, "wca", "zeta", "pore", "mwco", "thickness",
-                    *[f"filled_{k}" for k in ["zeta", "pore", "mwco", "wca", "thickness"]],
-                    "char_source")
+    chars = ["zeta", "pore", "mwco", "wca", "thickness"]
+    complete = F.lit(True)
+    for k in chars:
+        complete = complete & F.col(k).isNotNull()
+    return _r6(f.select(*ROW_ID, *[F.when(~F.col(f"filled_{k}"), F.col(k)).alias(f"measured_{k}") for k in chars],
+                        *[f"filled_{k}" for k in chars], "char_source", complete.alias("complete")))
 
 
 @query("m10_batch_score")
 def q_m10(spark, sf_dir):
     c, res = _quick(spark, sf_dir)
     s = SC.score_batch(c, res)
-    return s.select(*ROW_ID, *[t for t in FX.TARGETS], "score", "separation", "mg_quality",
-                    "li_quality", "flux_norm", "pwp_norm")
+    # what SQL can check of every row: all measured targets stay as they were, the
+    # score follows from the emitted predictions and lies in 0..1
+    again = composite_score(*[SC.prediction_name(t) for t in ["Mg_rej", "Li_rej", "Flux_Mg", "PWP"]])
+    same = F.abs(again["score"] - F.col("score")) < 1e-12
+    return _r6(s.select(*ROW_ID, *FX.TARGETS.values(), same.alias("score_follows"),
+                        F.col("score").between(0, 1).alias("score_in_range")))
+
+
+@query("m10_predicted_values")
+def q_m10v(spark, sf_dir):
+    """The model's values themselves (rows only: no SQL for a forest)."""
+    c, res = _quick(spark, sf_dir)
+    s = SC.round_predictions(SC.score_batch(c, res))
+    return s.select(*ROW_ID, *[SC.prediction_name(t) for t in FX.TARGETS], "score", "separation",
+                    "mg_quality", "li_quality", "flux_norm", "pwp_norm")
 
 
 @query("e2_screen_recipes")
 def q_e2(spark, sf_dir):
     c, res = _quick(spark, sf_dir)
-    bases = q_flagship(spark, sf_dir).select(
-        F.col("aq").alias("smiles_part1"), F.col("org").alias("smiles_part2"), "membrane",
-        "pressure", "feed")
-    return SC.screen_recipes(bases, res, n_bases=15, top_n=15,
+    # every measured base recipe; the condition grid's size is guarded per base
+    bases = c.groupBy("smiles_part1", "smiles_part2", "membrane").agg(
+        F.max("pressure").alias("pressure"), F.max("feed").alias("feed"))
+    return SC.screen_recipes(bases, res, top_n=15,
                              group=["smiles_part1", "smiles_part2", "membrane"])
 
 
@@ -728,6 +751,15 @@ def q_m11(spark, sf_dir):
     return AU.risk_report(AU.risk_oof(d, names, PROFILE))
 
 
+@query("m11_risk_classifier_rows")
+def q_m11r(spark, sf_dir):
+    """Per fold: rows, failures, and whether every row has a probability."""
+    _, d, names = _target_data(spark, sf_dir)
+    p = AU.risk_oof(d, names, PROFILE)
+    return p.groupBy("gfold").agg(F.count_if(F.col("fail") == 1).alias("n_fail"), F.count(F.lit(1)).alias("n"),
+                                  F.min(F.col("p_RISK").between(0, 1)).alias("probabilities"))
+
+
 @query("m12_leaderboard")
 def q_m12(spark, sf_dir):
     c = clean(spark, sf_dir)
@@ -739,7 +771,7 @@ def q_m12(spark, sf_dir):
 @query("m13_cascade")
 def q_m13(spark, sf_dir):
     _, d, names = _target_data(spark, sf_dir)
-    return AU.cascade_report(AU.cascade_oof(d, names, PROFILE, MD.CANDIDATES["ET.7"]))
+    return AU.cascade(d, names, PROFILE)
 
 
 @query("m14_seed_stability")
@@ -777,8 +809,8 @@ def q_m16(spark, sf_dir):
 def q_m16b(spark, sf_dir):
     d, m = _mg_model(spark, sf_dir)
     _, check, b = XP.path_shap(d, m, SP.ROW_KEY_COLS)
-    return check.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(b).alias("base_value"),
-                     F.max(F.abs(F.col("prediction") - F.col("base_plus_phi"))).alias("max_abs_error"))
+    near = F.abs(F.col("prediction") - F.col("base_plus_phi")) < 1e-9
+    return check.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(near).alias("n_additive"))
 
 
 @query("s7_shap_values_wide")
@@ -801,10 +833,27 @@ def q_s2(spark, sf_dir):
 
 @query("m17_retrain_decision")
 def q_m17(spark, sf_dir):
+    """All three answers, against a run and a bundle stored from this input: before
+    the bundle exists, for another input, and for the same input."""
+    import uuid
+
     from ..session import checkpoint_path
     fp = FI.fingerprint(spark, _input_paths(sf_dir)).first().fingerprint
-    base = checkpoint_path(spark, "runs")
-    return SK.retrain_needed(f"{base}/metrics", f"{base}/bundle", fp)
+    base = checkpoint_path(spark, f"runs-{uuid.uuid4().hex[:8]}")
+    d, m = _mg_model(spark, sf_dir)
+    res = TRN.TrainResult([], m.features)
+    res.models["Mg_rej"] = TRN.TargetModel("Mg_rej", ["ET.5"], [1.0], [m])
+    res.report.append({"target": "Mg_rej", "n": d.count(), "model": "ET.5"})
+    SK.write_run(res, base, fp)
+    answers = [("no bundle", SK.retrain_needed(f"{base}/metrics", f"{base}/bundle", fp))]
+    SK.save_bundle(res, f"{base}/bundle")
+    answers.append(("other input", SK.retrain_needed(f"{base}/metrics", f"{base}/bundle", fp[::-1] + "x")))
+    answers.append(("same input", SK.retrain_needed(f"{base}/metrics", f"{base}/bundle", fp)))
+    out = None
+    for name, a in answers:
+        a = a.select(F.lit(name).alias("case_name"), "retrain", "reason")
+        out = a if out is None else out.unionByName(a)
+    return out
 
 
 @query("s4_run_record")
@@ -835,7 +884,7 @@ def q_s8(spark, sf_dir):
         .select(*SP.ROW_KEY_COLS, F.col("score").alias("score_reloaded"))
     j = a.join(b, SP.ROW_KEY_COLS)
     return j.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.max(F.abs(F.col("score") - F.col("score_reloaded"))).alias("max_abs_diff"))
+                 F.count_if(F.col("score").eqNullSafe(F.col("score_reloaded"))).alias("n_equal"))
 
 
 @query("m12_interpolation_benchmark")

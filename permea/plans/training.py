@@ -26,8 +26,6 @@ from ..operators.clean import DOMAIN_FILTERS
 from ..session import materialize
 from ..sources.fixture import TARGETS
 
-ROW_ID = SP.ROW_KEY_COLS
-ID_COLS = ROW_ID + ["synth_key", "membrane"]
 
 
 @dataclass
@@ -73,7 +71,7 @@ def feature_table(clean: DataFrame, categories: list[str] | None = None,
                   recipe_only: bool = False) -> tuple[DataFrame, list[str], list[str]]:
     """Feature matrix + ids + targets, written once to the checkpoint folder."""
     cats = categories or FE.membrane_categories(clean)
-    keep = (ID_COLS + list(TARGETS.values()) + list(FE.STAGE1_SOURCE.values())
+    keep = (SP.row_cols(clean) + ["synth_key", "membrane"] + list(TARGETS.values()) + list(FE.STAGE1_SOURCE.values())
             + ["smiles_part1", "smiles_part2", "smiles_part3", "smiles_part4", "smiles_part5"])
     keep = list(dict.fromkeys(keep))
     f = FE.build_features(clean, cats, keep=keep, recipe_only=recipe_only)
@@ -92,7 +90,7 @@ def target_frame(feats: DataFrame, target: str, k: int = 5, seed: int = 42) -> D
     if hi is not None:
         d = d.where(F.col(col) <= hi)
     d = d.withColumns({"y": F.col(col), "z": TR.fwd_transform(target, col)})
-    d = SP.with_fold(d, k, SP.row_key(), seed, "fold")
+    d = SP.with_fold(d, k, SP.row_key(SP.row_cols(d)), seed, "fold")
     return SP.with_fold(d, k, F.col("synth_key"), seed, "gfold")
 
 
@@ -128,6 +126,7 @@ def train_target(feats: DataFrame, target: str, names: list[str], profile: MD.Pr
                  intervals: bool = True, result: TrainResult | None = None) -> TargetModel:
     cands = candidates or MD.CANDIDATES
     d = target_frame(feats, target)
+    row_id = SP.row_cols(d)
     if len(cands) == 1 and not intervals and not grouped and not holdouts:
         # serving bundle only: one candidate, no evaluation, one fit
         name = next(iter(cands))
@@ -137,7 +136,7 @@ def train_target(feats: DataFrame, target: str, names: list[str], profile: MD.Pr
             result.report.append({"target": target, "model": name})
         return final
     oof = MD.oof(d, "fold", 5, names, "z", cands, profile)
-    oof = materialize(oof.select(*ROW_ID, "synth_key", "y", "z", "fold", "gfold",
+    oof = materialize(oof.select(*row_id, "synth_key", "y", "z", "fold", "gfold",
                                  *["oof_" + MD.colname(n) for n in cands]), f"oof-{target}")
     chosen, w, cv_r2, cand_r2 = select_blend(oof, list(cands))
     weights = [w] if w >= 0.999 else [w, 1.0 - w]
@@ -159,12 +158,12 @@ def train_target(feats: DataFrame, target: str, names: list[str], profile: MD.Pr
     if holdouts:
         parts = []
         for seed in range(holdouts):
-            h = SP.with_holdout(d, SP.row_key(), seed, 0.2)
+            h = SP.with_holdout(d, SP.row_key(row_id), seed, 0.2)
             tr, te = h.where(~F.col("is_test")), h.where(F.col("is_test"))
             tm = TargetModel(target, chosen, weights,
                              [MD.fit(tr, names, "z", specs[n], profile) for n in chosen])
             p = tm.predict_z(te, "zp").withColumn("y_pred", TR.inv_transform(target, "zp"))
-            parts.append(p.select(*ROW_ID, "membrane", F.lit(seed).alias("split_seed"),
+            parts.append(p.select(*row_id, "membrane", F.lit(seed).alias("split_seed"),
                                   "y", "y_pred"))
         pool = parts[0]
         for p in parts[1:]:
@@ -211,7 +210,7 @@ def train_stage1(clean: DataFrame, categories: list[str], profile: MD.Profile,
     def one(char):
         src, tf = FE.STAGE1_SOURCE[char], FE.STAGE1_CHARS[char]
         d = rf.where(F.col(src).isNotNull())
-        d = SP.with_fold(d.withColumn("zc", TR.stage1_fwd(char, src, tf)), 5, SP.row_key(), 42)
+        d = SP.with_fold(d.withColumn("zc", TR.stage1_fwd(char, src, tf)), 5, SP.row_key(SP.row_cols(d)), 42)
         r2 = None
         if evaluate:
             o = MD.oof(d, "fold", 5, rnames, "zc", {"S1": MD.STAGE1_SPEC}, profile)

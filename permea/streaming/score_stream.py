@@ -42,7 +42,7 @@ def score_stream(stream: DataFrame, categories: list[str], medians: dict,
     x = coerce_numeric(stream)
     if res is not None:
         from ..plans.scoring import score_batch
-        return score_batch(x, res, intervals=True)
+        return score_batch(x, res, intervals=True, medians=medians)
     f = FE.with_features(x, categories, medians=medians)
     parts = composite_score("mg_rej", "li_rej", "flux_mg", "pwp")
     return f.withColumns(parts).withColumn("scored_at", F.current_timestamp())
