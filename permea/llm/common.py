@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+def some_of(key: Column, want: int, total: int) -> Column:
+    """Whether a row is among about twice ``want`` of ``total`` rows, by its 64-bit
+    hash: what is then sorted and cut to ``want`` stays as small at any size."""
+    if total <= 2 * want:
+        return F.lit(True)
+    return key < F.lit(int(-(1 << 63) + (1 << 64) * (2 * want / total)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

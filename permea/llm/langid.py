@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import hash_mod, slices, utf8
+from permea.llm.common import hash_mod, slices, some_of, utf8
 
 WINDOW = 128
 HIDDEN = 8
@@ -217,19 +217,22 @@ def sample_windows(docs: DataFrame, learn: F.Column, per_language: int, per_docu
     value (the ``max_languages`` commonest), ``per_document`` windows of each."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)) \
         .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    names = sorted(r["lang"] for r in counts)
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = {r["lang"]: r["count"] for r in top}
+    names = sorted(counts)
     key = F.xxhash64("text", F.lit(seed))
     body = F.col("text").cast("binary")
     windows, labels = [], []
     for k, name in enumerate(names):
-        picked = rows.filter(F.col("lang") == name).withColumn("key", key).orderBy("key").limit(per_language)
+        picked = rows.filter(F.col("lang") == name).withColumn("key", key).filter(some_of(F.col("key"), per_language, counts[name]))
         room = F.greatest(F.lit(1), F.octet_length(body) - window + 2)
         cuts = [F.substring(body, F.pmod(F.xxhash64("key", F.lit(j)), room).cast("int") + (0 if j < 0 else 1), window)
                 for j in range(per_document)]
         # A quarter of the windows is short, as the ends of texts are.
         cuts[-1] = F.substring(cuts[-1], F.lit(1), (F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(window)) + 1).cast("int"))
-        for row in picked.select(F.array(*cuts).alias("w")).collect():
+        # Windows, not texts, are sorted and sent; copies of a text count once.
+        drawn = picked.select("key", F.array(*cuts).alias("w")).groupBy("key").agg(F.first("w").alias("w"))
+        for row in drawn.orderBy("key").limit(per_language).select("w").collect():
             for w in row.w:
                 if len(w):
                     windows.append(bytes(w))

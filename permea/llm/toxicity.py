@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, span_hash, text_of, utf8, with_row
+from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, some_of, span_hash, text_of, utf8, with_row
 
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 3000, 9000, 16384
 MAX_TERMS, EVIDENCE, HASH_PARTS = 1000, 24.0, 6
@@ -251,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
         .select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic")).distinct()
     counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     key = F.xxhash64("id", F.lit(3))
-    picked = [marks.filter(F.col("toxic") == y).orderBy(key, "id").limit(n) for y, n in ((True, n_toxic), (False, n_clean))]
+    picked = [marks.filter((F.col("toxic") == y) & some_of(key, n, counts.get(y, 0))).orderBy(key, "id").limit(n)
+              for y, n in ((True, n_toxic), (False, n_clean))]
     chosen = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], marks.schema)  # bounded by the arguments
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = body.join(F.broadcast(chosen), "id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES)
