@@ -308,3 +308,39 @@ def test_pipeline_stages(spark, docs):
             assert set(after) == set(before) - bad
         else:
             assert set(after) == set(before) and sum(map(len, after.values())) <= sum(map(len, before.values()))
+
+
+def test_lattice_score_of_the_model(spark, sf_dir, docs):
+    """The score from the formula, with the model's own parts recomputed in plain Python."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("learn", common.hash_mod("doc_id") != 1)
+    centres = lattice_lm.centres_of(lattice_lm._sample_histograms(rows, lattice_lm.SAMPLE), lattice_lm.COMPONENTS)
+    k_all, d = len(centres), lattice_lm.DISCOUNT
+    words = {i: SPACE_WORD.findall(low(r.text)) for i, r in docs.items()}
+    each = [collections.Counter() for _ in range(k_all)]
+    for i, r in docs.items():
+        if crc(i) != 1:
+            each[int(lattice_lm._nearest(lattice_lm.letter_histograms(pa.array([r.text])), centres)[0])].update(words[i])
+    whole = sum(each, collections.Counter())
+    n, n_docs = sum(whole.values()), sum(crc(i) != 1 for i in docs)
+    pieces, scores = lattice_lm.vocabulary(RANKS), None
+    scores = lattice_lm.zipf_scores(len(pieces))
+    types = pa.array(sorted(whole))
+    for _ in range(lattice_lm.PASSES):
+        scores = lattice_lm._scores(lattice_lm.Lattice(pieces, scores).expected_counts(types), len(types))
+    lattice = lattice_lm.Lattice(pieces, scores)
+    p_end = (n_docs + 0.5) / (n + n_docs + 1)
+    weight = np.array([sum(c.values()) + 1 for c in each], float)
+    weight /= weight.sum()
+    got = {r.doc_id: r.score for r in run(spark, sf_dir, "op1_lattice_lm")}
+    for i in sorted(docs)[:40]:
+        own = words[i]
+        sub = np.exp(lattice.log_probability(pa.array(own, pa.string()))) if own else np.zeros(0)
+        p = np.array([max(whole[w] - d, 0) / n for w in own]) + d * len(whole) / n * sub
+        total = []
+        for k, c in enumerate(each):
+            size = sum(c.values())
+            q = np.array([max(c[w] - d, 0) / size for w in own]) + d * len(c) / size * (
+                lattice_lm.KNOWN * p + (1 - lattice_lm.KNOWN) * sub) if size else p
+            total.append(math.log(weight[k]) + (np.log(q).sum() if own else 0))
+        want = (np.logaddexp.reduce(total) + len(own) * math.log(1 - p_end) + math.log(p_end)) / math.log(10)
+        assert got[i] == pytest.approx(want, rel=1e-9)
