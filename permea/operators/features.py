@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chem import DESC_KEYS, descriptors, parse_monomer, strip
 from ..functions.expr import clip
-from ..sources.fixture import DENS_COLS, MEMBRANE_COL, SMILES_COLS, TIME_COLS
+from ..sources.fixture import DENS_COLS, MEMBRANE_COL, SMILES_COLS
 from .dims import sized
 from .quantiles import exact_quantiles
 

@@ -33,18 +33,12 @@ def top_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 
 def top_n_per_group(df: DataFrame, group: list[str], n: int, order: list[Column],
-                    rank_name: str = "rank", salt_buckets: int = 64) -> DataFrame:
+                    rank_name: str = "rank") -> DataFrame:
     """O3: the first ``n`` rows per group, ranked 1..n.
 
-    Two phases so that one huge group never lands in a single task: rank inside
-    (group, salt) slices and keep each slice's top ``n`` (a superset of the
-    group's top n), then rank the small remainder per group.  ``order`` must be
-    a total order for the result to be deterministic.
+    The rank filter plans as a group limit before and after the shuffle: every
+    task keeps its own first ``n`` rows of a group, so one huge group sends n rows
+    per task.  ``order`` must be a total order for the result to be deterministic.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets))
-    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
-    pre = (df.withColumn("_salt", salt)
-             .withColumn("_r1", F.row_number().over(w1))
-             .filter(F.col("_r1") <= n).drop("_salt", "_r1"))
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return pre.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= n)
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn(rank_name, F.row_number().over(w)).filter(F.col(rank_name) <= n)

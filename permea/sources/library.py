@@ -51,9 +51,6 @@ MONOMER_GRID = {"D1": [0.5, 1.0, 2.0], "D2": [0.15, 0.30], "T1": [120.0, 300.0],
                 "T2": [60.0]}
 MONOMER_CONTEXT = {"membrane": "Psf", "wca": 48.0, "zeta": 14.0, "pore": 0.40,
                    "mwco": 360.0, "thickness": 81.0, "pressure": 10.0, "feed": 2000.0}
-BASE_RECIPE = {"membrane": "Psf", "smiles_part1": "", "smiles_part2": "",
-               "density_part1": 0.5, "time_1": 120.0, "density_part2": 0.15,
-               "time_2": 60.0, "pressure": 5.0, "feed": 1000.0}
 
 _LIB_SCHEMA = StructType([StructField("name", StringType(), False),
                           StructField("smiles", StringType(), False),
