@@ -19,7 +19,6 @@ fewer than k candidates give all of them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
