@@ -23,10 +23,13 @@ def test_dedup_aggregates_partially(spark, sf_dir):
     assert "Window" not in p
 
 
-def test_bounded_broadcast_respects_limit(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    j1 = spark.range(1000).join(DM.bounded_broadcast(small, max_rows=50), "id")
-    j2 = spark.range(1000).join(DM.bounded_broadcast(big, max_rows=50), "id")
-    assert "BroadcastHashJoin" in plan(j1)
-    assert j2._jdf.queryExecution().logical().toString().count("broadcast") == 0
+def test_sized_dimension_follows_the_threshold(spark):
+    """Spark broadcasts a written dimension by its bytes, and not beyond its threshold."""
+    dim, key = DM.sized(spark.range(10)), "spark.sql.autoBroadcastJoinThreshold"
+    assert "BroadcastHashJoin" in plan(spark.range(1000).join(dim, "id"))
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1")
+        assert "SortMergeJoin" in plan(spark.range(1000).join(dim, "id"))
+    finally:
+        spark.conf.set(key, before)
