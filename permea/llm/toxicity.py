@@ -1,18 +1,20 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact cosine of weighted TF-IDF vectors.
 
 Fit, on a bounded sample (``n_toxic`` and ``n_clean`` labelled rows at most,
 of texts of at most ``EXAMPLE_BYTES``): terms are words and their first 4, 5
-and 6 bytes; those whose document counts go with the toxic label (likelihood
-ratio above ``EVIDENCE``) are the vocabulary.  Document frequencies are counted
-over all documents.  The examples' unit TF-IDF vectors go into an inverted index
-cut in blocks of examples, which keeps the largest weight of every term in each
-block.  A query visits the blocks by their upper bound (its weights times those
-largest weights) and stops when no block left can reach its kth neighbour, so
-the neighbours are exact.  Their votes, weighted by cosine and by what each
-class was sampled down, are calibrated by isotonic regression on the examples,
-each left out of its own vote.  Every document is scored on its whole text.
-
-Defined cases: NULL or empty text, and text without a vocabulary term, has no
+and 6 bytes, and all terms of the examples are indexed.  A term weighs its idf,
+with document frequencies counted over all documents, times 1 + the root of the
+likelihood ratio with which it goes with the toxic label (0 if it does not), so
+no term is left out and those that tell the classes apart say most.  The unit
+vectors of the examples stand in posting lists; the ``HEAD`` commonest terms in
+a dense matrix, which serves many queries in one product.  Its single precision
+only picks candidates, whose cosines are summed again in double precision, so
+the neighbours are exact.  Their votes, weighted by the squared cotangent of the
+angle (a copy outvotes all that are merely alike) and by what each class was
+sampled down, are calibrated by isotonic regression on the examples, each left
+out of its own vote.  Every document is scored on its whole text.
+
+Defined cases: NULL or empty text, and text without a term of any example, has no
 neighbour and gets the share of toxic rows among examples without one; a NULL
 label or id teaches nothing; without labelled rows every score is 0;
 every row gives one row, and repeated rows the same score; an id that repeats in
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, some_of, span_hash, text_of, utf8, with_row
 
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 3000, 9000, 16384
-MAX_TERMS, EVIDENCE, HASH_PARTS = 1000, 24.0, 6
-K, BLOCK = 15, 64
+HASH_PARTS = 8
+K, HEAD, QUERIES = 15, 1024, 128
+#: More than the rounding of a sum of HEAD products in single precision.
+MARGIN = 2e-4
 PREFIXES = (4, 5, 6)
 
 _LETTER = np.zeros(256, bool)
@@ -63,18 +67,32 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.bits = np.zeros(1 << 20, bool)  # most terms of a text are not in it
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # Where the terms of each value of the upper 20 bits start.
+        self.first = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each term, -1 for those of no example."""
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(h), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        at, end, h = at[live], end[live], h[live]
+        while len(live):
+            same = self.hashes[at] == h
+            out[live[same]] = at[same]
+            at = at + 1
+            on = ~same & (at < end)
+            live, at, end, h = live[on], at[on], end[on], h[on]
+        return out
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times) of the terms of the vocabulary, by row and term."""
         row, h = term_hashes(texts)
-        some = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-        if not len(some) or not len(self.hashes):
+        at = self.find(h)
+        some = at >= 0
+        if not some.any():
             return (np.zeros(0, np.int64),) * 3
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        same = self.hashes[at] == h[some]
-        pair, times = np.unique(row[some][same] * len(self.hashes) + at[same], return_counts=True)
+        pair, times = np.unique(row[some] * len(self.hashes) + at[some], return_counts=True)
         return pair // len(self.hashes), pair % len(self.hashes), times
 
 
@@ -106,71 +124,123 @@ def copy_weights(texts: pa.Array, tries: int = 4) -> np.ndarray:
     return 1.0 / np.bincount(roots, minlength=max(n, 1))[roots]
 
 
-def choose_terms(texts: pa.Array, toxic: np.ndarray, limit: int = MAX_TERMS, evidence: float = EVIDENCE) -> np.ndarray:
-    """Hashes of the terms that go with the label, by the likelihood ratio of their
-    document counts, in which a group of near copies counts once."""
-    weight = copy_weights(texts)
-    p = float((weight * toxic).sum() / weight.sum()) if len(toxic) else 0.0
-    part = lambda x, e: np.where(x > 1e-9, x * np.log(np.maximum(x, 1e-9) / e), 0.0)
-    good: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0))]
+def posting_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all terms of the examples, ascending, where each one's list ends,
+    and the lists: example and times."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(texts), 500):
+        row, h = term_hashes(texts.slice(at, 500))
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        found.append((h[first], (at + row[first]).astype(np.int32), np.diff(np.append(first, len(h))).astype(np.int32)))
+    terms, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    examples, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for share in range(HASH_PARTS):  # a part of the terms at a time, to bound memory
-        found = [np.zeros((2, 0), np.uint64)]
-        for at in range(0, len(texts), 500):
-            row, h = term_hashes(texts.slice(at, 500))
-            own = h % np.uint64(HASH_PARTS) == share
-            row, h = row[own], h[own]
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            first = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-            found.append(np.stack([h[first], (at + row[first]).astype(np.uint64)]))
-        h, row = np.concatenate(found, axis=1)
-        terms, index = np.unique(h, return_inverse=True)
-        row = row.astype(np.int64)
-        a = np.bincount(index, weight[row] * toxic[row], minlength=len(terms))
-        n = np.bincount(index, weight[row], minlength=len(terms))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)))
-        some = np.flatnonzero((ratio > evidence) & (a > n * p))
-        good.append((terms[some], ratio[some]))
-    terms, ratio = (np.concatenate(x) for x in zip(*good, strict=True))
-    return terms[np.lexsort((terms, -ratio))][:limit]
-
-
-class BlockIndex:
-    """Unit vectors of the examples in blocks, with every term's largest weight in each."""
-
-    def __init__(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray):
-        some, place = np.unique(row, return_inverse=True)
-        v = np.zeros((len(some), len(idf)))
-        v[place, term] = (1 + np.log(times)) * idf[term]
-        # Alike examples stand together, so that a block's largest weights say much.
-        order = np.argsort(v.argmax(1), kind="stable") if len(some) else np.zeros(0, np.int64)
-        self.example = some[order]
-        v = v[order]
-        self.vectors = v / np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v
-        starts = np.arange(0, len(v), BLOCK)
-        self.top = np.maximum.reduceat(self.vectors, starts, axis=0).T if len(v) else np.zeros((len(idf), 0))
-        self.idf = idf
-
-    def nearest(self, term: np.ndarray, times: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest, nearest first, ties to the earlier example."""
-        w = (1 + np.log(times)) * self.idf[term]
-        w = w / np.sqrt(w @ w)
-        bound = w @ self.top[term]
-        best, at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            rows = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.example)))
-            score = self.vectors[rows][:, term] @ w
-            rows, score = rows[score > 0], score[score > 0]
-            mine = self.example[rows]
-            if without >= 0:
-                rows, score, mine = rows[mine != without], score[mine != without], mine[mine != without]
-            best, at = np.concatenate([best, score]), np.concatenate([at, mine])
-            order = np.lexsort((at, -best))[:k]
-            best, at = best[order], at[order]
-        return at, best
+        own = [np.flatnonzero(h // np.uint64(2**64 // HASH_PARTS) == share) for h, _, _ in found]
+        h, example, n = (np.concatenate([x[i][o] for x, o in zip(found, own, strict=True)] or [np.zeros(0, np.uint64)]) for i in range(3))
+        order = np.argsort(h, kind="stable")
+        each, size = np.unique(h[order], return_counts=True)
+        terms.append(each)
+        sizes.append(size)
+        examples.append(example[order].astype(np.int32))
+        times.append(n[order].astype(np.int32))
+    return np.concatenate(terms), np.cumsum(np.concatenate(sizes)), np.concatenate(examples), np.concatenate(times)
+
+
+def evidence_of(ends: np.ndarray, example: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Likelihood ratio of each term's document counts, in which a group of near
+    copies counts once, for the terms that go with the toxic label; else 0."""
+    if not len(ends):
+        return np.zeros(0)
+    p = float((weight * toxic).sum() / weight.sum())
+    part = lambda x, e: np.where(x > 1e-9, x * np.log(np.maximum(x, 1e-9) / e), 0.0)
+    starts = np.append(0, ends[:-1])
+    a, n = np.add.reduceat((weight * toxic)[example], starts), np.add.reduceat(weight[example], starts)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)))
+    return np.where(a > n * p, np.maximum(ratio, 0), 0.0)
+
+
+class Vectors:
+    """The examples' unit vectors as posting lists."""
+
+    def __init__(self, ends: np.ndarray, example: np.ndarray, weight: np.ndarray, some: np.ndarray, n: int):
+        self.starts, self.ends, self.example, self.weight, self.some, self.n = np.append(0, ends[:-1]), ends, example, weight, some, n
+
+    def sums(self, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Products with a query of weights ``w``, of every example."""
+        if not len(term):
+            return np.zeros(self.n)
+        spans = list(zip(self.starts[term].tolist(), self.ends[term].tolist(), strict=True))
+        weight = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(w, self.ends[term] - self.starts[term])
+        return np.bincount(np.concatenate([self.example[a:b] for a, b in spans]), weight, minlength=self.n)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        term = np.flatnonzero(w)
+        return self.sums(term, w[term])[self.some]
+
+
+class Index:
+    """Posting lists of the examples' unit vectors, those of the commonest terms as a matrix.
+    ``idf``: the weight of each term."""
+
+    def __init__(self, ends: np.ndarray, example: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int):
+        sizes = np.diff(np.append(0, ends))
+        weight = (1 + np.log(times)) * np.repeat(idf, sizes)
+        norm = np.sqrt(np.bincount(example, weight**2, minlength=n))
+        self.idf, self.example = idf, np.flatnonzero(norm > 0)
+        weight /= norm[example] if n else 1.0
+        self.vectors = Vectors(ends, example, weight.astype(np.float32), self.example, n)
+        common = np.argsort(-sizes, kind="stable")[:HEAD]
+        self.place = np.full(len(idf), -1, np.int16)
+        self.place[common] = np.arange(len(common))
+        self._head: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_head": None}  # each task makes its own
+
+    @property
+    def head(self) -> np.ndarray:
+        if self._head is None:
+            v, common = self.vectors, np.flatnonzero(self.place >= 0)
+            self._head = np.zeros((len(common), v.n), np.float32)
+            for t in common.tolist():
+                some = slice(v.starts[t], v.ends[t])
+                self._head[self.place[t], v.example[some]] = v.weight[some]
+        return self._head
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
+               without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, times): examples and cosines of the k nearest, nearest
+        first, ties to the earlier example."""
+        head = self.head
+        for begin in range(0, len(queries), QUERIES):
+            some = queries[begin:begin + QUERIES]
+            dense, rest = np.zeros((len(some), len(head)), np.float32), []
+            for i, (term, times) in enumerate(some):
+                w = (1 + np.log(times)) * self.idf[term]
+                w = w / np.sqrt(w @ w)
+                place = self.place[term]
+                common = place >= 0
+                dense[i, place[common]] = w[common]
+                rest.append((place[common], w[common], term[~common], w[~common]))
+            rough = dense @ head
+            for i, (place, w, term, v) in enumerate(rest):
+                rare = self.vectors.sums(term, v)
+                score = rough[i] + rare
+                if without is not None:
+                    score[without[begin + i]] = 0.0
+                least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+                at = np.flatnonzero((score >= least - MARGIN) & (score > 0))
+                # Rounded, so that equal texts tie whatever stands beside them in the product.
+                exact = np.round(rare[at] + np.concatenate(
+                    [w @ head[np.ix_(place, at[a:a + 1000])].astype(float) for a in range(0, len(at), 1000)] or [np.zeros(0)]), 12)
+                order = np.lexsort((at, -exact))[:k]
+                yield at[order], exact[order]
+
+    def nearest(self, term: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.search([(term, times)], k))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +260,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Votes of the nearest examples; ``weight``: how many rows an example of each class stands for."""
 
-    def __init__(self, vocabulary: Vocabulary, index: BlockIndex, toxic: np.ndarray, weight: tuple[float, float], ids: list, k: int):
+    def __init__(self, vocabulary: Vocabulary, index: Index, toxic: np.ndarray, weight: tuple[float, float], ids: list, k: int):
         self.vocabulary, self.index, self.k, self.ids = vocabulary, index, k, ids
         self.toxic, self.mass = toxic, np.where(toxic, weight[1], weight[0])
         has = np.zeros(len(toxic), bool)
@@ -200,22 +270,23 @@ class Model:
         self.cut: tuple[np.ndarray, np.ndarray] | None = None
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        power = cosine**2 * self.mass[at]
+        square = np.minimum(cosine, 1.0)**2
+        power = square / (1 + 1e-6 - square) * self.mass[at]
         return float((power * self.toxic[at]).sum() / power.sum())
 
-    def calibrate(self, row: np.ndarray, term: np.ndarray, times: np.ndarray) -> None:
+    def calibrate(self, row: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[list, list, list]:
+        """Votes, labels and weights of some of the examples, each without its own vote."""
         x, y, w = [], [], []
-        for r, a, b in _groups(row):
-            at, cosine = self.index.nearest(term[a:b], times[a:b], self.k, without=r)
+        groups = list(_groups(row))
+        found = self.index.search([(term[a:b], times[a:b]) for _, a, b in groups], self.k, [r for r, _, _ in groups])
+        for (r, _, _), (at, cosine) in zip(groups, found, strict=True):
             if len(at):
                 x.append(self.vote(at, cosine))
                 y.append(float(self.toxic[r]))
                 w.append(self.mass[r])
-        if x:
-            self.cut = isotonic(np.array(x), np.array(y), np.array(w))
+        return x, y, w
 
-    def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list]:
-        at, cosine = self.index.nearest(term, times, self.k)
+    def score(self, at: np.ndarray, cosine: np.ndarray) -> tuple[float, list]:
         if not len(at):
             return self.none, []
         raw = self.vote(at, cosine)
@@ -226,12 +297,17 @@ class Model:
     def score_texts(self, texts: pa.Array) -> tuple[np.ndarray, list]:
         score, evidence = np.full(len(texts), self.none), [[] for _ in range(len(texts))]
         row, term, times = self.vocabulary.counts(texts)
-        memo: dict[bytes, tuple[float, list]] = {}
+        same: dict[bytes, list[int]] = {}
+        queries = []
         for r, a, b in _groups(row):
             key = term[a:b].tobytes() + times[a:b].tobytes()
-            if key not in memo:
-                memo[key] = self.score(term[a:b], times[a:b])
-            score[r], evidence[r] = memo[key]
+            if key not in same:
+                queries.append((term[a:b], times[a:b]))
+            same.setdefault(key, []).append(r)
+        for rows, found in zip(same.values(), self.index.search(queries, self.k), strict=True):
+            one = self.score(*found)
+            for r in rows:
+                score[r], evidence[r] = one
         return score, evidence
 
 
@@ -259,16 +335,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
     rows = sample.orderBy(key, "id", "text").limit(n_toxic + n_clean).toArrow()
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     toxic = rows.column("toxic").to_numpy().astype(bool) if rows.num_rows else np.zeros(0, bool)
-    vocabulary = Vocabulary(choose_terms(texts, toxic))
+    terms, ends, example, times = posting_lists(texts)
+    vocabulary = Vocabulary(terms)
     n, df = document_frequencies(body, vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    row, term, times = (np.concatenate(x) for x in zip(*(
-        (r + at, t, c) for at in range(0, max(1, len(texts)), 500) for r, t, c in [vocabulary.counts(texts.slice(at, 500))]),
-        strict=True))
-    index = BlockIndex(row, term, times, idf)
+    evidence = evidence_of(ends, example, toxic, copy_weights(texts))
+    index = Index(ends, example, times, (np.log((1 + n) / (1 + df)) + 1) * (1 + np.sqrt(evidence)), len(texts))
     weight = (counts.get(False, 0) / max(1, int((~toxic).sum())), counts.get(True, 0) / max(1, int(toxic.sum())))
     model = Model(vocabulary, index, toxic, weight, rows.column("id").to_pylist() if rows.num_rows else [], k)
-    model.calibrate(row, term, times)
+    votes: tuple[list, list, list] = ([], [], [])
+    for at in range(0, len(texts), 500):
+        row, term, uses = vocabulary.counts(texts.slice(at, 500))
+        for all_of, some in zip(votes, model.calibrate(row + at, term, uses), strict=True):
+            all_of += some
+    if votes[0]:
+        model.cut = isotonic(*map(np.array, votes))
     return model
 
 
@@ -283,13 +363,12 @@ def document_frequencies(body: DataFrame, vocabulary: Vocabulary) -> tuple[int,
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["term", "n"])
 
-    # At most MAX_TERMS + 1 rows come back.
-    got = body.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r.term: r.n for r in got}
-    n = found.pop(-1, 0)
+    # One row for each term of the bounded sample, and the number of documents.
+    got = body.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, count = got.column("term").to_numpy(), got.column("n").to_numpy()
     df = np.zeros(len(vocabulary.hashes))
-    df[list(found)] = list(found.values())
-    return n, df
+    df[term[term >= 0]] = count[term >= 0]
+    return int(count[term < 0].sum()), df
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -184,3 +184,16 @@ def test_stages(spark, docs, tmp_path, bench, labels):
             if name != "packing":
                 assert now.columns == before.columns
                 assert now.count() <= before.count()
+
+
+def test_toxicity_of_a_rare_kind(spark):
+    """A text equal to a labelled toxic example is flagged though none of its words is frequent."""
+    plain = [(i, f"the river number{i} runs past houses and fields near town{i % 7}") for i in range(40)]
+    common = [(100 + i, f"you are an idiot{'' if i % 2 else ' moron'} says voice{i}") for i in range(20)]
+    rare = [(200, "qvarx zelgon threpp wumbled skorvane"), (201, "qvarx zelgon threpp wumbled skorvane")]
+    docs = spark.createDataFrame([*plain, *common, *rare], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in [*plain, *common, rare[0]]], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, toxicity.fit(docs, labels, F.lit(True)), ["doc_id"])
+           .select("row.doc_id", "score", "evidence").collect()}
+    assert got[201].evidence[0] == "200" and got[201].score >= 0.5
+    assert got[201].score == got[200].score and all(got[i].score < 0.5 for i, _ in plain)
