@@ -1,12 +1,16 @@
 """Main text of HTML pages by the line-block distribution.
 
-Markup is stripped to lines (one per block), the text lengths are summed over
-sliding windows of ``WINDOW`` lines, and the text between a surge (a window
-rises over the threshold) and the following dive (the windows fall to nothing)
-is kept.  Lines inside menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, and the text of links, have no length.  On a page
-that declares an article, only its lines have length and any text is a surge;
-elsewhere a surge needs ``THRESHOLD`` characters in a window.
+Markup is stripped to lines (one per block, and one empty line for any run of
+tags between two), the text lengths are summed over sliding windows of
+``WINDOW`` lines, and the text between a surge (a window rises over the
+threshold) and the following dive (the windows fall to nothing) is kept.  A
+surge needs ``THRESHOLD`` characters in a window; on a page where no window has
+as many, its densest windows are the surges; there and inside articles the text
+before a surge, too, is kept back to a dive.  Lines inside menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments, and the text of links, have no length; class
+names tell such places only on containers, not on paragraphs, headings, entries,
+cells or inline elements.  On a page that declares an article, only its lines
+have length, and short blocks between kept ones are kept.
 
 Defined cases: NULL or empty html and pages without main text give an empty
 text; broken or cut markup is read as far as it goes; every page row gives one
@@ -43,6 +47,11 @@ _SIDE_NAME = re.compile(
     r"breadcrumbs?|side-?bar|aside|footer|header|masthead|comments?|commentlist|disqus|respond|replies|reply|related|"
     r"recommended|share|sharing|social|newsletter|subscribe|signup|login|search|popup|modal|overlay|widget|toolbar|"
     r"pagination|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Elements of one block of text: their names say nothing about a part of the page.
+_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot caption blockquote pre figure figcaption address "
+                   "body html article main".split())
+#: Names of wrappers that only tell what stands beside the text.
+_BESIDE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-][\w-]*", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -53,7 +62,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     state = {"linked": 0, "text": 0}
     article = link = 0
     side = ""  # name of the side element we are in, and how deep
-    depth = 0
+    depth, named = 0, False
 
     def text(raw: str) -> None:
         if raw:
@@ -71,7 +80,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             linked = state["linked"] * 2 > state["text"] and not article
             out.append((words, 0 if linked else len(words), article > 0))
             state["linked"] = state["text"] = 0
-        else:
+        elif not out or out[-1][0] or out[-1][2] != (article > 0):
             out.append(("", 0, article > 0))
 
     at = 0
@@ -88,8 +97,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 if depth <= 0:
                     side = ""
                     end_line()
-            elif side == "p" and name not in _INLINE:
-                side = ""  # a new block ends an open paragraph
+            elif named and name in ("main", "h1") and not close:
+                side = ""  # a wrapper of the page, not a part beside its text
             if side or name == "p" and close:
                 continue
         if name in _INLINE:
@@ -97,9 +106,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 link = 0 if close else 1
             elif name == "br":
                 parts.append(" ")
-            if not close and name not in _VOID and name != "a" and _named_side(m[4]):
-                end_line()
-                side, depth = name, 1
             continue
         end_line()
         link = 0
@@ -107,10 +113,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             article -= name in ("article", "main") and article > 0
         elif name in _VOID:
             continue
-        elif name in _SIDE or name == "header" and not article or (name not in ("body", "html", "article", "main", "h1")
-                                                                  and _named_side(m[4])) \
-                or name == "article" and article and _named_side(m[4]):
-            side, depth = name, 1
+        elif name in _SIDE or name == "header" and not article:
+            side, depth, named = name, 1, False
+        elif (name not in _BLOCK or name == "article" and article) and _named_side(m[4]):
+            side, depth, named = name, 1, True
         else:
             article += name in ("article", "main")
     text(page[at:])
@@ -119,18 +125,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 
 def _named_side(attributes: str) -> bool:
-    return "=" in attributes and any(_SIDE_NAME.search(a or b or c) for a, b, c in _ROLE.findall(attributes))
+    return "=" in attributes and any(_SIDE_NAME.search(_BESIDE.sub("", a or b or c)) for a, b, c in _ROLE.findall(attributes))
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    if any(n and inside for _, n, inside in lines):
-        lengths = [n if inside else 0 for _, n, inside in lines]
-        threshold = 1
-    else:
-        lengths = [n for _, n, _ in lines]
+    declared = any(n and inside for _, n, inside in lines)
+    lengths = [n if inside or not declared else 0 for _, n, inside in lines]
     total, sums = 0, []  # sums[i]: lines i to i + window - 1
     for i, n in enumerate(lengths):
         total += n - (lengths[i - window] if i >= window else 0)
@@ -138,19 +141,25 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
             sums.append(total)
     if not sums:
         sums = [total]
+    low = max(sums) < threshold  # a short page
+    least = max(1, min(threshold, max(sums)))
     keep = bytearray(len(lines))
-    i = 0
+    i = start = 0  # start: where the windows last rose from nothing
     while i < len(sums):
-        if sums[i] >= threshold:  # a surge
+        if sums[i] >= least:  # a surge
             end = i
             while end < len(sums) and sums[end] > 0:  # to the dive
                 end += 1
-            for k in range(i, min(len(lines), end + window - 1)):
+            for k in range(start if low or declared else i, min(len(lines), end + window - 1)):
                 keep[k] = 1
             i = end
+        if i < len(sums) and sums[i] == 0:
+            start = i + 1
         i += 1
-    return "\n".join(t for (t, n, _), k in zip(lines, keep, strict=True) if k and n and t) \
-        if threshold > 1 else "\n".join(t for (t, n, a), k in zip(lines, keep, strict=True) if k and n and a and t)
+    if declared and any(keep):
+        first, last = keep.index(1), keep.rindex(1)
+        keep[first:last] = b"\1" * (last - first)
+    return "\n".join(t for (t, _, _), n, k in zip(lines, lengths, keep, strict=True) if k and n and t)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

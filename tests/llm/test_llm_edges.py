@@ -197,3 +197,19 @@ def test_toxicity_of_a_rare_kind(spark):
            .select("row.doc_id", "score", "evidence").collect()}
     assert got[201].evidence[0] == "200" and got[201].score >= 0.5
     assert got[201].score == got[200].score and all(got[i].score < 0.5 for i, _ in plain)
+
+
+def test_html_windows():
+    long = "A long paragraph of prose that goes on for a while and tells a story. " * 2
+    wrapped = "".join(f"<div><div><p>{t}</p></div></div>" for t in (long, "Short entry.", "Another short one.", long, "The end."))
+    assert html_text.main_text(f"<body>{wrapped}</body>").split("\n") == [
+        long.strip(), "Short entry.", "Another short one.", long.strip(), "The end."]
+    rows = "".join(f"<tr><td>cell {i}</td></tr>" for i in range(4))
+    assert html_text.main_text(f"<body><table>{rows}</table></body>").split("\n") == [f"cell {i}" for i in range(4)]
+    # Links in a row are a dive; short text after it is not part of the article.
+    links = "<p><a href='/'>More of this</a></p>" * 4
+    article = f"<article><p>Lead.</p><p>{long}</p></article><div>{links}</div><article><p>Teaser</p></article>"
+    assert html_text.main_text(f"<body>{article}</body>").split("\n") == ["Lead.", long.strip()]
+    # Names of paragraphs and wrappers do not hide text; those of whole containers do.
+    page = f"<div class='page has-sidebar'><p class='notice'>{long}</p><div class='sidebar'><p>{long}aside</p></div></div>"
+    assert html_text.main_text(page) == long.strip()
