@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+def some_bound(want: int, total: int) -> int:
+    """What a 64-bit hash must not pass for about twice ``want`` of ``total`` distinct hashes."""
+    return (1 << 63) - 1 if total <= 2 * want else int(-(1 << 63) + (1 << 64) * (2 * want / total))
+
+
 def some_of(key: Column, want: int, total: int) -> Column:
     """Whether a row is among about twice ``want`` of ``total`` rows, by its 64-bit
-    hash: what is then sorted and cut to ``want`` stays as small at any size."""
-    if total <= 2 * want:
-        return F.lit(True)
-    return key < F.lit(int(-(1 << 63) + (1 << 64) * (2 * want / total)))
+    hash: what is then sorted and cut to ``want`` stays as small at any size.
+    Where rows share a hash, ``total`` counts the distinct ones."""
+    return key <= F.lit(some_bound(want, total))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ The network reads the UTF-8 bytes of a text in consecutive windows of
 over the languages; a document's distribution is the mean over all of its
 positions.  It is trained here, in numpy, by backpropagation through time and
 Adam, on windows drawn from a bounded sample of labelled rows
-(``per_language`` documents of each of at most ``max_languages`` languages).
+(``per_language`` distinct texts of every language).
 The weights (some thousand numbers) go to the tasks; every whole text is read.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; a
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permea.llm.common import hash_mod, slices, some_of, utf8
+from permea.llm.common import hash_mod, slices, some_bound, utf8
 
 WINDOW = 128
 HIDDEN = 8
@@ -211,37 +211,41 @@ def document_probabilities(p: dict[str, np.ndarray], raw: np.ndarray, off: np.nd
     return out / np.maximum(sizes, 1)[:, None]
 
 
-def sample_windows(docs: DataFrame, learn: F.Column, per_language: int, per_document: int, window: int, max_languages: int,
+def sample_windows(docs: DataFrame, learn: F.Column, per_language: int, per_document: int, window: int, max_languages: int | None = None,
                    text_col: str = "text", lang_col: str = "lang", seed: int = 11):
-    """Windows (bytes) of a bounded sample: ``per_language`` documents of each language
-    value (the ``max_languages`` commonest), ``per_document`` windows of each."""
+    """Windows (bytes) of a bounded sample: ``per_language`` distinct texts of each language
+    value (all, or the ``max_languages`` with most rows), ``per_document`` windows of each."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)) \
         .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    counts = {r["lang"]: r["count"] for r in top}
+    rows = rows.withColumn("key", F.xxhash64("text", F.lit(seed)))
+    # The hash share is of distinct texts, as copies share one key and count once.
+    top = rows.groupBy("lang", "key").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts")) \
+        .orderBy(F.desc("n"), "lang")
+    counts = {r["lang"]: r["texts"] for r in (top.limit(max_languages) if max_languages else top).collect()}
     names = sorted(counts)
-    key = F.xxhash64("text", F.lit(seed))
     body = F.col("text").cast("binary")
+    room = F.greatest(F.lit(1), F.octet_length(body) - window + 2)
+    cuts = [F.substring(body, F.pmod(F.xxhash64("key", F.lit(j)), room).cast("int") + (0 if j < 0 else 1), window)
+            for j in range(per_document)]
+    # A quarter of the windows is short, as the ends of texts are.
+    cuts[-1] = F.substring(cuts[-1], F.lit(1), (F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(window)) + 1).cast("int"))
+    bounds = docs.sparkSession.createDataFrame([(k, x, some_bound(per_language, counts[x])) for k, x in enumerate(names)],
+                                               "label int, lang string, bound long")
+    picked = rows.join(F.broadcast(bounds), "lang").filter(F.col("key") <= F.col("bound"))
+    # Windows, not texts, are sorted and sent; copies of a text count once.
+    drawn = picked.select("label", "key", F.array(*cuts).alias("w")).groupBy("label", "key").agg(F.first("w").alias("w"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("key"))  # of about twice ``per_language`` rows
     windows, labels = [], []
-    for k, name in enumerate(names):
-        picked = rows.filter(F.col("lang") == name).withColumn("key", key).filter(some_of(F.col("key"), per_language, counts[name]))
-        room = F.greatest(F.lit(1), F.octet_length(body) - window + 2)
-        cuts = [F.substring(body, F.pmod(F.xxhash64("key", F.lit(j)), room).cast("int") + (0 if j < 0 else 1), window)
-                for j in range(per_document)]
-        # A quarter of the windows is short, as the ends of texts are.
-        cuts[-1] = F.substring(cuts[-1], F.lit(1), (F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(window)) + 1).cast("int"))
-        # Windows, not texts, are sorted and sent; copies of a text count once.
-        drawn = picked.select("key", F.array(*cuts).alias("w")).groupBy("key").agg(F.first("w").alias("w"))
-        for row in drawn.orderBy("key").limit(per_language).select("w").collect():
-            for w in row.w:
-                if len(w):
-                    windows.append(bytes(w))
-                    labels.append(k)
+    for row in drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).orderBy("label", "key").select("label", "w").collect():
+        for w in row.w:
+            if len(w):
+                windows.append(bytes(w))
+                labels.append(row.label)
     return names, windows, np.array(labels, np.int64)
 
 
 def predict_language(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text",
-                     lang_col: str = "lang", per_language: int = 1500, per_document: int = 4, max_languages: int = 64,
+                     lang_col: str = "lang", per_language: int = 1500, per_document: int = 4, max_languages: int | None = None,
                      train_window: int = 64, hidden: int = HIDDEN, steps: int = 500) -> DataFrame:
     """doc_id, lang_pred, score, probs (map of language to probability)."""
     names, windows, labels = sample_windows(docs, learn, per_language, per_document, train_window, max_languages,

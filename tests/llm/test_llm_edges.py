@@ -213,3 +213,19 @@ def test_html_windows():
     # Names of paragraphs and wrappers do not hide text; those of whole containers do.
     page = f"<div class='page has-sidebar'><p class='notice'>{long}</p><div class='sidebar'><p>{long}aside</p></div></div>"
     assert html_text.main_text(page) == long.strip()
+
+
+def test_language_sample_of_copies(spark):
+    """Copies of a few texts leave no language without its windows."""
+    texts = [f"bonjour le monde numero {i} et tous les autres" for i in range(20)]
+    rows = [(texts[0], "fr")] * 3000 + [(t, "fr") for t in texts] + [(f"good morning number {i}", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    names, windows, labels = langid.sample_windows(docs, F.lit(True), 10, 2, 64, 8)
+    assert names == ["en", "fr"] and (labels == 0).sum() == (labels == 1).sum() == 20
+    names, _, labels = langid.sample_windows(docs, F.lit(True), 50, 2, 64, 8)
+    assert (labels == 0).sum() == 60 and (labels == 1).sum() == 40
+    many = spark.createDataFrame([(f"text number {i}", f"l{i % 80:02}") for i in range(160)], "text string, lang string")
+    names, _, labels = langid.sample_windows(many, F.lit(True), 10, 2, 64)
+    assert len(names) == 80 and set(labels.tolist()) == set(range(80))
+    points = lattice_lm._sample_histograms(docs.withColumn("learn", F.lit(True)), 40)
+    assert len(points) == 40
