@@ -1,8 +1,10 @@
 """Every dealt operator on rows with NULLs, empty and very long texts, ties,
 repeated rows, clashing extra columns, and on empty tables."""
 
+import math
 import zlib
 
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +231,17 @@ def test_language_sample_of_copies(spark):
     assert len(names) == 80 and set(labels.tolist()) == set(range(80))
     points = lattice_lm._sample_histograms(docs.withColumn("learn", F.lit(True)), 40)
     assert len(points) == 40
+
+
+def test_lattice_of_long_pieces():
+    """The sum over all segmentations has pieces of any length."""
+    pieces = lattice_lm.vocabulary(RANKS)
+    score = dict(zip(pieces, lattice_lm.zipf_scores(len(pieces)).tolist(), strict=False))
+    assert {b"superintendent", b"civilizations"} <= set(pieces)
+    lattice = lattice_lm.Lattice(pieces, lattice_lm.zipf_scores(len(pieces)))
+    words = [b"superintendent", b"civilizations", b"xcivilizations", "правительства".encode(), b"-" * 40, b"a"]
+    for word, got in zip(words, lattice.log_probability(pa.array(words)), strict=True):
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[k] * math.exp(score[word[k:end]]) for k in range(end) if word[k:end] in score))
+        assert got - lattice.end == pytest.approx(math.log(sums[-1]), rel=1e-9)
