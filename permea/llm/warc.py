@@ -29,6 +29,7 @@ empty index; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -44,6 +45,8 @@ from permea.session import checkpoint_path, materialize
 
 LEAST = 100
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of archives that a task reads.
+TASK_BYTES = 16 << 20
 #: Of rows without a time of their own.
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -171,7 +174,8 @@ def read_records(index: DataFrame, where: Column | None = None, payloads: bool =
     payload_bytes, refers_to and, with ``payloads``, the payload (NULL of a revisit)."""
     wanted = (index if where is None else index.filter(where)).select("file", "offset", "length")
     order = ["file", "offset"]
-    wanted = wanted.repartitionByRange(*order).sortWithinPartitions(*order)
+    total = wanted.agg(F.sum("length")).first()[0] or 0  # the index is small beside what it points to
+    wanted = wanted.repartitionByRange(max(1, math.ceil(total / TASK_BYTES)), *order).sortWithinPartitions(*order)
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
