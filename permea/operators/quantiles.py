@@ -1,87 +1,137 @@
-"""Exact quantiles of many columns by narrowing value ranges.
-
-Each pass is one aggregate over all columns: a sketch gives a value range around
-the wanted ranks, the next pass counts exactly what lies below and inside it.
-While more than ``finish`` rows lie inside, the range is narrowed again from a
-sketch of those rows only; then the few values inside are ordered exactly.  No
-task holds more than ``finish`` values of a column, whatever the number of rows,
-and the rule is the same at every size.
+"""Exact quantiles of many columns, for several row sets at once, by narrowing ranges.
+
+A double's bits, its sign mended, order like the double itself.  Each pass cuts the open
+range of every (set, column) into ``BUCKETS`` equal parts of these 64-bit keys; the tasks
+count the rows of each part and keep its least and greatest key, and Spark adds the
+parts up.  The wanted rank lies in one part, whose least and greatest key are the
+next range.  A range ends when the two neighbours of the rank lie in different parts
+(the greatest of one, the least of the other) or when it is a single value, however many
+rows share it.  So no task ever holds or sorts values, ties need no other way, and
+at most 64 / log2(``BUCKETS``) + 2 passes answer for all sets, usually four.
+
+The row sets are all rows, or, for folds, all rows but those of one fold each: k sets
+take one set of passes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a column that the last pass may order in one task, and the sketch's accuracy.
-FINISH, ACCURACY = 20_000, 10_000
+BUCKETS = 512
+#: Cells (rows x columns) that one step counts together.
+_STEP = 1 << 19
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Signed 64-bit integers in the order of the doubles (-0.0 as 0.0)."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def _value(key: int) -> float:
+    bits = np.array([key], np.int64)
+    return float(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64)[0])
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], prob: float = 0.5,
-                    finish: int = FINISH, accuracy: int = ACCURACY) -> dict[str, float | None]:
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], prob: float = 0.5) -> dict[str, float | None]:
     """Quantile ``prob`` (linear between neighbours) of every column; NULL and NaN
     don't count, and a column without values gives None."""
-    names = list(columns)
-    x = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"x{i}")
-                    for i, c in enumerate(columns.values())])
-    first = x.agg(*[a for i in range(len(names)) for a in (
-        F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"a{i}"), F.max(f"x{i}").alias(f"z{i}"))]).first()
-    out: dict[str, float | None] = {}
-    low, high, below, inside, place = {}, {}, {}, {}, {}
-    for i, name in enumerate(names):
-        if not first[f"n{i}"]:
-            out[name] = None
-            continue
-        low[i], high[i] = first[f"a{i}"], first[f"z{i}"]
-        below[i], inside[i] = 0, first[f"n{i}"]
-        place[i] = prob * (inside[i] - 1)
-        if low[i] == high[i]:
-            out[name] = float(low[i])
-    open_ = [i for i in low if names[i] not in out]
-
-    def within(i: int) -> Column:
-        return F.when(F.col(f"x{i}").between(F.lit(low[i]), F.lit(high[i])), F.col(f"x{i}"))
-
-    while wide := [i for i in open_ if inside[i] > finish]:
-        # Ranks a little outside the wanted place, by the sketch's error and more.
-        edge = {}
-        for i in wide:
-            at, slack = (place[i] - below[i]) / inside[i], 4 / accuracy
-            edge[i] = (max(0.0, at - slack), min(1.0, at + slack))
-        row = x.agg(*[F.percentile_approx(within(i), [edge[i][0], edge[i][1]], accuracy).alias(f"q{i}")
-                      for i in wide]).first()
-        want = {i: (float(row[f"q{i}"][0]), float(row[f"q{i}"][1])) for i in wide}
-        got = x.agg(*[a for i in wide for a in (
-            F.count_if(F.col(f"x{i}") < want[i][0]).alias(f"b{i}"),
-            F.count_if(F.col(f"x{i}").between(F.lit(want[i][0]), F.lit(want[i][1]))).alias(f"m{i}"))]).first()
-        for i in wide:
-            b, m = got[f"b{i}"], got[f"m{i}"]
-            held = b <= int(place[i]) and b + m > min(int(place[i]) + 1, first[f"n{i}"] - 1)
-            if held and want[i][0] == want[i][1]:
-                out[names[i]] = want[i][0]  # one value fills the range
-                open_.remove(i)
-            elif held and m < inside[i]:
-                low[i], high[i], below[i], inside[i] = *want[i], b, m
-            else:  # heavy values at an edge: the sketch can't narrow further, so count the values
-                out[names[i]] = _by_counts(x.select(within(i).alias("v")), place[i] - below[i])
-                open_.remove(i)
-    if open_:
-        row = x.agg(*[F.percentile(within(i), _fraction(place[i] - below[i], inside[i])).alias(f"q{i}")
-                      for i in open_]).first()
-        out.update({names[i]: float(row[f"q{i}"]) for i in open_})
-    return {n: out[n] for n in names}
-
-
-def _fraction(place: float, n: int) -> float:
-    return min(1.0, max(0.0, place / (n - 1))) if n > 1 else 0.0
-
-
-def _by_counts(values: DataFrame, place: float) -> float:
-    """The value at a place (counted from 0) of a column with few distinct values."""
-    from pyspark.sql import Window
-    counts = values.filter("v is not null").groupBy("v").count()
-    run = counts.withColumn("end", F.sum("count").over(Window.orderBy("v")))
-    lo = run.filter(F.col("end") > int(place)).agg(F.min("v")).first()[0]
-    up = run.filter(F.col("end") > min(int(place) + 1, 1 << 62)).agg(F.min("v")).first()[0]
-    part = place - int(place)
-    return float(lo if up is None or part == 0 else lo + part * (up - lo))
+    return exact_quantiles_without(df, columns, F.lit(0), [None], prob)[0]
+
+
+def exact_quantiles_without(df: DataFrame, columns: dict[str, Column], fold: Column, left_out: list[int | None],
+                            prob: float = 0.5) -> list[dict[str, float | None]]:
+    """For each entry of ``left_out`` the quantiles over all rows but those of that ``fold`` (None: all rows).
+    Rows without a fold are in every set."""
+    names, n_sets = list(columns), len(left_out)
+    n_cols = len(names)
+    data = df.select(F.coalesce(fold.cast("int"), F.lit(-1 << 31)).alias("g"),
+                     *[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
+    total = n_sets * n_cols
+    low, high = np.full(total, np.iinfo(np.int64).min), np.full(total, np.iinfo(np.int64).max)
+    place, out = np.zeros(total), [None] * total
+    below = np.zeros(total, np.int64)
+    open_ = list(range(total))
+    first = True
+    while open_:
+        found = _counts(data, left_out, n_cols, open_, low, high, 1 if first else BUCKETS)
+        still = []
+        for slot in open_:
+            if slot not in found:  # no values
+                continue
+            n, lo, hi = found[slot]
+            if first:
+                place[slot] = prob * (int(n.sum()) - 1)
+                low[slot], high[slot] = lo[0], hi[0]
+                if lo[0] == hi[0]:
+                    out[slot] = _value(lo[0])
+                else:
+                    still.append(slot)
+                continue
+            ends = below[slot] + np.cumsum(n)
+            rank = int(place[slot])
+            a = int(np.searchsorted(ends, rank, "right"))
+            b = int(np.searchsorted(ends, min(rank + 1, int(ends[-1]) - 1), "right")) if place[slot] > rank else a
+            if a != b or lo[a] == hi[a]:
+                left, right = _value(hi[a]), _value(lo[b])
+                out[slot] = left + (place[slot] - rank) * (right - left) if a != b else left
+            else:
+                below[slot] = ends[a] - n[a]
+                low[slot], high[slot] = lo[a], hi[a]
+                still.append(slot)
+        open_, first = still, False
+    return [{name: out[s * n_cols + i] for i, name in enumerate(names)} for s in range(n_sets)]
+
+
+def _counts(data: DataFrame, left_out: list[int | None], n_cols: int, open_: list[int], low: np.ndarray, high: np.ndarray,
+            buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each open (set, column): rows, least and greatest key of its non-empty parts, in order."""
+    by_set = {s: np.array([k for k in open_ if k // n_cols == s]) for s in sorted({k // n_cols for k in open_})}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {s: np.zeros((len(slots), buckets), np.int64) for s, slots in by_set.items()}
+        lo = {s: np.full((len(slots), buckets), np.iinfo(np.int64).max) for s, slots in by_set.items()}
+        hi = {s: np.full((len(slots), buckets), np.iinfo(np.int64).min) for s, slots in by_set.items()}
+        step = max(1, _STEP // max(n_cols, 1))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                g = batch.column("g").to_numpy()
+                x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(n_cols)])
+                keys, known = _keys(x), ~np.isnan(x)
+                for s, slots in by_set.items():
+                    cols = slots % n_cols
+                    rows = slice(None) if left_out[s] is None else g != left_out[s]
+                    k, here = keys[rows][:, cols], known[rows][:, cols]
+                    here &= (k >= low[slots]) & (k <= high[slots])
+                    at, col = np.nonzero(here)
+                    k = k[at, col]
+                    begin = low[slots].view(np.uint64)[col]
+                    if buckets == 1:
+                        part = np.zeros(len(k), np.int64)
+                    else:
+                        width = (high[slots].view(np.uint64) - low[slots].view(np.uint64)) // np.uint64(buckets) + np.uint64(1)
+                        part = ((k.view(np.uint64) - begin) // width[col]).astype(np.int64)
+                    flat = col * buckets + part
+                    n[s] += np.bincount(flat, minlength=n[s].size).reshape(n[s].shape)
+                    np.minimum.at(lo[s].reshape(-1), flat, k)
+                    np.maximum.at(hi[s].reshape(-1), flat, k)
+        for s, slots in by_set.items():
+            at, part = np.nonzero(n[s])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots[at], pa.int32()), pa.array(part, pa.int32()), pa.array(n[s][at, part]),
+                 pa.array(lo[s][at, part]), pa.array(hi[s][at, part])], ["slot", "part", "n", "lo", "hi"])
+
+    got = (data.mapInArrow(run, "slot int, part int, n long, lo long, hi long").groupBy("slot", "part")
+           .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow())
+    cols = [got.column(c).to_numpy() for c in ("slot", "part", "n", "lo", "hi")]
+    order = np.lexsort((cols[1], cols[0]))
+    slot, _, *rest = (c[order] for c in cols)
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
+    ends = [*starts[1:], len(slot)] if len(slot) else []
+    return {int(slot[a]): tuple(c[a:b] for c in rest) for a, b in zip(starts, ends, strict=True)}
