@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles, exact_quantiles_without
+from .quantiles import exact_quantiles, exact_quantiles_of, exact_quantiles_without
 
 
 def fit_medians(df: DataFrame, cols: list[str], method: str = "exact",
@@ -27,6 +27,11 @@ def fit_medians(df: DataFrame, cols: list[str], method: str = "exact",
     return {c: row[c] for c in cols}
 
 
+def fit_set_medians(df: DataFrame, cols: list[str], sets: list) -> list[dict[str, float | None]]:
+    """For each condition the medians over its rows, in one set of passes."""
+    return exact_quantiles_of(df, {c: F.col(c) for c in cols}, sets)
+
+
 def fit_fold_medians(df: DataFrame, cols: list[str], fold: str, k: int) -> list[dict[str, float | None]]:
     """For each fold the medians over the rows of the other folds, in one set of passes."""
     return exact_quantiles_without(df, {c: F.col(c) for c in cols}, F.col(fold), list(range(k)))

@@ -1,8 +1,9 @@
-"""Spark ML estimators, fold-local imputation and out-of-fold prediction
+"""Candidates, fold-local imputation and out-of-fold prediction
 (M1-M3, M6, M11, V5, J5).
 
-A fitted model is (medians fitted on the training rows) + VectorAssembler +
-Spark ML model.  Predictions are added as columns by ``transform``, so the
+Forests of extremely randomised trees are grown by ``growth``; the other kinds are
+Spark ML estimators.  A fitted model is (medians fitted on the training rows) +
+feature vector + Spark ML model, whichever way its trees were grown.  Predictions are added as columns by ``transform``, so the
 out-of-fold predictions of several candidates end up on the same rows and
 blending or comparing them needs no join.
 """
@@ -12,14 +13,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .impute import apply_medians, columns_with_nulls, fit_medians, fit_scaler
+from . import growth, ridge
+from .impute import apply_medians, columns_with_nulls, fit_fold_medians, fit_medians, fit_scaler, fit_set_medians
 
 RANDOM_STATE = 42
 
@@ -99,20 +101,31 @@ def _reduced(own: int, now: int, full: int) -> int:
     return max(1, round(own * now / full)) if own else now
 
 
+#: Kinds whose trees are extremely randomised ones, grown by ``growth``.
+GROWN = ("et", "clf")
+
+
+def grown_fit(spec: Spec, profile: Profile, label: int, train: growth.Rows, columns: list[int], fill: list[float],
+              weights: tuple[float, float] | None = None) -> growth.Fit:
+    """The forest of a candidate: its sizes, as the profile reduces them."""
+    return growth.Fit(label, train, tuple(columns), tuple(float(f) for f in fill), _reduced(spec.trees, profile.n_trees, FULL.n_trees),
+                      spec.max_features, max(spec.min_leaf, profile.min_leaf), spec.depth or profile.max_depth, profile.seed, weights)
+
+
 def make_estimator(spec: Spec, profile: Profile, label: str = "label",
-                   features: str = "_x", prediction: str = "_pred", weight: str | None = None,
+                   features: str = "_x", prediction: str = "_pred",
                    rows: tuple[int, float] | None = None):
-    """The Spark ML estimator of a candidate.  ``rows`` (number and standard
-    deviation of the label) is needed for ridge."""
+    """The Spark ML estimator of a candidate that is not grown here.  ``rows`` (number and
+    standard deviation of the label) is needed for ridge."""
     p = profile
     trees = _reduced(spec.trees, p.n_trees, FULL.n_trees)
-    if spec.kind in ("et", "rf"):
+    if spec.kind == "rf":
         return RandomForestRegressor(
             featuresCol=features, labelCol=label, predictionCol=prediction,
             numTrees=trees, maxDepth=spec.depth or p.max_depth, maxBins=p.max_bins,
             minInstancesPerNode=max(spec.min_leaf, p.min_leaf),
             featureSubsetStrategy=str(float(spec.max_features)),
-            bootstrap=(spec.kind == "rf"), subsamplingRate=1.0, seed=p.seed,
+            bootstrap=True, subsamplingRate=1.0, seed=p.seed,
             maxMemoryInMB=p.max_memory_mb)
     if spec.kind == "gbt":
         return GBTRegressor(featuresCol=features, labelCol=label, predictionCol=prediction,
@@ -127,14 +140,6 @@ def make_estimator(spec: Spec, profile: Profile, label: str = "label",
         return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction,
                                 regParam=spec.reg / max(n, 1) * (sd or 1.0), elasticNetParam=0.0,
                                 standardization=False, solver="normal")
-    if spec.kind == "clf":
-        kw = {"weightCol": weight} if weight else {}
-        return RandomForestClassifier(
-            featuresCol=features, labelCol=label, predictionCol=prediction,
-            probabilityCol=f"{prediction}_prob", rawPredictionCol=f"{prediction}_raw",
-            numTrees=trees, maxDepth=spec.depth or p.max_depth, maxBins=p.max_bins,
-            minInstancesPerNode=spec.min_leaf, featureSubsetStrategy=str(float(spec.max_features)),
-            bootstrap=False, seed=p.seed, maxMemoryInMB=p.max_memory_mb, **kw)
     raise ValueError(spec.kind)
 
 
@@ -143,9 +148,10 @@ def label_rows(df: DataFrame, label: str) -> tuple[int, float]:
     return row.n, row.sd or 0.0
 
 
-def feature_vector(medians: dict, names: list[str], scaler: dict | None = None) -> Column:
+def feature_vector(medians: dict, names: list[str], scaler: dict | None = None, single: bool = False) -> Column:
     """The model's input: NULLs filled with medians, ``missing_<c>`` flags, scaled
-    when a scaler is given.  The columns themselves stay as they are."""
+    when a scaler is given, in single precision for grown trees (they are grown on
+    such values).  The columns themselves stay as they are."""
     cols = []
     for name in names:
         source = name.removeprefix("missing_")
@@ -157,7 +163,8 @@ def feature_vector(medians: dict, names: list[str], scaler: dict | None = None)
             m, sd = scaler[name]
             v = (v - F.lit(m)) / F.lit(sd if sd and sd > 0 else 1.0)
         cols.append(v)
-    return array_to_vector(F.array(*cols))
+    values = F.array(*cols)
+    return array_to_vector(values.cast("array<float>").cast("array<double>") if single else values)
 
 
 @dataclass
@@ -173,7 +180,7 @@ class Fitted:
 
     def prepare(self, df: DataFrame) -> DataFrame:
         """``df`` with the feature vector ``_x``."""
-        vector = feature_vector(self.medians, self.kept, self.scaler)
+        vector = feature_vector(self.medians, self.kept, self.scaler, self.spec.kind in GROWN)
         if not self.spec.onehot:
             return df.withColumn("_x", vector)
         x, ohe_cols = _apply_onehot(df.withColumn("_numeric", vector), self.spec.onehot, self.extra["onehot"])
@@ -212,7 +219,7 @@ def _selected(features: list[str], spec: Spec) -> list[str]:
 
 
 def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Profile,
-        weight: str | None = None, medians: dict | None = None) -> Fitted:
+        medians: dict | None = None) -> Fitted:
     """Fit medians on ``df`` (the training rows only; or take those already
     fitted on the same rows) and then the model.
 
@@ -248,21 +255,37 @@ def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Pro
         ohe = OneHotEncoder(inputCols=[f"_idx_{c}" for c in cols],
                             outputCols=[f"_ohe_{c}" for c in cols], dropLast=True)
         extra["onehot"] = Pipeline(stages=[idx, ohe]).fit(_fill_tokens(df, cols))
-    if spec.balanced:
-        df, weight = balanced_weights(df, label), "_w"
     fitted = Fitted(spec, features, med, kept, None, scaler, extra)
+    if spec.kind in GROWN:
+        columns = [_raw_column(c) for c in kept] + _onehot_columns(spec.onehot, extra.get("onehot"))
+        weights = class_weights({r[0]: r[1] for r in df.groupBy(F.col(label).cast("int")).count().collect()}) if spec.balanced else None
+        packed = growth.pack(df, {str(i): c for i, c in enumerate(columns)}, {"label": F.col(label)}, {}, [])
+        fill = [med.get(c, 0.0) for c in kept] + [0.0] * (len(columns) - len(kept))
+        trees = growth.grow(packed, [grown_fit(spec, profile, 0, growth.Rows(()), list(range(len(columns))), fill, weights)])[0]
+        fitted.model = growth.spark_model(df.sparkSession, trees, len(columns), classes=spec.kind == "clf")
+        return fitted
     rows = label_rows(df, label) if spec.kind == "ridge" else None
-    fitted.model = make_estimator(spec, profile, label=label, weight=weight, rows=rows).fit(fitted.prepare(df))
+    fitted.model = make_estimator(spec, profile, label=label, rows=rows).fit(fitted.prepare(df))
     return fitted
 
 
-def balanced_weights(df: DataFrame, label: str, name: str = "_w") -> DataFrame:
-    """Class weight n / (2 * n_class), as ``class_weight='balanced'``."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(F.broadcast(tot)).select(
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label)
+def _raw_column(name: str) -> Column:
+    return F.col(name.removeprefix("missing_")).isNull().cast("double") if name.startswith("missing_") else F.col(name).cast("double")
+
+
+def _onehot_columns(cols: tuple, model) -> list[Column]:
+    """The one-hot columns of a fitted encoder, in its order."""
+    if not cols:
+        return []
+    labels = model.stages[0].labelsArray
+    return [(F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TOKEN)) == F.lit(v)).cast("double")
+            for c, own in zip(cols, labels, strict=True) for v in own]
+
+
+def class_weights(counts: dict[int, int]) -> tuple[float, float]:
+    """N / (2 * n_class) of classes 0 and 1, as ``class_weight='balanced'``."""
+    n, k = sum(counts.values()), len(counts)
+    return tuple(n / (k * counts[c]) if counts.get(c) else 1.0 for c in (0, 1))
 
 
 @dataclass
@@ -275,9 +298,8 @@ class FoldInput:
     train: DataFrame
 
     @classmethod
-    def fit(cls, train: DataFrame, features: list[str], columns: list[str], scale: bool) -> FoldInput:
+    def fit(cls, train: DataFrame, features: list[str], columns: list[str], scale: bool, medians: dict) -> FoldInput:
         from ..session import materialize
-        medians = fit_medians(train, features)
         kept = [c for c in features if medians[c] is not None]
         scaler = fit_scaler(apply_medians(train, medians)[0], kept) if scale else None
         self = cls(medians, kept, scaler, train)
@@ -299,46 +321,54 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
         parallelism: int = 4, persist: bool = True, chunk: int = 12) -> DataFrame:
     """V5: out-of-fold predictions of every candidate as ``<prefix><colname(name)>``.
 
-    For each fold the imputer is fitted once on the other folds and their
-    vectors are written once; every candidate (and transform) trains on them
-    and predicts the fold; then the folds are united.  Each row is predicted
-    exactly once, by models that never saw its fold.  ``transforms`` maps a
-    candidate to a (forward, inverse) pair applied around the fit (P21/P23).
+    The medians of all folds are fitted in one set of passes.  Forests of extremely
+    randomised trees (any features, any transform, all folds) grow together over one packed
+    table, and so do ridges.  For the others, each fold's vectors are written once and every candidate (and
+    transform) trains on them and predicts the fold.  Each row is predicted exactly once, by
+    models that never saw its fold.  ``transforms`` maps a candidate to a (forward, inverse)
+    pair applied around the fit (P21/P23).
     """
     from ..session import materialize
     transforms = transforms or {}
-    scale = any(s.plain and s.scaled for s in specs.values())
-    inputs = run_parallel(lambda i: FoldInput.fit(df.where(F.col(fold) != i), features, [label], scale),
+    medians = fit_fold_medians(df, features, fold, k)
+    batches = [{n: s for n, s in specs.items() if s.kind in GROWN}]
+    batches += [{n: s for n, s in specs.items() if s.kind == "ridge" and s.reg == reg}
+                for reg in sorted({s.reg for s in specs.values() if s.kind == "ridge"})]
+    rest = {n: s for n, s in specs.items() if s.kind not in GROWN and s.kind != "ridge"}
+    for batch in batches:
+        if batch:
+            df = _batch_oof(df, fold, k, features, label, batch, profile, prefix, transforms, medians)
+    if not rest:
+        return materialize(df, "oof") if persist else df
+    scale = any(s.plain and s.scaled for s in rest.values())
+    inputs = run_parallel(lambda i: FoldInput.fit(df.where(F.col(fold) != i), features, [label], scale, medians[i]),
                           list(range(k)), parallelism)
 
     def fit_one(i: int, name: str):
-        spec, lab, shared = specs[name], label, inputs[i]
+        spec, lab, shared = rest[name], label, inputs[i]
         train = shared.train if spec.plain else df.where(F.col(fold) != i)
         if name in transforms:
             train, lab = train.withColumn("_t_label", transforms[name][0](F.col(label))), "_t_label"
         if not spec.plain:
             return fit(train, features, lab, spec, profile, medians=shared.medians)
-        weight = None
-        if spec.balanced:
-            train, weight = balanced_weights(train, lab), "_w"
         est = make_estimator(spec, profile, lab, "_shared_xs" if spec.scaled else "_shared_x", f"_p_{colname(name)}",
-                             weight, label_rows(train, lab) if spec.kind == "ridge" else None)
+                             label_rows(train, lab) if spec.kind == "ridge" else None)
         return est.fit(train)
 
-    fitted = run_parallel(lambda a: fit_one(*a), [(i, n) for i in range(k) for n in specs], parallelism)
+    fitted = run_parallel(lambda a: fit_one(*a), [(i, n) for i in range(k) for n in rest], parallelism)
     parts = []
     for i in range(k):
         test = inputs[i].vectors(df.where(F.col(fold) == i))
-        for j, name in enumerate(specs, 1):
+        for j, name in enumerate(rest, 1):
             out, model = prefix + colname(name), fitted[(i, name)]
-            if specs[name].plain:
+            if rest[name].plain:
                 cols, own = test.columns, f"_p_{colname(name)}"
                 test = model.transform(test).select(*[F.col(c) for c in cols], _output(own, prob).alias(out))
             else:
                 test = model.transform(test, out, prob=prob)
             if name in transforms:
                 test = test.withColumn(out, transforms[name][1](F.col(out)))
-            if persist and j % chunk == 0 and j < len(specs):
+            if persist and j % chunk == 0 and j < len(rest):
                 # stacked model transforms deepen the plan; writing every few
                 # candidates keeps plan analysis small on the driver
                 test = materialize(test, "oof-part")
@@ -350,6 +380,100 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
     return out
 
 
+def _batch_oof(df: DataFrame, fold: str, k: int, features: list[str], label: str, specs: dict[str, Spec], profile: Profile,
+               prefix: str, transforms: dict, medians: list[dict]) -> DataFrame:
+    """``df`` with the out-of-fold predictions of forests or ridges: every fold of every candidate is a fit."""
+    jobs = [Job(n, s, transforms[n][0](F.col(label)) if n in transforms else F.col(label), ((fold, False, i),), ((fold, True, i),))
+            for n, s in specs.items() for i in range(k)]
+    out = held_out(df, features, jobs, {fold: F.col(fold)}, profile, {((fold, False, i),): m for i, m in enumerate(medians)})
+    return out.select(*df.columns, *[
+        (transforms[n][1](F.col(f"`{n}`")) if n in transforms else F.col(f"`{n}`")).alias(prefix + colname(n)) for n in specs])
+
+
+@dataclass(frozen=True)
+class Job:
+    """One fit and the rows it predicts.  Rows are told by group numbers:
+    ``(group, equal, number)`` all hold.  Jobs of one name (its folds) share a column."""
+    name: str
+    spec: Spec
+    label: Column
+    train: tuple[tuple[str, bool, int], ...]
+    test: tuple[tuple[str, bool, int], ...]
+
+
+def _condition(groups: dict[str, Column], tests: tuple) -> Column:
+    out = F.lit(True)
+    for g, equal, number in tests:
+        same = groups[g].cast("int").eqNullSafe(F.lit(number))
+        out = out & (same if equal else ~same)
+    return out
+
+
+def held_out(df: DataFrame, features: list[str], jobs: list[Job], groups: dict[str, Column], profile: Profile,
+                   medians: dict | None = None) -> DataFrame:
+    """``df`` with one column per job name: the predictions (in the label's scale) of its
+    held-out rows.  All jobs (forests, or ridges of one penalty) read one packed table; what they need to know of their
+    training rows (medians, which columns miss values, which one-hot values occur, class
+    counts) is found for all of them in one job each."""
+    sets = list(dict.fromkeys(j.train for j in jobs))
+    rows_of = {t: _condition(groups, t) for t in sets}
+    if medians is None:
+        medians = dict(zip(sets, fit_set_medians(df, features, list(rows_of.values())), strict=True))
+    flags = any(j.spec.indicators for j in jobs)
+    slots = list(dict.fromkeys(c for j in jobs for c in j.spec.onehot))
+    columns = {c: F.col(c) for c in features} | ({f"missing_{c}": F.col(c).isNull() for c in features} if flags else {})
+    missing: dict[tuple, set] = {}
+    if flags:
+        got = df.agg(*[a for i, t in enumerate(sets) for a in (
+            F.count_if(rows_of[t]).alias(f"n{i}"), *[F.count_if(rows_of[t] & F.col(c).isNotNull()).alias(f"{i}:{c}") for c in features])]).first()
+        missing = {t: {c for c in features if 0 < got[f"{i}:{c}"] < got[f"n{i}"]} for i, t in enumerate(sets)}
+    held: dict[tuple, set] = {t: set() for t in sets}  # the one-hot columns whose value occurs
+    for c in slots:
+        token = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TOKEN))
+        for r in df.groupBy(token.alias("v")).agg(F.array(*[F.max(rows_of[t]) for t in sets]).alias("sets")).orderBy("v").collect():
+            columns[f"{c}={r.v}"] = token == F.lit(r.v)
+            for t, there in zip(sets, r.sets, strict=True):
+                if there:
+                    held[t].add(f"{c}={r.v}")
+    place = {c: i for i, c in enumerate(columns)}
+    most = max((j.spec.select_k for j in jobs), default=0)
+    if most:
+        chosen = list(dict.fromkeys((j.train, str(j.label)) for j in jobs if j.spec.select_k))
+        label_col = {str(j.label): j.label for j in jobs}
+        ranked = run_parallel(lambda a: _mi_ranking(df.where(rows_of[a[0]]).withColumn("_mi_label", label_col[a[1]]), features, "_mi_label", most),
+                              chosen)
+    labels = {str(j.label): j.label for j in jobs}
+    balanced = list(dict.fromkeys((j.train, str(j.label)) for j in jobs if j.spec.balanced))
+    weights = {}
+    if balanced:
+        got = df.agg(*[F.count_if(rows_of[t] & (labels[y] == v)).alias(f"{i}:{v}") for i, (t, y) in enumerate(balanced) for v in (0, 1)]).first()
+        weights = {a: class_weights({v: got[f"{i}:{v}"] for v in (0, 1) if got[f"{i}:{v}"]}) for i, a in enumerate(balanced)}
+    number = {g: i for i, g in enumerate(groups)}
+    rows = lambda tests: growth.Rows(tuple((number[g], equal, n) for g, equal, n in tests))
+    fits = []
+    for j in jobs:
+        med, spec = medians[j.train], j.spec
+        kept = [c for c in _selected(features, spec) if med[c] is not None]
+        if spec.indicators:
+            kept += [f"missing_{c}" for c in kept if c in missing[j.train]]
+        if spec.select_k:
+            kept = [c for c in kept if c in ranked[(j.train, str(j.label))][:spec.select_k]]
+        kept += [c for c in columns if c in held[j.train] and c.split("=")[0] in spec.onehot]
+        fits.append((j.name, grown_fit(spec, profile, list(labels).index(str(j.label)), rows(j.train), [place[c] for c in kept],
+                                       [med.get(c, 0.0) for c in kept], weights.get((j.train, str(j.label))) if spec.balanced else None),
+                     rows(j.test)))
+    if all(j.spec.kind == "ridge" for j in jobs):
+        packed = growth.pack(df, columns, labels, groups, df.columns, np.float64)
+        return ridge.ridge_held_out(packed, fits, jobs[0].spec.reg)
+    packed = growth.pack(df, columns, labels, groups, df.columns)
+    return growth.predict_held_out(packed, fits)
+
+
+def _mi_ranking(train: DataFrame, features: list[str], label: str, k: int) -> list[str]:
+    from .select import mutual_info_topk
+    return [r.feature for r in mutual_info_topk(train, features, label, k=k).select("feature").collect()]
+
+
 def run_parallel(fn, items: list, parallelism: int = 4) -> dict:
     """Run independent fits as concurrent Spark jobs from driver threads.
 

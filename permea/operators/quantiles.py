@@ -9,8 +9,8 @@ next range.  A range ends when the two neighbours of the rank lie in different p
 rows share it.  So no task ever holds or sorts values, ties need no other way, and
 at most 64 / log2(``BUCKETS``) + 2 passes answer for all sets, usually four.
 
-The row sets are all rows, or, for folds, all rows but those of one fold each: k sets
-take one set of passes.
+The row sets are any conditions, such as "not in fold i" for every fold: all of them
+take one set of passes together.
 """
 
 from __future__ import annotations
@@ -41,16 +41,22 @@ def _value(key: int) -> float:
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], prob: float = 0.5) -> dict[str, float | None]:
     """Quantile ``prob`` (linear between neighbours) of every column; NULL and NaN
     don't count, and a column without values gives None."""
-    return exact_quantiles_without(df, columns, F.lit(0), [None], prob)[0]
+    return exact_quantiles_of(df, columns, [F.lit(True)], prob)[0]
 
 
 def exact_quantiles_without(df: DataFrame, columns: dict[str, Column], fold: Column, left_out: list[int | None],
                             prob: float = 0.5) -> list[dict[str, float | None]]:
     """For each entry of ``left_out`` the quantiles over all rows but those of that ``fold`` (None: all rows).
     Rows without a fold are in every set."""
-    names, n_sets = list(columns), len(left_out)
+    return exact_quantiles_of(df, columns, [F.lit(True) if i is None else ~fold.eqNullSafe(F.lit(i)) for i in left_out], prob)
+
+
+def exact_quantiles_of(df: DataFrame, columns: dict[str, Column], sets: list[Column],
+                       prob: float = 0.5) -> list[dict[str, float | None]]:
+    """For each condition the quantiles over the rows for which it holds."""
+    names, n_sets = list(columns), len(sets)
     n_cols = len(names)
-    data = df.select(F.coalesce(fold.cast("int"), F.lit(-1 << 31)).alias("g"),
+    data = df.select(*[F.coalesce(c.cast("boolean"), F.lit(False)).alias(f"s{i}") for i, c in enumerate(sets)],
                      *[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
     total = n_sets * n_cols
     low, high = np.full(total, np.iinfo(np.int64).min), np.full(total, np.iinfo(np.int64).max)
@@ -59,7 +65,7 @@ def exact_quantiles_without(df: DataFrame, columns: dict[str, Column], fold: Col
     open_ = list(range(total))
     first = True
     while open_:
-        found = _counts(data, left_out, n_cols, open_, low, high, 1 if first else BUCKETS)
+        found = _counts(data, n_cols, open_, low, high, 1 if first else BUCKETS)
         still = []
         for slot in open_:
             if slot not in found:  # no values
@@ -79,7 +85,7 @@ def exact_quantiles_without(df: DataFrame, columns: dict[str, Column], fold: Col
             b = int(np.searchsorted(ends, min(rank + 1, int(ends[-1]) - 1), "right")) if place[slot] > rank else a
             if a != b or lo[a] == hi[a]:
                 left, right = _value(hi[a]), _value(lo[b])
-                out[slot] = left + (place[slot] - rank) * (right - left) if a != b else left
+                out[slot] = float(left + (place[slot] - rank) * (right - left)) if a != b else left
             else:
                 below[slot] = ends[a] - n[a]
                 low[slot], high[slot] = lo[a], hi[a]
@@ -88,7 +94,7 @@ def exact_quantiles_without(df: DataFrame, columns: dict[str, Column], fold: Col
     return [{name: out[s * n_cols + i] for i, name in enumerate(names)} for s in range(n_sets)]
 
 
-def _counts(data: DataFrame, left_out: list[int | None], n_cols: int, open_: list[int], low: np.ndarray, high: np.ndarray,
+def _counts(data: DataFrame, n_cols: int, open_: list[int], low: np.ndarray, high: np.ndarray,
             buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each open (set, column): rows, least and greatest key of its non-empty parts, in order."""
     by_set = {s: np.array([k for k in open_ if k // n_cols == s]) for s in sorted({k // n_cols for k in open_})}
@@ -101,12 +107,12 @@ def _counts(data: DataFrame, left_out: list[int | None], n_cols: int, open_: lis
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                g = batch.column("g").to_numpy()
                 x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(n_cols)])
                 keys, known = _keys(x), ~np.isnan(x)
                 for s, slots in by_set.items():
                     cols = slots % n_cols
-                    rows = slice(None) if left_out[s] is None else g != left_out[s]
+                    rows = batch.column(f"s{s}").to_numpy(zero_copy_only=False)
+                    rows = slice(None) if rows.all() else rows
                     k, here = keys[rows][:, cols], known[rows][:, cols]
                     here &= (k >= low[slots]) & (k <= high[slots])
                     at, col = np.nonzero(here)

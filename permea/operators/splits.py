@@ -57,7 +57,11 @@ def group_k(df: DataFrame, group_col: str = "synth_key", k: int = 5) -> int:
 def with_holdout(df: DataFrame, key: Column, seed: int, test_size: float = 0.2,
                  name: str = "is_test") -> DataFrame:
     """V3/V4: test membership ``hash(seed, key) < test_size * 2^32``."""
-    return df.withColumn(name, hash32(key, seed) < F.lit(test_size * HASH_RANGE))
+    return df.withColumn(name, in_holdout(key, seed, test_size))
+
+
+def in_holdout(key: Column, seed: int, test_size: float = 0.2) -> Column:
+    return hash32(key, seed) < F.lit(test_size * HASH_RANGE)
 
 
 def seeds_frame(df: DataFrame, seeds: list[int], name: str = "seed") -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from permea.operators import growth
 from permea.operators import models as MD
 from permea.operators import splits as SP
 from permea.plans import explain as XP
@@ -106,7 +107,8 @@ def test_boosted_depth_and_sizes(mg):
         assert max(t.depth for t in m.model.trees) == depth
     full = MD.make_estimator(spec, MD.FULL)
     assert (full.getMaxIter(), full.getStepSize(), full.getMaxDepth()) == (350, 0.025, 3)
-    assert MD.make_estimator(MD.RISK_SPEC, MD.FULL).getNumTrees() == 700
+    risk = MD.grown_fit(MD.RISK_SPEC, MD.FULL, 0, growth.Rows(()), [0], [0.0])
+    assert (risk.trees, risk.min_leaf, risk.max_depth) == (700, 3, 30)
 
 
 def test_indicators_only_for_missing_columns(spark):
