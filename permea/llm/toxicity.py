@@ -1,15 +1,18 @@
 """Toxicity from the nearest labelled examples by exact cosine of weighted TF-IDF vectors.
 
 Fit, on a bounded sample (``n_toxic`` and ``n_clean`` labelled rows at most,
-of texts of at most ``EXAMPLE_BYTES``): terms are words and their first 4, 5
-and 6 bytes, and all terms of the examples are indexed.  A term weighs its idf,
+of texts of at most ``example_bytes``): terms are words and their first 5
+bytes, and all terms of the examples are indexed.  A term weighs its idf,
 with document frequencies counted over all documents, times 1 + the root of the
 likelihood ratio with which it goes with the toxic label (0 if it does not), so
 no term is left out and those that tell the classes apart say most.  The unit
-vectors of the examples stand in posting lists; the ``HEAD`` commonest terms in
-a dense matrix, which serves many queries in one product.  Its single precision
-only picks candidates, whose cosines are summed again in double precision, so
-the neighbours are exact.  Their votes, weighted by the squared cotangent of the
+vectors of the examples stand in an inverted index.  The lists of all but the ``HEAD``
+commonest terms are short and are added up at once.  The long lists are cut in blocks of
+``BLOCK`` examples (alike ones side by side) that keep each term's greatest weight: a
+query's weights times these maxima, plus the block's best sum of short lists, bound
+the cosines of a block.  The blocks of the highest bounds give a kth cosine, and a block
+whose bound is below it is skipped.  Single precision only picks candidates, whose
+cosines are summed again in double precision, so the neighbours are exact.  Their votes, weighted by the squared cotangent of the
 angle (a copy outvotes all that are merely alike) and by what each class was
 sampled down, are calibrated by isotonic regression on the examples, each left
 out of its own vote.  Every document is scored on its whole text.
@@ -32,12 +35,14 @@ from pyspark.sql import functions as F
 
 from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, some_of, span_hash, text_of, utf8, with_row
 
-N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 3000, 9000, 16384
+N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 2500, 6500, 16384
 HASH_PARTS = 8
-K, HEAD, QUERIES = 15, 1024, 128
+K, HEAD, QUERIES, BLOCK = 15, 1024, 128, 32
+#: Bytes of text that are scored together.
+SCORE_BYTES = 1 << 20
 #: More than the rounding of a sum of HEAD products in single precision.
 MARGIN = 2e-4
-PREFIXES = (4, 5, 6)
+PREFIX = 5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -57,11 +62,9 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(off, starts, "right") - 1
     sizes = ends - starts
-    spans = [(sizes >= n, n) for n in PREFIXES] + [((sizes < PREFIXES[0]) | (sizes > PREFIXES[-1]), None)]
-    rows = [row[m] for m, _ in spans]
-    first = np.concatenate([starts[m] for m, _ in spans])
-    last = np.concatenate([ends[m] if n is None else starts[m] + n for m, n in spans])
-    return np.concatenate(rows), span_hash(raw, first, last)
+    long = sizes > PREFIX
+    return (np.concatenate([row, row[long]]),
+            span_hash(raw, np.concatenate([starts, starts[long]]), np.concatenate([ends, starts[long] + PREFIX])))
 
 
 class Vocabulary:
@@ -195,49 +198,83 @@ class Index:
         common = np.argsort(-sizes, kind="stable")[:HEAD]
         self.place = np.full(len(idf), -1, np.int16)
         self.place[common] = np.arange(len(common))
+        self.order = np.arange(n)
+        self.blocks = np.arange(0, n, BLOCK)
         self._head: np.ndarray | None = None
+        self.skipped = self.seen = 0
+        if n:
+            pivots = self.head[:n:max(1, n // 64)]
+            self.order = np.lexsort((np.arange(n), (self.head[:n] @ pivots.T).argmax(axis=1)))  # alike ones side by side
+            self._head = None
+        self.at = np.empty(n, np.int64)
+        self.at[self.order] = np.arange(n)
+        self.maxima = np.ascontiguousarray(self.head.reshape(len(self.blocks), BLOCK, -1).max(axis=1).T)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_head": None}  # each task makes its own
 
     @property
     def head(self) -> np.ndarray:
+        """Weights of the commonest terms in each example, these in the order of the blocks (the last one filled up)."""
         if self._head is None:
             v, common = self.vectors, np.flatnonzero(self.place >= 0)
-            self._head = np.zeros((len(common), v.n), np.float32)
+            at = np.empty(v.n, np.int64)
+            at[self.order] = np.arange(v.n)
+            self._head = np.zeros((len(self.blocks) * BLOCK, len(common)), np.float32)
             for t in common.tolist():
                 some = slice(v.starts[t], v.ends[t])
-                self._head[self.place[t], v.example[some]] = v.weight[some]
+                self._head[at[v.example[some]], self.place[t]] = v.weight[some]
         return self._head
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
                without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each query (terms, times): examples and cosines of the k nearest, nearest
-        first, ties to the earlier example."""
-        head = self.head
+        first, ties to the earlier example.  ``skipped`` of ``seen`` blocks were not looked at."""
+        head, n = self.head, self.vectors.n
+        if not n:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in queries)
+            return
+        ends = np.append(self.blocks[1:], n)
+        first = min(len(self.blocks), -(-k // BLOCK) + 1)
         for begin in range(0, len(queries), QUERIES):
             some = queries[begin:begin + QUERIES]
-            dense, rest = np.zeros((len(some), len(head)), np.float32), []
+            dense, parts, rare = np.zeros((len(some), head.shape[1]), np.float32), [], np.zeros((len(some), n))
             for i, (term, times) in enumerate(some):
                 w = (1 + np.log(times)) * self.idf[term]
                 w = w / np.sqrt(w @ w)
                 place = self.place[term]
                 common = place >= 0
                 dense[i, place[common]] = w[common]
-                rest.append((place[common], w[common], term[~common], w[~common]))
-            rough = dense @ head
-            for i, (place, w, term, v) in enumerate(rest):
-                rare = self.vectors.sums(term, v)
-                score = rough[i] + rare
+                parts.append((place[common], w[common]))
+                rare[i] = self.vectors.sums(term[~common], w[~common])[self.order]
                 if without is not None:
-                    score[without[begin + i]] = 0.0
-                least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-                at = np.flatnonzero((score >= least - MARGIN) & (score > 0))
+                    rare[i, self.at[without[begin + i]]] = -10.0
+            bound = dense @ self.maxima + np.maximum.reduceat(rare, self.blocks, axis=1)
+            score = np.full(rare.shape, -np.inf)
+            tops = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+            wanted = np.zeros(bound.shape, bool)
+            for i in range(len(some)):
+                cols = np.concatenate([np.arange(self.blocks[b], ends[b]) for b in tops[i]])
+                for b in tops[i]:
+                    own = slice(self.blocks[b], ends[b])
+                    score[i, own] = rare[i, own] + head[own] @ dense[i]
+                kth = np.partition(score[i, cols], -k)[-k] if len(cols) >= k else 0.0
+                wanted[i] = bound[i] >= max(kth, 0.0) - MARGIN
+                wanted[i, tops[i]] = False
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who, own = np.flatnonzero(wanted[:, b]), slice(self.blocks[b], ends[b])
+                score[who, own] = rare[who, own] + dense[who] @ head[own].T
+            self.seen += bound.size
+            self.skipped += bound.size - int(wanted.sum()) - tops.size
+            for i, (place, w) in enumerate(parts):
+                least = np.partition(score[i], -k)[-k] if n > k else 0.0
+                at = np.flatnonzero((score[i] >= max(least, 0.0) - MARGIN) & (score[i] > 0))
                 # Rounded, so that equal texts tie whatever stands beside them in the product.
-                exact = np.round(rare[at] + np.concatenate(
-                    [w @ head[np.ix_(place, at[a:a + 1000])].astype(float) for a in range(0, len(at), 1000)] or [np.zeros(0)]), 12)
-                order = np.lexsort((at, -exact))[:k]
-                yield at[order], exact[order]
+                exact = np.round(rare[i, at] + np.concatenate(
+                    [head[np.ix_(at[a:a + 1000], place)].astype(float) @ w for a in range(0, len(at), 1000)] or [np.zeros(0)]), 12)
+                example = self.order[at]
+                order = np.lexsort((example, -exact))[:k]
+                yield example[order], exact[order]
 
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return next(self.search([(term, times)], k))
@@ -320,8 +357,9 @@ def _groups(row: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TOXIC, n_clean: int = N_CLEAN, k: int = K,
-        id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on labelled rows for which ``learn`` (of the id) holds."""
+        example_bytes: int = EXAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits on labelled rows for which ``learn`` (of the id) holds: at most ``n_toxic`` and ``n_clean`` of
+    them, whose texts have at most ``example_bytes`` (that bounds the index; documents of any length are scored whole)."""
     spark = docs.sparkSession
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & learn) \
         .select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic")).distinct()
@@ -331,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
               for y, n in ((True, n_toxic), (False, n_clean))]
     chosen = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], marks.schema)  # bounded by the arguments
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = body.join(F.broadcast(chosen), "id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES)
+    sample = body.join(F.broadcast(chosen), "id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= example_bytes)
     rows = sample.orderBy(key, "id", "text").limit(n_toxic + n_clean).toArrow()
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     toxic = rows.column("toxic").to_numpy().astype(bool) if rows.num_rows else np.zeros(0, bool)
@@ -377,7 +415,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_of(batch, text_col)):
+            for part in slices(batch, text_of(batch, text_col), SCORE_BYTES):
                 score, evidence = model.score_texts(text_of(part, text_col))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(score), pa.array([[str(i) for i in e] for e in evidence], pa.list_(pa.string()))],

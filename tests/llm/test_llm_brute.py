@@ -239,6 +239,36 @@ def test_toxic_neighbours_are_exact(spark, sf_dir):
     assert seen > 10
 
 
+def test_blocks_are_skipped_and_lose_no_neighbour():
+    """Cosines summed in plain Python; examples of several kinds, so that most blocks can't win."""
+    rng = np.random.default_rng(4)
+    words = [[f"w{kind}x{i}" for i in range(60)] for kind in range(8)]
+    texts = [" ".join(rng.choice(words[i % 8] + ["the", "of"], 25)) for i in range(600)]
+    terms, ends, example, times = toxicity.posting_lists(pa.array(texts))
+    idf = rng.uniform(0.5, 3.0, len(terms))
+    index = toxicity.Index(ends, example, times, idf, len(texts))
+    vocabulary = toxicity.Vocabulary(terms)
+    weight = {int(h): w for h, w in zip(terms, idf, strict=True)}
+
+    def vector(text):
+        row, hashes = toxicity.term_hashes(pa.array([text]))
+        v = {h: (1 + math.log(n)) * weight[h] for h, n in collections.Counter(hashes.tolist()).items() if h in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {h: x / size for h, x in v.items()}
+
+    vectors = [vector(t) for t in texts]
+    queries = texts[:40] + [" ".join(rng.choice(words[3], 10))]
+    row, term, uses = vocabulary.counts(pa.array(queries))
+    found = list(index.search([(term[a:b], uses[a:b]) for _, a, b in toxicity._groups(row)], 15))
+    for text, (at, cosine) in zip(queries, found, strict=True):
+        q = vector(text)
+        every = [sum(x * v.get(h, 0.0) for h, x in q.items()) for v in vectors]
+        best = sorted(range(len(every)), key=lambda e: (-round(every[e], 6), e))[:15]
+        assert cosine == pytest.approx([every[e] for e in best], abs=1e-5)
+        assert {e for e in at if every[e] > cosine[-1] + 1e-5} == {e for e in best if every[e] > cosine[-1] + 1e-5}
+    assert index.skipped > 0.5 * index.seen
+
+
 def test_suffix_dedup(spark, sf_dir, docs):
     least, want = {}, {}
     body = {i: (docs[i].text or "").encode() for i in sorted(docs)}
