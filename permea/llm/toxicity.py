@@ -208,7 +208,7 @@ class Index:
             self._head = None
         self.at = np.empty(n, np.int64)
         self.at[self.order] = np.arange(n)
-        self.maxima = np.ascontiguousarray(self.head.reshape(len(self.blocks), BLOCK, -1).max(axis=1).T)
+        self.maxima = np.ascontiguousarray(self.head.reshape(len(self.blocks), BLOCK, len(common)).max(axis=1).T)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_head": None}  # each task makes its own
