@@ -89,8 +89,8 @@ class Tree:
     weight: list[float] = field(default_factory=lambda: [0.0])
     gain: list[float] = field(default_factory=lambda: [0.0])
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return (np.array(self.feature, np.int32), np.array(self.cut, np.float32), np.array(self.left, np.int32))
+    def arrays(self, cuts: type = np.float32) -> tuple[np.ndarray, ...]:
+        return (np.array(self.feature, np.int32), np.array(self.cut, cuts), np.array(self.left, np.int32))
 
     def add(self, rows: int, weight: float, total: float) -> None:
         self.feature.append(-1)
@@ -142,15 +142,16 @@ def draw(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> tuple
 
 
 def pack(df: DataFrame, features: dict[str, Column], labels: dict[str, Column], groups: dict[str, Column],
-         keep: list[str], x_type: type = np.float32) -> DataFrame:
-    """The written table: rid, row (struct of ``keep``), x, y, g (packed ``x_type``, doubles, 32-bit integers)."""
+         keep: list[str], x_type: type = np.float32, edges: list[np.ndarray] | None = None) -> DataFrame:
+    """The written table: rid, row (struct of ``keep``), x, y, g (packed ``x_type``, doubles, 32-bit integers).
+    With ``edges`` x holds the number of each value's bin (255: NULL), a byte each."""
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, math.ceil(df.count() / 50_000))
     cols = [c.cast("double").alias(f"x{i}") for i, c in enumerate(features.values())]
     cols += [c.cast("double").alias(f"y{i}") for i, c in enumerate(labels.values())]
     cols += [F.coalesce(c.cast("int"), F.lit(-1)).alias(f"g{i}") for i, c in enumerate(groups.values())]
     rows = df.repartition(n).select(F.monotonically_increasing_id().alias("rid"), F.struct(F.lit(0).alias("_"), *keep).alias("row"), *cols)
-    sizes = {"x": (len(features), x_type), "y": (len(labels), np.float64), "g": (len(groups), np.int32)}
+    sizes = {"x": (len(features), np.uint8 if edges else x_type), "y": (len(labels), np.float64), "g": (len(groups), np.int32)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,6 +159,8 @@ def pack(df: DataFrame, features: dict[str, Column], labels: dict[str, Column],
             for kind, (count, dtype) in sizes.items():
                 flat = np.column_stack([batch.column(f"{kind}{i}").to_numpy(zero_copy_only=False) for i in range(count)]
                                        ) if count else np.zeros((batch.num_rows, 0))
+                if kind == "x" and edges:
+                    flat = np.column_stack([np.where(np.isnan(flat[:, i]), 255, np.searchsorted(e, flat[:, i])) for i, e in enumerate(edges)])
                 flat = np.ascontiguousarray(flat.astype(dtype))
                 width = flat.itemsize * count
                 offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
@@ -229,11 +232,12 @@ def _gather(group: pa.Table, names: dict[str, tuple[np.ufunc, type]]) -> tuple[n
     return slot[order][starts], out
 
 
-def _merged(table: DataFrame, part, merge, n_slots: int, width: int, schema: str, out: str) -> list:
+def _merged(table: DataFrame, part, merge, n_slots: int, width: int, schema: str, out: str,
+            columns: tuple | list = ("x", "y", "g")) -> list:
     """Runs ``part`` in every task and ``merge`` on what they give of the same nodes."""
     tasks = max(1, len(table.inputFiles()))  # a file or less in each
     buckets = max(1, math.ceil(n_slots * tasks * width * 16 / MERGE_BYTES), min(n_slots, 8))
-    got = table.select("x", "y", "g").mapInArrow(part, schema).withColumn("bucket", F.col("slot") % buckets)
+    got = table.select(*columns).mapInArrow(part, schema).withColumn("bucket", F.col("slot") % buckets)
     return got.groupBy("bucket").applyInArrow(merge, out).collect()
 
 
@@ -471,11 +475,11 @@ def _preorder(left: np.ndarray) -> np.ndarray:
 
 def _node_arrays(tree: Tree, classes: bool) -> list[pa.Array]:
     """A tree in the columns in which Spark ML saves one."""
-    feature, cut, left = tree.arrays()
+    feature, cut, left = tree.arrays(np.float64)
     order = _preorder(left)
     number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
-    feature, cut, left = feature[order], cut[order].astype(np.float64), left[order]
+    feature, cut, left = feature[order], cut[order], left[order]
     inner = left >= 0
     child = [np.where(inner, number[np.where(inner, left + side, 0)], -1) for side in (0, 1)]
     value, weight = np.array(tree.value)[order], np.array(tree.weight)[order]

@@ -15,7 +15,7 @@ take one set of passes together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ BUCKETS = 512
 _STEP = 1 << 19
 
 
-def _keys(x: np.ndarray) -> np.ndarray:
+def keys_of(x: np.ndarray) -> np.ndarray:
     """Signed 64-bit integers in the order of the doubles (-0.0 as 0.0)."""
     bits = (x + 0.0).view(np.int64)
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
@@ -58,21 +58,27 @@ def exact_quantiles_of(df: DataFrame, columns: dict[str, Column], sets: list[Col
     n_cols = len(names)
     data = df.select(*[F.coalesce(c.cast("boolean"), F.lit(False)).alias(f"s{i}") for i, c in enumerate(sets)],
                      *[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
-    total = n_sets * n_cols
+    out = narrow(n_sets * n_cols, lambda *state: _counts(data, n_cols, *state), [prob] * (n_sets * n_cols))
+    return [{name: out[s * n_cols + i] for i, name in enumerate(names)} for s in range(n_sets)]
+
+
+def narrow(total: int, counts: Callable, probs: list[float]) -> list[float | None]:
+    """The quantile of each of ``total`` groups of values.  ``counts(open groups, least keys, greatest keys,
+    parts)`` gives rows, least and greatest key of the non-empty parts of each open group, in order."""
     low, high = np.full(total, np.iinfo(np.int64).min), np.full(total, np.iinfo(np.int64).max)
     place, out = np.zeros(total), [None] * total
     below = np.zeros(total, np.int64)
     open_ = list(range(total))
     first = True
     while open_:
-        found = _counts(data, n_cols, open_, low, high, 1 if first else BUCKETS)
+        found = counts(open_, low, high, 1 if first else BUCKETS)
         still = []
         for slot in open_:
             if slot not in found:  # no values
                 continue
             n, lo, hi = found[slot]
             if first:
-                place[slot] = prob * (int(n.sum()) - 1)
+                place[slot] = probs[slot] * (int(n.sum()) - 1)
                 low[slot], high[slot] = lo[0], hi[0]
                 if lo[0] == hi[0]:
                     out[slot] = _value(lo[0])
@@ -91,53 +97,74 @@ def exact_quantiles_of(df: DataFrame, columns: dict[str, Column], sets: list[Col
                 low[slot], high[slot] = lo[a], hi[a]
                 still.append(slot)
         open_, first = still, False
-    return [{name: out[s * n_cols + i] for i, name in enumerate(names)} for s in range(n_sets)]
+    return out
+
+
+class Parts:
+    """What a task counts: rows, least and greatest key of each part of some groups' ranges."""
+
+    def __init__(self, groups: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int):
+        self.groups, self.parts = groups, parts
+        self.low, self.high = low[groups], high[groups]
+        self.n = np.zeros(len(groups) * parts, np.int64)
+        self.lo, self.hi = np.full(len(self.n), np.iinfo(np.int64).max), np.full(len(self.n), np.iinfo(np.int64).min)
+
+    def add(self, at: np.ndarray, keys: np.ndarray) -> None:
+        """``at``: the place of each key's group among ``groups``."""
+        inside = (keys >= self.low[at]) & (keys <= self.high[at])
+        at, keys = at[inside], keys[inside]
+        if self.parts == 1:
+            flat = at
+        else:
+            begin = self.low.view(np.uint64)
+            width = (self.high.view(np.uint64) - begin) // np.uint64(self.parts) + np.uint64(1)
+            flat = at * self.parts + ((keys.view(np.uint64) - begin[at]) // width[at]).astype(np.int64)
+        self.n += np.bincount(flat, minlength=len(self.n))
+        np.minimum.at(self.lo, flat, keys)
+        np.maximum.at(self.hi, flat, keys)
+
+    def batch(self) -> pa.RecordBatch:
+        used = np.flatnonzero(self.n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.groups[used // self.parts], pa.int32()), pa.array(used % self.parts, pa.int32()),
+             pa.array(self.n[used]), pa.array(self.lo[used]), pa.array(self.hi[used])], ["slot", "part", "n", "lo", "hi"])
+
+
+PARTS = "slot int, part int, n long, lo long, hi long"
+
+
+def added(parts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The parts of all tasks together, by group."""
+    got = parts.groupBy("slot", "part").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
+    cols = [got.column(c).to_numpy() for c in ("slot", "part", "n", "lo", "hi")]
+    order = np.lexsort((cols[1], cols[0]))
+    slot, _, *rest = (c[order] for c in cols)
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
+    ends = [*starts[1:], len(slot)] if len(slot) else []
+    return {int(slot[a]): tuple(c[a:b] for c in rest) for a, b in zip(starts, ends, strict=True)}
 
 
 def _counts(data: DataFrame, n_cols: int, open_: list[int], low: np.ndarray, high: np.ndarray,
             buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each open (set, column): rows, least and greatest key of its non-empty parts, in order."""
+    """The parts of each open (set, column)."""
     by_set = {s: np.array([k for k in open_ if k // n_cols == s]) for s in sorted({k // n_cols for k in open_})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = {s: np.zeros((len(slots), buckets), np.int64) for s, slots in by_set.items()}
-        lo = {s: np.full((len(slots), buckets), np.iinfo(np.int64).max) for s, slots in by_set.items()}
-        hi = {s: np.full((len(slots), buckets), np.iinfo(np.int64).min) for s, slots in by_set.items()}
+        found = {s: Parts(slots, low, high, buckets) for s, slots in by_set.items()}
         step = max(1, _STEP // max(n_cols, 1))
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
                 x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(n_cols)])
-                keys, known = _keys(x), ~np.isnan(x)
+                all_keys, known = keys_of(x), ~np.isnan(x)
                 for s, slots in by_set.items():
                     cols = slots % n_cols
                     rows = batch.column(f"s{s}").to_numpy(zero_copy_only=False)
                     rows = slice(None) if rows.all() else rows
-                    k, here = keys[rows][:, cols], known[rows][:, cols]
-                    here &= (k >= low[slots]) & (k <= high[slots])
-                    at, col = np.nonzero(here)
-                    k = k[at, col]
-                    begin = low[slots].view(np.uint64)[col]
-                    if buckets == 1:
-                        part = np.zeros(len(k), np.int64)
-                    else:
-                        width = (high[slots].view(np.uint64) - low[slots].view(np.uint64)) // np.uint64(buckets) + np.uint64(1)
-                        part = ((k.view(np.uint64) - begin) // width[col]).astype(np.int64)
-                    flat = col * buckets + part
-                    n[s] += np.bincount(flat, minlength=n[s].size).reshape(n[s].shape)
-                    np.minimum.at(lo[s].reshape(-1), flat, k)
-                    np.maximum.at(hi[s].reshape(-1), flat, k)
-        for s, slots in by_set.items():
-            at, part = np.nonzero(n[s])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots[at], pa.int32()), pa.array(part, pa.int32()), pa.array(n[s][at, part]),
-                 pa.array(lo[s][at, part]), pa.array(hi[s][at, part])], ["slot", "part", "n", "lo", "hi"])
-
-    got = (data.mapInArrow(run, "slot int, part int, n long, lo long, hi long").groupBy("slot", "part")
-           .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow())
-    cols = [got.column(c).to_numpy() for c in ("slot", "part", "n", "lo", "hi")]
-    order = np.lexsort((cols[1], cols[0]))
-    slot, _, *rest = (c[order] for c in cols)
-    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
-    ends = [*starts[1:], len(slot)] if len(slot) else []
-    return {int(slot[a]): tuple(c[a:b] for c in rest) for a, b in zip(starts, ends, strict=True)}
+                    k = all_keys[rows][:, cols]
+                    at, col = np.nonzero(known[rows][:, cols])
+                    found[s].add(col, k[at, col])
+        for part in found.values():
+            yield part.batch()
+
+    return added(data.mapInArrow(run, PARTS))
