@@ -483,6 +483,8 @@ def _node_arrays(tree: Tree, classes: bool) -> list[pa.Array]:
     inner = left >= 0
     child = [np.where(inner, number[np.where(inner, left + side, 0)], -1) for side in (0, 1)]
     value, weight = np.array(tree.value)[order], np.array(tree.weight)[order]
+    if classes:
+        value = np.clip(value, 0.0, 1.0)  # a sum's rounding
     stats = np.stack([weight * (1 - value), weight * value] if classes else [weight, weight * value, weight * value * value], axis=1)
     shares = lambda flat, sizes: pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))

@@ -1,8 +1,8 @@
 """Candidates, fold-local imputation and out-of-fold prediction
 (M1-M3, M6, M11, V5, J5).
 
-Forests of extremely randomised trees are grown by ``growth``; the other kinds are
-Spark ML estimators.  A fitted model is (medians fitted on the training rows) +
+Forests of extremely randomised trees are grown by ``growth``, boosted trees by ``boost``;
+the other kinds are Spark ML estimators.  A fitted model is (medians fitted on the training rows) +
 feature vector + Spark ML model, whichever way its trees were grown.  Predictions are added as columns by ``transform``, so the
 out-of-fold predictions of several candidates end up on the same rows and
 blending or comparing them needs no join.
@@ -20,7 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import growth, ridge
+from . import boost, growth, ridge
 from .impute import apply_medians, columns_with_nulls, fit_fold_medians, fit_medians, fit_scaler, fit_set_medians
 
 RANDOM_STATE = 42
@@ -68,6 +68,9 @@ class Spec:
     iters: int = 0
     rate: float = 0.0
     depth: int = 0
+    leaves: int = 0             # M2: leaf cap of a boosted tree, grown best gain first
+    l2: float = 0.0
+    alpha: float = 0.9          # huber's cut-off quantile, or the level of the quantile loss
     balanced: bool = False      # M11: class weights from the rows of the fit
 
     @property
@@ -75,6 +78,11 @@ class Spec:
         """Whether the candidate reads the fold's common feature vector."""
         return not (self.onehot or self.select_k or self.indicators or self.subset)
 
+    @property
+    def boosted(self) -> bool:
+        """Whether ``boost`` fits it (absolute loss stays with Spark ML)."""
+        return self.kind == "gbt" and self.loss != "absolute"
+
     @property
     def scaled(self) -> bool:
         return self.scale or self.kind == "ridge"
@@ -84,10 +92,11 @@ class Spec:
 CANDIDATES = {
     "ET.5": Spec("et", 0.5, trees=400), "ET.7": Spec("et", 0.7, trees=400),
     "ET1": Spec("et", 1.0, trees=400),
-    "HGB": Spec("gbt", min_leaf=10, iters=400, rate=0.06, depth=5),
+    "HGB": Spec("gbt", min_leaf=10, iters=400, rate=0.06, leaves=41, l2=0.5),
     "RF": Spec("rf", 0.5, trees=400),
 }
 STAGE1_SPEC = Spec("et", 0.6)
+QUANTILE_SPECS = tuple(Spec("gbt", loss="quantile", alpha=q, iters=200, rate=0.06, depth=3) for q in (0.1, 0.9))
 RISK_SPEC = Spec("clf", 0.7, min_leaf=3, trees=700, balanced=True)
 
 
@@ -112,6 +121,13 @@ def grown_fit(spec: Spec, profile: Profile, label: int, train: growth.Rows, colu
                       spec.max_features, max(spec.min_leaf, profile.min_leaf), spec.depth or profile.max_depth, profile.seed, weights)
 
 
+def boosted_fit(spec: Spec, profile: Profile, label: int, train: growth.Rows, columns: list[int], fill: list[float]) -> boost.Boost:
+    """The boosted model of a candidate: its sizes, as the profile reduces them."""
+    return boost.Boost(label, train, tuple(columns), tuple(float(f) for f in fill), _reduced(spec.iters, profile.gbt_iter, FULL.gbt_iter),
+                       spec.rate or profile.gbt_step, spec.loss, spec.alpha, spec.depth or (0 if spec.leaves else profile.gbt_depth),
+                       spec.leaves, spec.min_leaf, spec.l2)
+
+
 def make_estimator(spec: Spec, profile: Profile, label: str = "label",
                    features: str = "_x", prediction: str = "_pred",
                    rows: tuple[int, float] | None = None):
@@ -264,11 +280,35 @@ def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Pro
         trees = growth.grow(packed, [grown_fit(spec, profile, 0, growth.Rows(()), list(range(len(columns))), fill, weights)])[0]
         fitted.model = growth.spark_model(df.sparkSession, trees, len(columns), classes=spec.kind == "clf")
         return fitted
+    if spec.boosted:
+        return _fit_boosted(df, label, [fitted], profile)[0]
     rows = label_rows(df, label) if spec.kind == "ridge" else None
     fitted.model = make_estimator(spec, profile, label=label, rows=rows).fit(fitted.prepare(df))
     return fitted
 
 
+def fit_boosted(df: DataFrame, features: list[str], label: str, specs: list[Spec], profile: Profile) -> list[Fitted]:
+    """Several boosted candidates of the same rows (the two quantile models of an interval), in lockstep."""
+    medians = fit_medians(df, features)
+    kept = [c for c in features if medians[c] is not None]
+    return _fit_boosted(df, label, [Fitted(s, features, medians, kept, None) for s in specs], profile)
+
+
+def _fit_boosted(df: DataFrame, label: str, blank: list[Fitted], profile: Profile) -> list[Fitted]:
+    first = blank[0]
+    columns = [_raw_column(c) for c in first.kept] + _onehot_columns(first.spec.onehot, first.extra.get("onehot"))
+    named = {str(i): c for i, c in enumerate(columns)}
+    edges = boost.bin_edges(df, named, profile.max_bins)
+    packed = growth.pack(df, named, {"label": F.col(label)}, {}, [], edges=edges)
+    fill = [first.medians.get(c, 0.0) for c in first.kept] + [0.0] * (len(columns) - len(first.kept))
+    booster = boost.Booster(packed, [boosted_fit(f.spec, profile, 0, growth.Rows(()), list(range(len(columns))), fill) for f in blank], edges)
+    booster.fit()
+    for k, f in enumerate(blank):
+        trees = booster.as_trees(k)
+        f.model = growth.spark_model(df.sparkSession, trees, len(columns), [1.0] * len(trees))
+    return blank
+
+
 def _raw_column(name: str) -> Column:
     return F.col(name.removeprefix("missing_")).isNull().cast("double") if name.startswith("missing_") else F.col(name).cast("double")
 
@@ -323,7 +363,7 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
 
     The medians of all folds are fitted in one set of passes.  Forests of extremely
     randomised trees (any features, any transform, all folds) grow together over one packed
-    table, and so do ridges.  For the others, each fold's vectors are written once and every candidate (and
+    table, and so do boosted trees and ridges.  For the others, each fold's vectors are written once and every candidate (and
     transform) trains on them and predicts the fold.  Each row is predicted exactly once, by
     models that never saw its fold.  ``transforms`` maps a candidate to a (forward, inverse)
     pair applied around the fit (P21/P23).
@@ -332,9 +372,10 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
     transforms = transforms or {}
     medians = fit_fold_medians(df, features, fold, k)
     batches = [{n: s for n, s in specs.items() if s.kind in GROWN}]
+    batches.append({n: s for n, s in specs.items() if s.boosted})
     batches += [{n: s for n, s in specs.items() if s.kind == "ridge" and s.reg == reg}
                 for reg in sorted({s.reg for s in specs.values() if s.kind == "ridge"})]
-    rest = {n: s for n, s in specs.items() if s.kind not in GROWN and s.kind != "ridge"}
+    rest = {n: s for n, s in specs.items() if not any(n in b for b in batches)}
     for batch in batches:
         if batch:
             df = _batch_oof(df, fold, k, features, label, batch, profile, prefix, transforms, medians)
@@ -382,7 +423,7 @@ def oof(df: DataFrame, fold: str, k: int, features: list[str], label: str,
 
 def _batch_oof(df: DataFrame, fold: str, k: int, features: list[str], label: str, specs: dict[str, Spec], profile: Profile,
                prefix: str, transforms: dict, medians: list[dict]) -> DataFrame:
-    """``df`` with the out-of-fold predictions of forests or ridges: every fold of every candidate is a fit."""
+    """``df`` with the out-of-fold predictions of forests, boosted trees or ridges: every fold of every candidate is a fit."""
     jobs = [Job(n, s, transforms[n][0](F.col(label)) if n in transforms else F.col(label), ((fold, False, i),), ((fold, True, i),))
             for n, s in specs.items() for i in range(k)]
     out = held_out(df, features, jobs, {fold: F.col(fold)}, profile, {((fold, False, i),): m for i, m in enumerate(medians)})
@@ -412,7 +453,7 @@ def _condition(groups: dict[str, Column], tests: tuple) -> Column:
 def held_out(df: DataFrame, features: list[str], jobs: list[Job], groups: dict[str, Column], profile: Profile,
                    medians: dict | None = None) -> DataFrame:
     """``df`` with one column per job name: the predictions (in the label's scale) of its
-    held-out rows.  All jobs (forests, or ridges of one penalty) read one packed table; what they need to know of their
+    held-out rows.  All jobs (forests, boosted trees, or ridges of one penalty) read one packed table; what they need to know of their
     training rows (medians, which columns miss values, which one-hot values occur, class
     counts) is found for all of them in one job each."""
     sets = list(dict.fromkeys(j.train for j in jobs))
@@ -450,6 +491,7 @@ def held_out(df: DataFrame, features: list[str], jobs: list[Job], groups: dict[s
         weights = {a: class_weights({v: got[f"{i}:{v}"] for v in (0, 1) if got[f"{i}:{v}"]}) for i, a in enumerate(balanced)}
     number = {g: i for i, g in enumerate(groups)}
     rows = lambda tests: growth.Rows(tuple((number[g], equal, n) for g, equal, n in tests))
+    boosted = all(j.spec.boosted for j in jobs)
     fits = []
     for j in jobs:
         med, spec = medians[j.train], j.spec
@@ -459,9 +501,14 @@ def held_out(df: DataFrame, features: list[str], jobs: list[Job], groups: dict[s
         if spec.select_k:
             kept = [c for c in kept if c in ranked[(j.train, str(j.label))][:spec.select_k]]
         kept += [c for c in columns if c in held[j.train] and c.split("=")[0] in spec.onehot]
-        fits.append((j.name, grown_fit(spec, profile, list(labels).index(str(j.label)), rows(j.train), [place[c] for c in kept],
-                                       [med.get(c, 0.0) for c in kept], weights.get((j.train, str(j.label))) if spec.balanced else None),
-                     rows(j.test)))
+        own = (spec, profile, list(labels).index(str(j.label)), rows(j.train), [place[c] for c in kept], [med.get(c, 0.0) for c in kept])
+        fits.append((j.name, boosted_fit(*own) if boosted else
+                     grown_fit(*own, weights.get((j.train, str(j.label))) if spec.balanced else None), rows(j.test)))
+    if boosted:
+        edges = boost.bin_edges(df, columns, profile.max_bins)
+        booster = boost.Booster(growth.pack(df, columns, labels, groups, df.columns, edges=edges), [f for _, f, _ in fits], edges)
+        booster.fit()
+        return booster.held_out([n for n, _, _ in fits], [t for _, _, t in fits])
     if all(j.spec.kind == "ridge" for j in jobs):
         packed = growth.pack(df, columns, labels, groups, df.columns, np.float64)
         return ridge.ridge_held_out(packed, fits, jobs[0].spec.reg)

@@ -615,7 +615,8 @@ def q_m1(spark, sf_dir):
 @query("m2_boosted_oof")
 def q_m2(spark, sf_dir):
     _, d, names = _target_data(spark, sf_dir)
-    specs = {"HGB": MD.CANDIDATES["HGB"], "GBR_abs": MD.Spec("gbt", loss="absolute")}
+    specs = {"HGB": MD.CANDIDATES["HGB"], "GBR_abs": MD.Spec("gbt", loss="absolute"),
+             "GBR_huber": AU.AUDIT_EXPERIMENTS["GBR depth=3"]}
     o = MD.oof(d, "fold", 5, names, "z", specs, PROFILE)
     return _metric_rows(o, {k: "oof_" + MD.colname(k) for k in specs})
 

@@ -37,6 +37,8 @@ class TargetModel:
     fitted: list
     q_lo: float | None = None
     q_hi: float | None = None
+    lo: object = None   # M4: the models of the 10 % and 90 % quantile
+    hi: object = None
 
     @property
     def model_name(self) -> str:
@@ -181,6 +183,7 @@ def train_target(feats: DataFrame, target: str, names: list[str], profile: MD.Pr
     if intervals:
         q = BL.residual_quantiles(oof, [], "z", "oof_blend").first()
         final.q_lo, final.q_hi = q.q_lo, q.q_hi
+        final.lo, final.hi = MD.fit_boosted(d, names, "z", list(MD.QUANTILE_SPECS), profile)
     if result is not None:
         result.report.append(rec)
         result.oof[target] = oof
