@@ -500,6 +500,11 @@ SQL["v1_row_folds"] = with_ctes(
 SQL["v2_group_folds"] = with_ctes(f"""
 SELECT CAST({hash_sql('42', 'synth_key')} % 5 AS INTEGER) AS fold, count(*) AS n_rows,
        count(DISTINCT synth_key) AS n_groups FROM clean GROUP BY 1""")
+SQL["v1_even_row_folds"] = with_ctes(f"""
+SELECT {ROW_ID}, CAST((row_number() OVER (ORDER BY {hash_sql('42', ROWKEY)}, {ROWKEY}) - 1) % 5 AS INTEGER) AS fold FROM clean""")
+SQL["v2_balanced_group_folds"] = with_ctes(f"""
+SELECT synth_key, n, CAST((row_number() OVER (ORDER BY n DESC, {hash_sql('42', 'synth_key')}, synth_key) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT synth_key, count(*) AS n FROM clean GROUP BY synth_key)""")
 SQL["v3_group_shuffle_split"] = with_ctes(f"""
 SELECT seed, CAST(count_if(t) AS BIGINT) AS n_test_rows, CAST(count_if(NOT t) AS BIGINT) AS n_train_rows,
        count(DISTINCT CASE WHEN t THEN synth_key END) AS n_test_groups

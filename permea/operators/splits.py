@@ -1,5 +1,7 @@
 """Fold assignment by hashing (V1-V4): no global sort, no driver-side index.
 
+Folds of even size (``with_even_fold``, ``balanced_group_folds``) take a global rank by hash.
+
 ``fold = hash(seed, key) mod k`` with the hash taken as the first 8 hex digits
 of MD5, so the same assignment is reproducible in any engine.  Rows are
 grouped by construction when the key is the recipe key (V2/V3): a recipe can
@@ -48,6 +50,32 @@ def with_fold(df: DataFrame, k: int, key: Column, seed: int = 42, name: str = "f
     return df.withColumn(name, (hash32(key, seed) % k).cast("int"))
 
 
+def with_even_fold(df: DataFrame, k: int, key: Column, seed: int = 42, name: str = "fold") -> DataFrame:
+    """V1: folds whose sizes differ by at most one: the global rank by hash, modulo ``k``."""
+    from .order import global_rank
+    ranked = global_rank(df.withColumn("_key", key), [hash32(F.col("_key"), seed), F.col("_key")], "_rank")
+    return ranked.withColumn(name, (F.col("_rank") % k).cast("int")).drop("_key", "_rank")
+
+
+def balanced_group_folds(df: DataFrame, k: int, group_col: str = "synth_key", seed: int = 42) -> DataFrame:
+    """V2: (group, n rows, fold) with whole groups in folds of balanced size.
+
+    The groups, longest first (equal ones by hash), are dealt to the folds in turn.  Two
+    folds then differ by at most one largest group: of any two folds, the one that is
+    dealt to first leads by a sum of differences between neighbours, which telescopes.
+    Groups are counted with a partial aggregate, so a hot group is one row here."""
+    from .order import global_rank
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
+    ranked = global_rank(sizes, [-F.col("n"), hash32(F.col(group_col), seed), F.col(group_col)], "_rank")
+    return ranked.select(group_col, "n", (F.col("_rank") % k).cast("int").alias("fold"))
+
+
+def with_balanced_group_fold(df: DataFrame, k: int, group_col: str = "synth_key", seed: int = 42, name: str = "gfold") -> DataFrame:
+    """``df`` with the folds of :func:`balanced_group_folds`."""
+    folds = balanced_group_folds(df, k, group_col, seed).select(group_col, F.col("fold").alias(name))
+    return df.join(folds, group_col)
+
+
 def group_k(df: DataFrame, group_col: str = "synth_key", k: int = 5) -> int:
     """``min(k, number of groups)`` as the reference's GroupKFold uses."""
     n = df.agg(F.count_distinct(group_col)).first()[0]

@@ -348,6 +348,17 @@ def q_v2(spark, sf_dir):
                                  F.count_distinct("synth_key").alias("n_groups"))
 
 
+@query("v1_even_row_folds")
+def q_v1e(spark, sf_dir):
+    c = clean(spark, sf_dir)
+    return SP.with_even_fold(c, 5, SP.row_key(), seed=42).select(*ROW_ID, "fold")
+
+
+@query("v2_balanced_group_folds")
+def q_v2b(spark, sf_dir):
+    return SP.balanced_group_folds(clean(spark, sf_dir), 5)
+
+
 @query("v3_group_shuffle_split")
 def q_v3(spark, sf_dir):
     c = clean(spark, sf_dir).where(F.col("mg_rej").isNotNull())
@@ -817,10 +828,12 @@ def q_m16b(spark, sf_dir):
 @query("s7_shap_values_wide")
 def q_s7(spark, sf_dir):
     d, m = _mg_model(spark, sf_dir)
-    long, _, _ = XP.path_shap(d, m, SP.ROW_KEY_COLS)
-    top = [r.feature for r in ME.shap_summary(long, top_k=20).select("feature").collect()]
-    return long.where(F.col("feature").isin(top)).groupBy(*SP.ROW_KEY_COLS) \
-        .pivot("feature", top).agg(F.first("phi"))
+    from ..session import materialize
+    wide, _ = XP.path_arrays(d, m, SP.ROW_KEY_COLS)
+    wide = materialize(wide, "shap-wide")
+    mean = wide.select(F.posexplode("phi").alias("j", "phi")).groupBy("j").agg(F.avg(F.abs(F.col("phi"))).alias("m"))
+    top = [m.kept[r.j] for r in RK.top_n(mean, 20, [F.desc("m"), F.asc("j")]).collect()]
+    return wide.select(*SP.ROW_KEY_COLS, *[F.col("phi")[m.kept.index(f)].alias(f) for f in top])
 
 
 def _input_paths(sf_dir):
