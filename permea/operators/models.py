@@ -287,6 +287,29 @@ def fit(df: DataFrame, features: list[str], label: str, spec: Spec, profile: Pro
     return fitted
 
 
+def fit_forests(df: DataFrame, wanted: dict[str, tuple[Spec, Column, Column, list[str]]], profile: Profile) -> dict[str, Fitted]:
+    """Several forests of one table, grown together: name -> (candidate, label, condition on the
+    rows, features).  Their medians come from one set of passes, each over its own rows."""
+    names = list(wanted)
+    columns = list(dict.fromkeys(c for n in names for c in wanted[n][3]))
+    medians = fit_set_medians(df, columns, [wanted[n][2] for n in names])
+    place = {c: i for i, c in enumerate(columns)}
+    packed = growth.pack(df, {c: F.col(c) for c in columns}, {n: wanted[n][1] for n in names},
+                         {n: F.coalesce(wanted[n][2], F.lit(False)).cast("int") for n in names}, [])
+    fits, kept = [], []
+    for i, n in enumerate(names):
+        spec, _, _, features = wanted[n]
+        kept.append([c for c in features if medians[i][c] is not None])
+        fits.append(grown_fit(spec, profile, i, growth.Rows(((i, True, 1),)), [place[c] for c in kept[i]], [medians[i][c] for c in kept[i]]))
+    out = {}
+    for group in growth.groups_of(fits, packed.count()):
+        for i, trees in zip(group, growth.grow(packed, [fits[i] for i in group]), strict=True):
+            spec, _, _, features = wanted[names[i]]
+            model = growth.spark_model(df.sparkSession, trees, len(kept[i]))
+            out[names[i]] = Fitted(spec, features, {c: medians[i][c] for c in features}, kept[i], model)
+    return out
+
+
 def fit_boosted(df: DataFrame, features: list[str], label: str, specs: list[Spec], profile: Profile) -> list[Fitted]:
     """Several boosted candidates of the same rows (the two quantile models of an interval), in lockstep."""
     medians = fit_medians(df, features)

@@ -27,6 +27,9 @@ from ..session import materialize
 from ..sources.fixture import TARGETS
 
 
+#: A characterisation with fewer values gets no model.
+MIN_STAGE1_ROWS = 40
+
 
 @dataclass
 class TargetModel:
@@ -81,17 +84,23 @@ def feature_table(clean: DataFrame, categories: list[str] | None = None,
     return materialize(f, "features"), cats, names
 
 
+def target_rows(target: str):
+    """The condition of P5 and P6 on a target's rows."""
+    col = F.col(TARGETS[target])
+    lo, hi = DOMAIN_FILTERS.get(target, (None, None))
+    out = col.isNotNull()
+    if lo is not None:
+        out = out & (col >= lo)
+    if hi is not None:
+        out = out & (col <= hi)
+    return out
+
+
 def target_frame(feats: DataFrame, target: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Rows of one target (P5, P6) with its transformed label (P21) and
     row folds (V1) and recipe-grouped folds (V2)."""
     col = TARGETS[target]
-    d = feats.where(F.col(col).isNotNull())
-    lo, hi = DOMAIN_FILTERS.get(target, (None, None))
-    if lo is not None:
-        d = d.where(F.col(col) >= lo)
-    if hi is not None:
-        d = d.where(F.col(col) <= hi)
-    d = d.withColumns({"y": F.col(col), "z": TR.fwd_transform(target, col)})
+    d = feats.where(target_rows(target)).withColumns({"y": F.col(col), "z": TR.fwd_transform(target, col)})
     d = SP.with_fold(d, k, SP.row_key(SP.row_cols(d)), seed, "fold")
     return SP.with_fold(d, k, F.col("synth_key"), seed, "gfold")
 
@@ -192,7 +201,7 @@ def train_target(feats: DataFrame, target: str, names: list[str], profile: MD.Pr
 
 
 def train_stage1(clean: DataFrame, categories: list[str], profile: MD.Profile,
-                 result: TrainResult, min_rows: int = 40, evaluate: bool = True,
+                 result: TrainResult, min_rows: int = MIN_STAGE1_ROWS, evaluate: bool = True,
                  feats: DataFrame | None = None) -> None:
     """M8: recipe-only features -> each characterisation with >= 40 values;
     R2 of out-of-fold predictions on the original scale when ``evaluate``.
@@ -253,6 +262,9 @@ def quick_models(clean: DataFrame, profile: MD.Profile = MD.FAST, spec_name: str
     spec = {spec_name: MD.CANDIDATES[spec_name]}
     tlist = targets or list(TARGETS)
 
+    if not intervals and spec[spec_name].kind == "et" and spec[spec_name].plain:
+        return _serving_forests(res, feats, names, spec_name, tlist, cats if stage1 else None, profile)
+
     def one(t):
         r = TrainResult(categories=cats, feature_names=names)
         train_target(feats, t, names, profile, spec, grouped=False, holdouts=0,
@@ -272,3 +284,26 @@ def quick_models(clean: DataFrame, profile: MD.Profile = MD.FAST, spec_name: str
         res.models[t] = r.models[t]
         res.report += r.report
     return res
+
+
+def _serving_forests(res: TrainResult, feats: DataFrame, names: list[str], spec_name: str, targets: list[str],
+                     cats: list[str] | None, profile: MD.Profile) -> TrainResult:
+    """The forests of all targets (and, with ``cats``, of stage 1) grown together over one table."""
+    wanted = {t: (MD.CANDIDATES[spec_name], TR.fwd_transform(t, TARGETS[t]), target_rows(t), names) for t in targets}
+    if cats is not None:
+        rnames = FE.recipe_feature_names(cats)
+        counts = feats.agg(*[F.count(src).alias(char) for char, src in FE.STAGE1_SOURCE.items()]).first()
+        res.stage1_feature_names = rnames
+        chars = [c for c in FE.STAGE1_SOURCE if counts[c] >= MIN_STAGE1_ROWS]
+        for c in chars:
+            src = FE.STAGE1_SOURCE[c]
+            wanted[f"stage1:{c}"] = (MD.STAGE1_SPEC, TR.stage1_fwd(c, src, FE.STAGE1_CHARS[c]), F.col(src).isNotNull(), rnames)
+            res.stage1_report.append({"char": c, "n": counts[c], "R2": None, "transform": FE.STAGE1_CHARS[c] or "none"})
+    fitted = MD.fit_forests(feats, wanted, profile)
+    for t in targets:
+        res.models[t] = TargetModel(t, [spec_name], [1.0], [fitted[t]])
+        res.report.append({"target": t, "model": spec_name})
+    for name, m in fitted.items():
+        if name.startswith("stage1:"):
+            res.stage1[name.removeprefix("stage1:")] = m
+    return res
