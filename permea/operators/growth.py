@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_path, materialize
 
 #: (node, feature) cells of one pass, nodes of the trees that are held at once, bytes of a merge.
-CELLS, NODES, MERGE_BYTES = 1 << 22, 1 << 22, 64 << 20
+CELLS, NODES, MERGE_BYTES = 1 << 21, 1 << 22, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -228,7 +228,8 @@ def _gather(group: pa.Table, names: dict[str, tuple[np.ufunc, type]]) -> tuple[n
     out = []
     for name, (combine, dtype) in names.items():
         rows = np.concatenate([unpack(b, name, dtype) for b in group.to_batches() if b.num_rows])
-        out.append(combine.reduceat(rows[order], starts, axis=0))
+        rows = rows[order].astype(np.float64) if combine is np.add else rows[order]  # counts of many tasks
+        out.append(combine.reduceat(rows, starts, axis=0))
     return slot[order][starts], out
 
 
@@ -276,38 +277,46 @@ def _range_pass(table: DataFrame, fits: list[Fit], trees: list[tuple], slots: li
 
 def _split_pass(table: DataFrame, fits: list[Fit], trees: list[tuple], slots: list, width: int, feats: np.ndarray,
                 cuts: np.ndarray, totals: np.ndarray) -> list:
-    n_slots = len(slots)
+    """``feats``: the drawn features of each node, ascending, then -1."""
+    n_slots, drawn = len(slots), feats.shape[1]
+    weighted = any(f.weights is not None for f in fits)
+    names = ("n", "s", "w") if weighted else ("n", "s")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.full((n_slots, width), -np.inf, np.float32)
         at, col = np.nonzero(feats >= 0)
         dense[at, feats[at, col]] = cuts[at, col]
-        left = np.zeros((3, n_slots, width))
+        left = {name: np.zeros((n_slots, width), np.float32 if name == "n" else np.float64) for name in names}
         seen = np.zeros(n_slots, bool)
         for k, ids, starts, slot, x, y, w in _nodes(batches, fits, trees):
             f = x.shape[1]
             side = (x <= dense[slot, :f]).view(np.int8)
-            left[0][ids, :f] += np.add.reduceat(side.astype(np.float32), starts, axis=0)  # whole numbers: exact
+            left["n"][ids, :f] += np.add.reduceat(side.astype(np.float32), starts, axis=0)  # whole numbers: exact
             if fits[k].weights is not None:
-                left[1][ids, :f] += np.add.reduceat(side * w[:, None], starts, axis=0)
-            left[2][ids, :f] += np.add.reduceat(side * (w * y)[:, None], starts, axis=0)
+                left["w"][ids, :f] += np.add.reduceat(side * w[:, None], starts, axis=0)
+                y = w * y
+            left["s"][ids, :f] += np.add.reduceat(side * y[:, None], starts, axis=0)
             seen[ids] = True
         used = np.flatnonzero(seen)
         for k in range(0, len(used), 4096):
             u = used[k:k + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), *(_blob(s[u]) for s in left)], ["slot", "n", "w", "s"])
+            own = np.maximum(feats[u], 0).astype(np.int64)  # what was drawn is all that is sent
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u, pa.int32()), *(_blob(np.take_along_axis(left[name][u], own, axis=1)) for name in names)], ["slot", *names])
 
     def merge(group: pa.Table) -> pa.Table:
-        ids, (n, w, s) = _gather(group, dict.fromkeys("nws", (np.add, np.float64)))
+        ids, sums = _gather(group, {name: (np.add, np.float32 if name == "n" else np.float64) for name in names})
+        n, s, w = sums[0], sums[1], sums[2] if weighted else sums[0].copy()
         own_fit = [fits[slots[i][0]] for i in ids]
         even = np.array([f.weights is None for f in own_fit])
         w[even] = n[even]
+        n[feats[ids] < 0] = 0  # no feature: nothing on the left, so no cut
         best, gain = best_cut(n, w, s, totals[ids], np.array([f.min_leaf for f in own_fit]))
         pick = lambda a: np.take_along_axis(a, np.maximum(best, 0)[:, None], axis=1)[:, 0]
-        return pa.table({"slot": pa.array(ids, pa.int32()), "feature": pa.array(best, pa.int32()), "gain": pa.array(gain),
-                         "n": pa.array(pick(n)), "w": pa.array(pick(w)), "s": pa.array(pick(s))})
+        return pa.table({"slot": pa.array(ids, pa.int32()), "feature": pa.array(np.where(best < 0, -1, pick(feats[ids])), pa.int32()),
+                         "gain": pa.array(gain), "n": pa.array(pick(n)), "w": pa.array(pick(w)), "s": pa.array(pick(s))})
 
-    return _merged(table, part, merge, n_slots, 3 * width, "slot int, n binary, w binary, s binary",
+    return _merged(table, part, merge, n_slots, 3 * drawn, "slot int, " + ", ".join(f"{name} binary" for name in names),
                    "slot int, feature int, gain double, n double, w double, s double")
 
 
@@ -379,6 +388,9 @@ def _grow_nodes(table: DataFrame, fits: list[Fit], trees: list[Tree], todo: list
         return
     send, slots = shipped(go)
     feats, cuts, totals = np.array(feats), np.array(cuts), np.array(totals)
+    drawn = max(int((feats >= 0).sum(axis=1).max()), 1)
+    order = np.argsort(np.where(feats < 0, np.iinfo(np.int16).max, feats), axis=1, kind="stable")[:, :drawn]
+    feats, cuts = np.take_along_axis(feats, order, axis=1), np.take_along_axis(cuts, order, axis=1)
     found = {r.slot: r for r in _split_pass(table, fits, send, slots, width, feats, cuts, totals)}
     for slot, (k, node) in enumerate(go):  # in the order of the nodes, so that numbers don't depend on tasks
         r, tree = found.get(slot), trees[k]
