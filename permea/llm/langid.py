@@ -16,11 +16,11 @@ one row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from permea.llm.common import hash_mod, slices, some_bound, utf8
 
 WINDOW = 128
 HIDDEN = 8
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 BATCH = 2048
 
 

@@ -10,15 +10,14 @@ score (an equal bound goes on, for the smaller ids win ties).  A block's best
 rows of every query are merged by a second, small ranking.
 
 The stated queries are dealt in blocks to every block of rows.  Defined cases:
-vectors that are NULL, or hold a NULL or non-finite component, or whose length
-differs from the commonest one, take no part; an id that is NULL is never a query and never a
+vectors that are NULL or empty, or hold a NULL or non-finite component, take no part; a
+query is ranked among the vectors of its own length; an id that is NULL is never a query and never a
 result; rows that repeat an id are not candidates of a query with that id;
 fewer than k candidates give all of them.
 """
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -86,27 +85,22 @@ def threshold_topk(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: i
                    vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest integer inner product
     (components floor(scale * x)) for each row for which ``is_query`` holds."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
                           F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = materialize(rows.filter(F.col("vec_id").isNotNull() & _finite("v")).select(
         "vec_id", "q", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("v"),
         F.size("v").alias("dims")), "topk-rows")
-    head = rows.groupBy("dims").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m")) \
-        .orderBy(F.desc("n"), "dims").first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if head is None or not head.m:
-        return spark.createDataFrame([], schema)
-    rows = rows.filter(F.col("dims") == head.dims)
-    n_blocks, q_blocks = math.ceil(head.n / ROWS_PER_BLOCK), math.ceil(head.m / QUERIES_PER_BLOCK)
-    # A block is sent as it is; each query goes to every block of rows.
-    blocks = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int").alias("block"), "vec_id", "v",
-                         F.lit(-1).alias("group"))
+    sizes = materialize(rows.groupBy("dims").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m")).filter("m > 0")
+                        .select("dims", F.ceil(F.col("n") / ROWS_PER_BLOCK).cast("int").alias("n_blocks"),
+                                F.ceil(F.col("m") / QUERIES_PER_BLOCK).cast("int").alias("q_blocks")), "topk-sizes")
+    rows = rows.join(sizes, "dims")
+    # A block is sent as it is; each query goes to every block of rows of its length.
+    blocks = rows.select("dims", F.pmod(F.xxhash64("vec_id", "v"), F.col("n_blocks")).cast("int").alias("block"), "vec_id", "v",
+                         F.lit(-1).alias("group"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("copy"))
     asked = rows.filter("q").select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "v",
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int").alias("group"))
-    dealt = asked.withColumn("copy", F.col("group")).unionByName(
-        blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+        "dims", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "vec_id", "v",
+        F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("q_blocks")).cast("int").alias("group"))
+    dealt = asked.withColumn("copy", F.col("group")).unionByName(blocks)
 
     def search(group: pa.Table) -> pa.Table:
         ids = group.column("vec_id").to_numpy()
@@ -121,7 +115,7 @@ def threshold_topk(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: i
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    found = dealt.groupBy("block", "copy").applyInArrow(search, "query_id long, vec_id long, score long")
+    found = dealt.groupBy("dims", "block", "copy").applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

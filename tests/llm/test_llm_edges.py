@@ -140,6 +140,17 @@ def test_language(docs, none):
     assert {r.lang_pred for r in langid.predict_language(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_digits_and_symbols_are_no_letters():
+    assert not any(langid.LETTER.search(t) for t in ("½", "²", "①", "12 _ -", "")) and langid.LETTER.search("1 é")
+
+
+def test_top_k_among_vectors_of_one_length(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 60)] + [(100 + i, [1.0, 2.0, float(i)]) for i in range(30)] + [(500, [1.0])]
+    got = topk.threshold_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3, 1).collect()
+    best = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in {r.query_id for r in got}}
+    assert best == {20: [59, 58, 57], 40: [59, 58, 57], 100: [101, 102, 103], 120: [129, 128, 127]}
+
+
 def test_toxicity(docs, none, labels):
     model = toxicity.fit(docs, labels, F.lit(True))
     got = toxicity.score_documents(docs, model).collect()
