@@ -38,6 +38,8 @@ from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, some_o
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 2500, 6500, 16384
 HASH_PARTS = 8
 K, HEAD, QUERIES, BLOCK = 15, 1024, 128, 32
+#: Entries of the lists that are weighed at once, bytes of the examples that are read at once.
+PART, READ_BYTES = 1 << 18, 1 << 19
 #: Bytes of text that are scored together.
 SCORE_BYTES = 1 << 20
 #: More than the rounding of a sum of HEAD products in single precision.
@@ -99,6 +101,14 @@ class Vocabulary:
         return pair // len(self.hashes), pair % len(self.hashes), times
 
 
+def _read(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(place of the first, texts): about ``READ_BYTES`` at a time."""
+    at = 0
+    for part in slices(pa.table({"text": texts}), "text", READ_BYTES) if len(texts) else ():
+        yield at, part.column("text").combine_chunks()
+        at += part.num_rows
+
+
 def copy_weights(texts: pa.Array, tries: int = 4) -> np.ndarray:
     """1 / size of each example's group of near copies, which would otherwise vote
     for all of their words: examples that share three minima of the hashes of
@@ -113,8 +123,8 @@ def copy_weights(texts: pa.Array, tries: int = 4) -> np.ndarray:
         return i
 
     minima = np.full((3 * tries, n), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, n, 500):
-        row, h = term_hashes(texts.slice(at, 500))
+    for at, part in _read(texts):
+        row, h = term_hashes(part)
         for j in range(3 * tries):
             np.minimum.at(minima[j], at + row, mix64(h + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)))
     for j in range(0, 3 * tries, 3):
@@ -130,18 +140,23 @@ def copy_weights(texts: pa.Array, tries: int = 4) -> np.ndarray:
 def posting_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all terms of the examples, ascending, where each one's list ends,
     and the lists: example and times."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(texts), 500):
-        row, h = term_hashes(texts.slice(at, 500))
+    # By parts of the terms, each given up once it is in order, to bound memory.
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(HASH_PARTS)]
+    for at, part in _read(texts):
+        row, h = term_hashes(part)
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        found.append((h[first], (at + row[first]).astype(np.int32), np.diff(np.append(first, len(h))).astype(np.int32)))
+        h, example, n = h[first], (at + row[first]).astype(np.int32), np.diff(np.append(first, len(h))).astype(np.int32)
+        share = h // np.uint64(2**64 // HASH_PARTS)
+        for i in range(HASH_PARTS):
+            own = np.flatnonzero(share == i)
+            found[i].append((h[own], example[own], n[own]))
     terms, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     examples, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for share in range(HASH_PARTS):  # a part of the terms at a time, to bound memory
-        own = [np.flatnonzero(h // np.uint64(2**64 // HASH_PARTS) == share) for h, _, _ in found]
-        h, example, n = (np.concatenate([x[i][o] for x, o in zip(found, own, strict=True)] or [np.zeros(0, np.uint64)]) for i in range(3))
+    for i in range(HASH_PARTS):
+        h, example, n = (np.concatenate([x[j] for x in found[i]] or [np.zeros(0, np.uint64)]) for j in range(3))
+        found[i] = []
         order = np.argsort(h, kind="stable")
         each, size = np.unique(h[order], return_counts=True)
         terms.append(each)
@@ -190,11 +205,22 @@ class Index:
 
     def __init__(self, ends: np.ndarray, example: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int):
         sizes = np.diff(np.append(0, ends))
-        weight = (1 + np.log(times)) * np.repeat(idf, sizes)
-        norm = np.sqrt(np.bincount(example, weight**2, minlength=n))
+        # A part of the lists at a time: in double precision all of them would be held several times over.
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(example), PART)), len(ends)))
+        spans = [(slice(a, b), slice(ends[a - 1] if a else 0, ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        def weights(term: slice, some: slice) -> np.ndarray:
+            return (1 + np.log(times[some])) * np.repeat(idf[term], sizes[term])
+
+        square = np.zeros(n)
+        for term, some in spans:
+            np.add.at(square, example[some], weights(term, some)**2)
+        norm = np.sqrt(square)
         self.idf, self.example = idf, np.flatnonzero(norm > 0)
-        weight /= norm[example] if n else 1.0
-        self.vectors = Vectors(ends, example, weight.astype(np.float32), self.example, n)
+        weight = np.empty(len(example), np.float32)
+        for term, some in spans:
+            weight[some] = weights(term, some) / norm[example[some]]
+        self.vectors = Vectors(ends, example, weight, self.example, n)
         common = np.argsort(-sizes, kind="stable")[:HEAD]
         self.place = np.full(len(idf), -1, np.int16)
         self.place[common] = np.arange(len(common))
@@ -381,8 +407,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
     weight = (counts.get(False, 0) / max(1, int((~toxic).sum())), counts.get(True, 0) / max(1, int(toxic.sum())))
     model = Model(vocabulary, index, toxic, weight, rows.column("id").to_pylist() if rows.num_rows else [], k)
     votes: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(texts), 500):
-        row, term, uses = vocabulary.counts(texts.slice(at, 500))
+    for at, part in _read(texts):
+        row, term, uses = vocabulary.counts(part)
         for all_of, some in zip(votes, model.calibrate(row + at, term, uses), strict=True):
             all_of += some
     if votes[0]:
