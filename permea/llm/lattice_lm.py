@@ -20,13 +20,13 @@ alone, since a word that is new to a component is mostly new to all:
 So the score is the marginal over all segmentations and components, a proper
 distribution over texts (as sequences of words).  Training texts are put in the
 components by the nearest centre of their letter histograms; the centres are
-found by k-means on at most ``SAMPLE`` training texts, the counts cover all.
+found by k-means over all distinct training texts, in passes over their written histograms.
 
 Counting is exact and spread over the cluster: documents are dealt in chunks,
 each chunk sends its distinct words (with training counts) once to hash
 buckets, the buckets add up and answer with the corpus counts.  A frequent word
 costs one entry per chunk; nothing grows with the corpus on the driver but the
-piece scores, whose number is the vocabulary's.
+piece scores, whose number is the vocabulary's, and the centres.
 
 Defined cases: NULL or empty text is the end alone; a NULL id is a training
 row; repeated rows count as often as they stand; without training rows the
@@ -39,7 +39,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +47,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import LOWER, _power_tables, hash_mod, mix64, slices, some_of, space_words, utf8, with_chunk, word_hash
+from permea.llm.common import LOWER, _power_tables, hash_mod, mix64, slices, space_words, utf8, with_chunk, word_hash
 from permea.session import materialize
 
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 DISCOUNT, KNOWN = 0.6, 0.1
+#: ``SAMPLE``: histograms that are looked at outside Spark (``_sample_histograms``).
 COMPONENTS, SAMPLE = 8, 2000
 #: Forward-backward passes of a bucket over its words (a random part of all, by hash); the buckets' last counts are summed.
 PASSES = 3
@@ -250,11 +251,10 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
 
 
-def _sample_histograms(rows: DataFrame, sample: int) -> np.ndarray:
+def _histograms(rows: DataFrame) -> DataFrame:
+    """key, p: the histogram of each distinct training text that isn't empty."""
     taught = rows.filter(F.col("learn") & (F.octet_length("text") > 0)).select("text")
-    key = F.xxhash64("text", F.lit(5))
-    taught = taught.withColumn("key", key)
-    drawn = taught.filter(some_of(F.col("key"), sample, taught.select("key").distinct().count()))
+    taught = taught.withColumn("key", F.xxhash64("text", F.lit(5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,11 +263,73 @@ def _sample_histograms(rows: DataFrame, sample: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array([p.tobytes() for p in points], pa.binary())], ["key", "p"])
 
-    found = drawn.mapInArrow(run, "key long, p binary").groupBy("key").agg(F.first("p").alias("p"))
-    got = found.orderBy("key").limit(sample).collect()  # at most ``sample`` histograms
+    return taught.mapInArrow(run, "key long, p binary").groupBy("key").agg(F.first("p").alias("p"))
+
+
+def _sample_histograms(rows: DataFrame, sample: int) -> np.ndarray:
+    """The first ``sample`` histograms by key, for a look at them outside Spark."""
+    got = _histograms(rows).orderBy("key").limit(sample).collect()
     return np.stack([np.frombuffer(r.p, np.float32) for r in got]).astype(float) if got else np.zeros((0, len(_LETTERS)))
 
 
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and histograms of some rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            yield (part.column("key").to_numpy(),
+                   np.stack([np.frombuffer(p, np.float32) for p in part.column("p").to_pylist()]).astype(float))
+
+
+def spread_centres(points: DataFrame, k: int, rounds: int = 15) -> np.ndarray:
+    """``centres_of`` over a table of histograms (key, p): a centre or a round is one pass, in which
+    a task gives one row or the sums of its ``k`` groups.  Ends when a round changes nothing."""
+    start = points.orderBy("key").limit(1).collect()
+    if not start:
+        return np.zeros((1, len(_LETTERS)))
+    centres = np.frombuffer(start[0].p, np.float32).astype(float)[None]
+    for _ in range(min(k, points.count()) - 1):
+        far = points.mapInArrow(partial(_farthest, centres), "d double, key long, p binary").orderBy(F.desc("d"), "key").first()
+        centres = np.concatenate([centres, np.frombuffer(far.p, np.float32).astype(float)[None]])
+    for _ in range(rounds):
+        sums = points.mapInArrow(partial(_group_sums, centres), "centre int, letter int, s double") \
+            .groupBy("centre", "letter").agg(F.sum("s").alias("s")).collect()  # a row for each centre and letter, and its rows
+        total = np.zeros((len(centres), len(_LETTERS) + 1))
+        for r in sums:
+            total[r.centre, r.letter] = r.s
+        rows, before = total[:, -1:], centres
+        centres = np.where(rows > 0, total[:, :-1] / np.maximum(rows, 1), centres)
+        if np.array_equal(before, centres):
+            break
+    return centres
+
+
+def _farthest(centres: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's point that is farthest from all centres (ties: the smallest key)."""
+    best = None
+    for key, p in _points(batches):
+        d = ((p[:, None] - centres) ** 2).sum(2).min(1)
+        i = np.lexsort((key, -d))[0]
+        if best is None or (-d[i], key[i]) < best[:2]:
+            best = -d[i], key[i], p[i]
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array([-best[0]]), pa.array([best[1]]), pa.array([best[2].astype(np.float32).tobytes()], pa.binary())],
+                                         ["d", "key", "p"])
+
+
+def _group_sums(centres: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the points nearest to each centre, letter by letter, and (as one more letter) their number."""
+    total = np.zeros((len(centres), len(_LETTERS) + 1))
+    for _, p in _points(batches):
+        own = _nearest(p, centres)
+        for i in np.unique(own):
+            total[i, :-1] += p[own == i].sum(0)
+            total[i, -1] += (own == i).sum()
+    centre, letter = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(centre, pa.int32()), pa.array(letter, pa.int32()), pa.array(total[centre, letter])],
+                                     ["centre", "letter", "s"])
+
+
 def _joined(words: pa.Array) -> bytes:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.cast(pa.large_binary())),
                           pa.scalar(b"\n", pa.large_binary()))[0].as_py()
@@ -278,7 +340,7 @@ def _split(blob: bytes) -> pa.Array:
 
 
 def score_documents(docs: DataFrame, learn: F.Column, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
-                    discount: float = DISCOUNT, components: int = COMPONENTS, sample: int = SAMPLE) -> DataFrame:
+                    discount: float = DISCOUNT, components: int = COMPONENTS) -> DataFrame:
     """doc_id, learned (whether the row taught), n_tokens, n_known, train_tokens, base_score,
     score, component (the likeliest)."""
     pieces = vocabulary(vocabulary_path)
@@ -287,7 +349,7 @@ def score_documents(docs: DataFrame, learn: F.Column, vocabulary_path: str, id_c
                        F.coalesce(learn, F.lit(True)).alias("learn"))
     dealt, chunks = with_chunk(rows, "doc_id", "text", CHUNK_BYTES)
     buckets = max(1, math.ceil(chunks * CHUNK_BYTES / BUCKET_BYTES))
-    centres = centres_of(_sample_histograms(rows, sample), components)
+    centres = spread_centres(materialize(_histograms(rows), "lm-histograms"), components)
     k_all = len(centres)
 
     def ask(group: pa.Table) -> pa.Table:
