@@ -30,9 +30,9 @@ def target_long(clean: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return out
 
 
-def standin_predictions(clean: DataFrame) -> DataFrame:
+def standin_predictions(clean: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Two stand-in candidates per row: ``pred_a`` and ``pred_b``."""
-    t = target_long(clean)
+    t = target_long(clean, extra)
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
     noise_a = ((ok + 3 * pk) % 11 - 5).cast("double") * 0.1
     noise_b = ((ok + 3 * pk + 5) % 11 - 5).cast("double") * 0.15

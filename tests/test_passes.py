@@ -23,3 +23,11 @@ def test_global_rank_computes_its_rows_once(spark):
     want = sorted((i * 7919 % 1009, i) for i in range(5000))
     assert sorted(got, key=lambda r: r[2]) == [(*r, i) for i, r in enumerate(want)]
     assert seen.value == 5000
+
+
+def test_holdout_seeds_are_those_of_the_copied_rows(spark):
+    df = spark.createDataFrame([(f"k{i % 90}",) for i in range(300)] + [(None,)], "k string")
+    seeds = list(range(5))
+    copied = SP.with_holdout(SP.seeds_frame(df, seeds), F.col("k"), F.col("seed"), 0.2).where("is_test").groupBy("k", "seed").count()
+    listed = df.select("k", F.explode(SP.holdout_seeds(F.col("k"), seeds, 0.2)).alias("seed")).groupBy("k", "seed").count()
+    assert sorted(map(tuple, copied.collect())) == sorted(map(tuple, listed.collect()))
