@@ -31,3 +31,28 @@ def test_holdout_seeds_are_those_of_the_copied_rows(spark):
     copied = SP.with_holdout(SP.seeds_frame(df, seeds), F.col("k"), F.col("seed"), 0.2).where("is_test").groupBy("k", "seed").count()
     listed = df.select("k", F.explode(SP.holdout_seeds(F.col("k"), seeds, 0.2)).alias("seed")).groupBy("k", "seed").count()
     assert sorted(map(tuple, copied.collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_correlations_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(700):
+        a = float(rng.normal()) + 1e6
+        y = 2 * a + float(rng.normal())
+        rows.append((a if i % 5 else None, 1e6 + 0.1, float("nan") if i == 3 else a, None, y if i % 3 else None, -a, 4.0))
+    df = spark.createDataFrame(rows, "a double, constant double, odd double, empty double, y double, z double, flat double").repartition(6)
+    got = {(r.target, r.feature): r.importance for r in select.correlation_importance(
+        df, ["a", "constant", "odd", "empty"], {t: F.col(t) for t in ("y", "z", "flat")}, "target").collect()}
+
+    def corr(i, j):
+        both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+        return abs(np.corrcoef(both.T)[0, 1])
+
+    want = {("y", "a"): corr(0, 4), ("z", "a"): corr(0, 5)}
+    if rows[3][4] is None:  # the row with NaN has no y
+        want["y", "odd"] = corr(2, 4)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-9)
+    none = select.correlation_importance(df.limit(0), ["a"], {"y": F.col("y")}, "target")
+    assert none.count() == 0
