@@ -10,6 +10,27 @@ from permea.plans import catalog
 from permea.sources import fixture as FX
 
 
+def test_spread_gives_the_same_rows(spark, sf_dir):
+    a, b = FX.recipes(spark, sf_dir), FX.recipes(spark, sf_dir, spread=True)
+    assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+    assert b.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _sources(df):
+    return {"lineitem" if "lineitem.parquet" in f else "written" for f in df.inputFiles()}
+
+
+@pytest.mark.parametrize("name", ["p12_molecular", "p15_operating", "p19_feature_matrix", "p20_recipe_features", "p33_physics_subset",
+                                  "a11_shap_summary", "m4_residual_interval", "m5_blend_weight", "m10_batch_score"])
+def test_queries_of_several_passes_read_the_written_table(spark, sf_dir, name):
+    """Each pass over an unwritten table would deduplicate all rows again."""
+    if name == "m10_batch_score":
+        c, _ = catalog._quick(spark, sf_dir, targets=["Mg_rej"])
+        assert _sources(c) == {"written"}
+    else:
+        assert _sources(catalog.QUERIES[name](spark, sf_dir)) == {"written"}
+
+
 def test_global_rank_computes_its_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
