@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import LOWER, hash_mod, mix64, row_schema, slices, some_of, span_hash, text_of, utf8, with_row
+from permea.llm.common import LOWER, hash_mod, mix64, release_memory, row_schema, slices, some_of, span_hash, text_of, utf8, with_row
 
 N_TOXIC, N_CLEAN, EXAMPLE_BYTES = 2500, 6500, 16384
 HASH_PARTS = 8
@@ -166,6 +166,14 @@ def posting_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate(terms), np.cumsum(np.concatenate(sizes)), np.concatenate(examples), np.concatenate(times)
 
 
+def _spans(ends: np.ndarray) -> list[tuple[slice, slice]]:
+    """(terms, their entries) of about ``PART`` entries: in double precision all of the lists
+    would be held several times over."""
+    total = int(ends[-1]) if len(ends) else 0
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, total, PART)), len(ends)))
+    return [(slice(a, b), slice(int(ends[a - 1]) if a else 0, int(ends[b - 1]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def evidence_of(ends: np.ndarray, example: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Likelihood ratio of each term's document counts, in which a group of near
     copies counts once, for the terms that go with the toxic label; else 0."""
@@ -173,8 +181,11 @@ def evidence_of(ends: np.ndarray, example: np.ndarray, toxic: np.ndarray, weight
         return np.zeros(0)
     p = float((weight * toxic).sum() / weight.sum())
     part = lambda x, e: np.where(x > 1e-9, x * np.log(np.maximum(x, 1e-9) / e), 0.0)
-    starts = np.append(0, ends[:-1])
-    a, n = np.add.reduceat((weight * toxic)[example], starts), np.add.reduceat(weight[example], starts)
+    a, n = np.empty(len(ends)), np.empty(len(ends))
+    for term, some in _spans(ends):
+        starts = np.append(some.start, ends[term][:-1]) - some.start
+        for out, each in ((a, weight * toxic), (n, weight)):
+            out[term] = np.add.reduceat(each[example[some]], starts)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)))
     return np.where(a > n * p, np.maximum(ratio, 0), 0.0)
@@ -205,9 +216,7 @@ class Index:
 
     def __init__(self, ends: np.ndarray, example: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int):
         sizes = np.diff(np.append(0, ends))
-        # A part of the lists at a time: in double precision all of them would be held several times over.
-        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(example), PART)), len(ends)))
-        spans = [(slice(a, b), slice(ends[a - 1] if a else 0, ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        spans = _spans(ends)
 
         def weights(term: slice, some: slice) -> np.ndarray:
             return (1 + np.log(times[some])) * np.repeat(idf[term], sizes[term])
@@ -399,13 +408,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
     rows = sample.orderBy(key, "id", "text").limit(n_toxic + n_clean).toArrow()
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     toxic = rows.column("toxic").to_numpy().astype(bool) if rows.num_rows else np.zeros(0, bool)
+    ids = rows.column("id").to_pylist() if rows.num_rows else []
+    del rows  # the texts are a copy
     terms, ends, example, times = posting_lists(texts)
     vocabulary = Vocabulary(terms)
+    del terms
+    release_memory()
     n, df = document_frequencies(body, vocabulary)
     evidence = evidence_of(ends, example, toxic, copy_weights(texts))
+    release_memory()
     index = Index(ends, example, times, (np.log((1 + n) / (1 + df)) + 1) * (1 + np.sqrt(evidence)), len(texts))
     weight = (counts.get(False, 0) / max(1, int((~toxic).sum())), counts.get(True, 0) / max(1, int(toxic.sum())))
-    model = Model(vocabulary, index, toxic, weight, rows.column("id").to_pylist() if rows.num_rows else [], k)
+    model = Model(vocabulary, index, toxic, weight, ids, k)
     votes: tuple[list, list, list] = ([], [], [])
     for at, part in _read(texts):
         row, term, uses = vocabulary.counts(part)
@@ -418,7 +432,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, n_toxic: int = N_TO
 
 def document_frequencies(body: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """Number of all documents, and of those that hold each term."""
+    # Sent as a file: as a part of the function it would be held by the driver's Python twice more.
+    sent = body.sparkSession.sparkContext.broadcast(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
         df, n = np.zeros(len(vocabulary.hashes), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -429,6 +447,7 @@ def document_frequencies(body: DataFrame, vocabulary: Vocabulary) -> tuple[int,
 
     # One row for each term of the bounded sample, and the number of documents.
     got = body.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     term, count = got.column("term").to_numpy(), got.column("n").to_numpy()
     df = np.zeros(len(vocabulary.hashes))
     df[term[term >= 0]] = count[term >= 0]
@@ -438,11 +457,13 @@ def document_frequencies(body: DataFrame, vocabulary: Vocabulary) -> tuple[int,
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """row (a struct of the columns ``keep``, default all), score and evidence (ids of the voters)."""
     rows = with_row(docs, keep or docs.columns, text_col)
+    # Sent as a file: as a part of the function the driver's Python would hold it as long as the result's plan.
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_of(batch, text_col), SCORE_BYTES):
-                score, evidence = model.score_texts(text_of(part, text_col))
+                score, evidence = sent.value.score_texts(text_of(part, text_col))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(score), pa.array([[str(i) for i in e] for e in evidence], pa.list_(pa.string()))],
                     ["row", "score", "evidence"])
@@ -452,13 +473,15 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
 
 def keep_clean(docs: DataFrame, labels: DataFrame, learn: F.Column, threshold: float = 0.5, **options) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    return score_documents(docs, fit(docs, labels, learn, **options)).filter(F.col("score") < threshold).select("row.*")
+    scored = score_documents(docs, fit(docs, labels, learn, **options))
+    release_memory()
+    return scored.filter(F.col("score") < threshold).select("row.*")
 
 
 def op8_knn_toxicity(spark, sf_dir: str) -> DataFrame:
     from permea.llm.common import table
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(docs, labels, hash_mod("doc_id") != 0)
-    out = score_documents(docs, model, ["doc_id"]).select("row.doc_id", "score", "evidence")
+    out = score_documents(docs, fit(docs, labels, hash_mod("doc_id") != 0), ["doc_id"]).select("row.doc_id", "score", "evidence")
+    release_memory()
     return out.select("doc_id", F.coalesce(hash_mod("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
