@@ -77,3 +77,15 @@ def test_correlations_of_all_pairs(spark):
         assert got[k] == pytest.approx(v, rel=1e-9)
     none = select.correlation_importance(df.limit(0), ["a"], {"y": F.col("y")}, "target")
     assert none.count() == 0
+
+
+def test_open_session_settings_are_filled(spark):
+    """Generated methods that HotSpot would not compile are not used; a session's own limit stays."""
+    from permea.session import fill_gaps
+    key = "spark.sql.codegen.hugeMethodLimit"
+    own = spark.newSession()
+    fill_gaps(own)
+    assert own.conf.get(key) == "8000"
+    own.conf.set(key, "20000")
+    fill_gaps(own)
+    assert own.conf.get(key) == "20000"

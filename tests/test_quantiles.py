@@ -62,3 +62,21 @@ def test_no_task_gathers_the_values(spark):
     df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.rand(3)).alias("x"))
     assert exact_quantiles(df, {"x": F.col("x")}, 0.75)["x"] == 1.0
     assert not hasattr(quantiles, "Window")
+
+
+@pytest.mark.parametrize("parts", [1, 7, 512])
+def test_sorted_runs_count_as_single_keys(parts):
+    """The parts of sorted keys, many or none of them in the range, are those of the keys one by one."""
+    rng = np.random.default_rng(5)
+    groups = np.array([3, 4, 9])
+    low, high = np.full(10, np.iinfo(np.int64).min), np.full(10, np.iinfo(np.int64).max)
+    low[4], high[4] = quantiles.keys_of(np.array([-0.5, 0.5]))
+    low[9], high[9] = quantiles.keys_of(np.array([7.0, 8.0]))  # holds nothing
+    one, runs = quantiles.Parts(groups, low, high, parts), quantiles.Parts(groups, low, high, parts)
+    for _ in range(3):
+        for i in range(3):
+            keys = quantiles.keys_of(np.append(rng.normal(size=400), [0.5, -0.5, 0.0, -0.0, np.inf, -1e300, 0.25, 0.25]))
+            one.add(np.full(len(keys), i), keys)
+            runs.add_sorted(i, np.sort(keys))
+        runs.add_sorted(1, keys[:0])
+    assert one.batch().equals(runs.batch()) and one.n.sum() == runs.n.sum() > 0
