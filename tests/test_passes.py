@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from permea.operators import order, select
+from permea.operators import clean, order, select
 from permea.operators import splits as SP
 from permea.plans import catalog
 from permea.sources import fixture as FX
@@ -89,3 +89,20 @@ def test_open_session_settings_are_filled(spark):
     own.conf.set(key, "20000")
     fill_gaps(own)
     assert own.conf.get(key) == "20000"
+
+
+def test_slot_text_is_read_once_a_monomer(spark):
+    """P14's patterns run on the distinct monomers, not on every row; the values are those of the rows' own text."""
+    from permea.operators import features as FE
+    texts = ["{NCCN}3.4", " {NCCN} 19 ", "NCCN", "  ", "", None, "{X}1.2.3", "nan"]
+    rows = [(i, texts[i % 8], texts[(i * 3 + 1) % 8], 0.5, None if i % 3 else 2.0) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, smiles_part1 string, smiles_part2 string, density_part1 double, density_part2 double")
+    df = clean.with_recipe_columns(df)
+    joined = FE.build_features(df, ["Unk"], keep=["id"])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan
+    by_row = df.select("id", *[c.alias(k) for k, c in FE.structure_columns().items()])
+    want = {r.id: r.asDict() for r in by_row.collect()}
+    got = {r.id: r.asDict() for r in joined.select("id", *FE.STRUCTURE_COLS).collect()}
+    assert len(want) == 24 and got == want
+    assert want[0]["mw_tag_1"] == 3.4 and want[6]["mw_tag_1"] is None and want[3]["n_steps"] == 1.0
