@@ -126,3 +126,26 @@ def test_ridges_equal_closed_form(spark, data):
         z = (xs - xs[tr].mean(0)) / np.where(sd > 0, sd, 1)
         w = np.linalg.solve(z[tr].T @ z[tr] + 20 * np.eye(6), z[tr].T @ (y[tr] - y[tr].mean()))
         assert [got[i] for i in te] == pytest.approx(list(z[te] @ w + y[tr].mean()), abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [40, 3000])
+def test_nodes_are_added_up_by_themselves(rows):
+    """Rows led on by nodes, their extremes and their sums below cuts, against row by row; nodes of few and of many rows."""
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(rows, 5)).astype(np.float32), rng.normal(size=rows)
+    nodes = (np.array([0, 1, -1, -1, 2, -1, -1], np.int32), np.array([0, .3, 0, 0, -.2, 0, 0], np.float32), np.array([1, 3, -1, -1, 5, -1, -1], np.int32))
+    nodes[0][2], nodes[2][2], nodes[0][4], nodes[2][4] = 2, 5, -1, -1
+    slots = np.array([-1, -1, -1, 2, -1, 0, 1])  # node 4 is not open
+    at, slot = G._placed(x, np.ascontiguousarray(x.T), nodes, slots, G._living(nodes[2], slots))
+    ends = G.walk(x, *nodes)
+    assert sorted(zip(at.tolist(), slot.tolist())) == [(i, int(slots[e])) for i, e in enumerate(ends) if slots[e] >= 0]
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    assert len(starts) == 3
+    cuts = rng.normal(size=(3, 5)).astype(np.float32)
+    low, high = G._extremes(x, at, starts)
+    sums = G._left_sums(x, at, starts, cuts, np.stack([np.ones(len(at)), y[at]]))
+    for i, s in enumerate(slot[starts]):
+        own = np.flatnonzero(slots[ends] == s)
+        assert (low[i] == x[own].min(axis=0)).all() and (high[i] == x[own].max(axis=0)).all()
+        below = x[own] <= cuts[i]
+        assert (sums[0, i] == below.sum(axis=0)).all() and sums[1, i] == pytest.approx((below * y[own][:, None]).sum(axis=0), abs=1e-9)
