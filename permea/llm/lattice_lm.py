@@ -47,13 +47,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permea.llm.common import LOWER, _power_tables, hash_mod, mix64, slices, space_words, utf8, with_chunk, word_hash
+from permea.llm.common import (LOWER, _power_tables, hash_mod, lean, mix64, slices, space_words, utf8, with_chunk,
+                               word_hash)
 from permea.session import materialize
 
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 DISCOUNT, KNOWN = 0.6, 0.1
 #: ``SAMPLE``: histograms that are looked at outside Spark (``_sample_histograms``).
 COMPONENTS, SAMPLE = 8, 2000
+#: Histograms for each task of a k-means pass, once every core has a task.
+POINTS = 50_000
 #: Forward-backward passes of a bucket over its words (a random part of all, by hash); the buckets' last counts are summed.
 PASSES = 3
 _SPACE = np.zeros(256, bool)
@@ -94,7 +97,7 @@ def _piece_tables(pieces: tuple[bytes, ...]) -> list[tuple]:
         own, slot = own[np.argsort(slot, kind="stable")], np.sort(slot)
         # Most substrings are no piece: this tells most of them.
         count = np.bincount(slot, minlength=1 << bits).astype(np.uint8)
-        first = np.zeros(1 << bits, np.int32)
+        first = np.zeros(1 << bits, np.min_scalar_type(len(own)))
         first[slot[::-1]] = np.arange(len(slot))[::-1]
         tables.append((size, bits, count, first, keys[own], own, int(count.max())))
     return tables
@@ -283,12 +286,16 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 def spread_centres(points: DataFrame, k: int, rounds: int = 15) -> np.ndarray:
     """``centres_of`` over a table of histograms (key, p): a centre or a round is one pass, in which
-    a task gives one row or the sums of its ``k`` groups.  Ends when a round changes nothing."""
-    start = points.orderBy("key").limit(1).collect()
-    if not start:
+    a task gives one row or the sums of its ``k`` groups.  Ends when a round changes nothing.
+    However many files the table came in, a pass has a task for each core or for ``POINTS`` rows: its
+    sums are as many for each task, and small tasks would send more of them than they read."""
+    n = points.count()
+    if not n:
         return np.zeros((1, len(_LETTERS)))
-    centres = np.frombuffer(start[0].p, np.float32).astype(float)[None]
-    for _ in range(min(k, points.count()) - 1):
+    points = points.coalesce(max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(n / POINTS)))
+    start = points.orderBy("key").first()
+    centres = np.frombuffer(start.p, np.float32).astype(float)[None]
+    for _ in range(min(k, n) - 1):
         far = points.mapInArrow(partial(_farthest, centres), "d double, key long, p binary").orderBy(F.desc("d"), "key").first()
         centres = np.concatenate([centres, np.frombuffer(far.p, np.float32).astype(float)[None]])
     for _ in range(rounds):
@@ -391,9 +398,9 @@ def score_documents(docs: DataFrame, learn: F.Column, vocabulary_path: str, id_c
             "stat": pa.array([None] * n + names, pa.int32()),
             "value": pa.array([None] * n + stats.tolist(), pa.float64())})
 
-    asked = dealt.groupBy("_chunk").applyInArrow(ask, "chunk int, bucket int, words binary, counts binary")
+    asked = dealt.groupBy("_chunk").applyInArrow(lean(ask), "chunk int, bucket int, words binary, counts binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(
-        add, "chunk int, bucket int, counts binary, stat int, value double"), "lm-answers")
+        lean(add), "chunk int, bucket int, counts binary, stat int, value double"), "lm-answers")
     # At most one row for each piece of the vocabulary.
     stats = {r.stat: r.v for r in answers.filter("stat is not null").groupBy("stat").agg(F.sum("value").alias("v")).collect()}
     n_words, n_types = stats.pop(-2, 0.0), stats.pop(-1, 0.0)
@@ -450,7 +457,7 @@ def score_documents(docs: DataFrame, learn: F.Column, vocabulary_path: str, id_c
     from pyspark.sql.types import _parse_datatype_string
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
     replies = answers.filter("chunk >= 0").select("chunk", "bucket", "counts")
-    return dealt.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lean(finish), schema)
 
 
 def op1_lattice_lm(spark, sf_dir: str) -> DataFrame:

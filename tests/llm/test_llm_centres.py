@@ -38,3 +38,29 @@ def test_lists_weighed_in_parts(monkeypatch):
     monkeypatch.setattr(toxicity, "READ_BYTES", 100)
     again = toxicity.posting_lists(texts)
     assert all((a == b).all() for a, b in zip(again, (terms, ends, example, times), strict=True))
+
+
+def test_a_pass_over_histograms_has_no_more_tasks_than_they_fill(spark, monkeypatch):
+    """A table written in many small files is read by a task a core: each task sends sums of every centre and letter."""
+    rng = np.random.default_rng(5)
+    p = rng.random((300, len(lattice_lm._LETTERS))).astype(np.float32)
+    points = spark.createDataFrame([(i, bytes(x.tobytes())) for i, x in enumerate(p)], "key long, p binary").repartition(97)
+    tasks, plain = [], type(points).mapInArrow
+
+    def counted(self, *args, **kw):
+        tasks.append(self.rdd.getNumPartitions())
+        return plain(self, *args, **kw)
+
+    monkeypatch.setattr(type(points), "mapInArrow", counted)
+    got = lattice_lm.spread_centres(points, 3, rounds=2)
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism
+    assert np.allclose(got, lattice_lm.centres_of(p.astype(float), 3, rounds=2))
+
+
+def test_a_lean_function_gives_back_memory_after_each_group(monkeypatch):
+    from permea.llm import common
+    done = []
+    monkeypatch.setattr(common, "release_memory", lambda: done.append("freed"))
+    assert common.lean(lambda group: group + 1)(1) == 2
+    assert common.lean(lambda left, right: left - right)(3, 1) == 2
+    assert done == ["freed", "freed"]
