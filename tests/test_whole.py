@@ -162,7 +162,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["m1_forest_oof", "m2_boosted_oof", "m6_ensemble_blend"])
+@pytest.mark.parametrize("name", ["m1_forest_oof", "m2_boosted_oof", "m6_ensemble_blend", "m12_leaderboard"])
 def test_comparisons_have_the_whole_sizes(spark, monkeypatch, name):
     """The queries that compare candidates ask for models of the reference's sizes, not for a part of them."""
     def asked(*args, **kwargs):
