@@ -162,7 +162,8 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["m1_forest_oof", "m2_boosted_oof", "m6_ensemble_blend", "m12_leaderboard", "m12_interpolation_benchmark", "e4_audit_single_stage"])
+@pytest.mark.parametrize("name", ["e4_audit_single_stage", "m12_interpolation_benchmark", "m12_leaderboard", "m13_cascade", "m1_forest_oof",
+                                  "m2_boosted_oof", "m6_ensemble_blend"])
 def test_comparisons_have_the_whole_sizes(spark, monkeypatch, name):
     """The queries that compare candidates ask for models of the reference's sizes, not for a part of them."""
     def asked(*args, **kwargs):
