@@ -106,3 +106,33 @@ def test_slot_text_is_read_once_a_monomer(spark):
     got = {r.id: r.asDict() for r in joined.select("id", *FE.STRUCTURE_COLS).collect()}
     assert len(want) == 24 and got == want
     assert want[0]["mw_tag_1"] == 3.4 and want[6]["mw_tag_1"] is None and want[3]["n_steps"] == 1.0
+
+
+def test_even_folds_carry_the_row_key_only(spark, sf_dir, monkeypatch):
+    """The deduplication and the ranked tables of V1 hold no measured column and no key text; the folds are those of whole rows."""
+    from permea.operators.clean import clean_recipes
+    seen = {}
+    real = order.materialize
+    monkeypatch.setattr(order, "materialize", lambda df, name: seen.setdefault(name, df) and real(df, name))
+    got = catalog.QUERIES["v1_even_row_folds"](spark, sf_dir)
+    plan = seen["to-rank"]._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1].split("\n")[0]
+    assert "l_shipdate" in plan and "thickness" not in plan and "more fields" not in plan
+    assert set(seen["to-rank"].columns) == {*SP.ROW_KEY_COLS, "_o0"}
+    ranked = order.global_rank(clean_recipes(FX.recipes(spark, sf_dir)), [SP.hash32(SP.row_key(), 42), SP.row_key()], "i")
+    want = ranked.select(*catalog.ROW_ID, (F.col("i") % 5).cast("int").alias("fold"))
+    assert got.count() == want.count() > 5000 and got.exceptAll(want).isEmpty()
+
+
+def test_ranks_with_ties_in_what_is_held(spark):
+    df = spark.createDataFrame([(i % 3, None if i % 11 == 0 else f"k{i * 7 % 50:02d}", i) for i in range(50)], "a int, k string, id int").repartition(5)
+    parts = [F.col("a"), F.concat(F.col("k"), F.lit("x")), F.col("id")]
+    rows = lambda held: sorted(map(tuple, order.global_rank(df, parts, "i", held).collect()), key=str)
+    assert rows(1) == rows(None) and sorted(r[-1] for r in rows(1)) == list(range(50))
+
+
+def test_dedup_of_some_columns_keeps_the_same_rows(spark):
+    rows = [(1, None, "u", 5.0), (1, 2, "v", 6.0), (2, 3, None, 7.0), (2, 3, "w", None), (None, 1, "x", 8.0), (None, 0, "y", None)]
+    df = spark.createDataFrame(rows, "k int, o int, t string, v double")
+    whole = clean.dedup_first(df, ["k"], ["o"]).select("k", "o", "t")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, clean.dedup_first(df, ["k"], ["o"], keep=["t"]).collect()))
+    assert clean.dedup_first(df, ["k"], ["o"], keep=[]).columns == ["k", "o"]
