@@ -136,3 +136,18 @@ def test_dedup_of_some_columns_keeps_the_same_rows(spark):
     whole = clean.dedup_first(df, ["k"], ["o"]).select("k", "o", "t")
     assert sorted(map(str, whole.collect())) == sorted(map(str, clean.dedup_first(df, ["k"], ["o"], keep=["t"]).collect()))
     assert clean.dedup_first(df, ["k"], ["o"], keep=[]).columns == ["k", "o"]
+
+
+def test_predictions_beside_what_is_kept(spark):
+    """What a comparison does not read is not written again with the predictions."""
+    from permea.operators import models as MD
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(a - b), i % 3) for i, (a, b) in enumerate(rng.normal(size=(90, 2)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, z double, fold int")
+    specs = {"Ridge": MD.Spec("ridge"), "ET": MD.Spec("et", 1.0), "GBR": MD.Spec("gbt", iters=40, depth=2)}
+    every = MD.oof(df, "fold", 3, ["a", "b"], "z", specs, MD.FAST)
+    assert every.columns[:5] == df.columns
+    few = MD.oof(df, "fold", 3, ["a", "b"], "z", specs, MD.FAST, keep=["id", "z"])
+    assert set(few.columns) == {"id", "z", "oof_Ridge", "oof_ET", "oof_GBR"}
+    got, want = ({r.id: (r.z, r.oof_Ridge, r.oof_ET, r.oof_GBR) for r in o.collect()} for o in (few, every))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
